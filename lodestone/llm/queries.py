@@ -6,16 +6,19 @@ from .op6_decontam import OP6_SQL, op6_decontamination
 from .op7_chat import OP7_SQL, op7_chat_formatting
 from .op8_mix import OP8_SQL, op8_source_mix
 from .op9_substrings import OP9_SQL, op9_substring_dedup
+from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
 
 QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_source_mix": op8_source_mix,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES = {
     "op6_decontamination": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op10_ngram_jaccard_join": OP10_SQL,
 }
