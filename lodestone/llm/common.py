@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder is used where spark.checkpoint.dir names one; else (tests) a local one is set."""
     sc = spark.sparkContext

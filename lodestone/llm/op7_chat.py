@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import let, read
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 BLOCK = 64
@@ -40,19 +40,18 @@ def unescape(text: Column, role: bool = False) -> Column:
 def merge(turns: Column) -> Column:
     """Array of (role, text) structs, escaped and in order: adjacent ones of one role become one. Starts of runs are found
     first and each run is joined once, so the time is linear."""
-    n = F.size(turns)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]),
-    )
-    runs = F.transform(
-        starts,
-        lambda i, k: F.struct(
-            F.get(turns, i)["role"].alias("role"),
-            F.array_join(F.transform(F.slice(turns, i + 1, F.coalesce(F.get(starts, k + 1), n) - i), lambda x: x["text"]), SEP).alias("text"),
-        ),
-    )
-    return F.when(n > 0, runs)
+
+    def joined(turns: Column, starts: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:
+            texts = F.transform(F.slice(turns, i + 1, F.coalesce(F.get(starts, k + 1), F.size(turns)) - i), lambda x: x["text"])
+            return F.struct(F.get(turns, i)["role"].alias("role"), F.array_join(texts, SEP).alias("text"))
+
+        return F.transform(starts, run)
+
+    def opens(turns: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+    return let(turns, lambda t: let(opens(t), lambda s: joined(t, s)))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
