@@ -62,7 +62,7 @@ def uniform(key, seed: int):
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken (words) and copies of each document; docs has doc_id, source and text."""
     sized = cut(docs.select("doc_id", "source", F.size(tokens(F.col("text"))).cast("long").alias("size")))
-    per = targets(sized)
+    per = cut(targets(sized))
     d = sized.join(per, sized["source"].eqNullSafe(per["source"])).select("doc_id", "size", "sid", "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     d = d.withColumn("whole", whole)
