@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .op3_toxicity import op3_toxicity
 from .op4_rules import op4_quality_rules
+from .op5_langid import op5_language_id
 from .op6_decontam import OP6_SQL, op6_decontamination
 from .op7_chat import OP7_SQL, op7_chat_formatting
 from .op8_mix import OP8_SQL, op8_source_mix
@@ -10,7 +12,9 @@ from .op9_substrings import OP9_SQL, op9_substring_dedup
 from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_source_mix": op8_source_mix,
