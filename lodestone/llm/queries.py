@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op2_licenses import op2_license_scan
 from .op3_toxicity import op3_toxicity
 from .op4_rules import op4_quality_rules
 from .op5_langid import op5_language_id
@@ -12,6 +13,7 @@ from .op9_substrings import OP9_SQL, op9_substring_dedup
 from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
