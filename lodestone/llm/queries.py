@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op1_quality import op1_quality_classifier
 from .op2_licenses import op2_license_scan
 from .op3_toxicity import op3_toxicity
 from .op4_rules import op4_quality_rules
@@ -13,6 +14,7 @@ from .op9_substrings import OP9_SQL, op9_substring_dedup
 from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
