@@ -27,7 +27,7 @@ from .common import cut, read
 from .packed import FORWARD, U, Words, counts_of, dealt, forward, groups_for, mix, replies, unique
 
 SHINGLE, PERCENT = 5, 75
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 class Sets:
@@ -104,18 +104,27 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("x") >= PERCENT * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rep and comp, the smallest rep that links reach; min labels with pointer jumping, cut each round."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(nodes.select("rep", F.col("rep").alias("comp")))
+def components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label: rep and comp so far; links: pairs (a, b) of reps. rep and comp with the links added.
+
+    The links are carried over to the components they connect, whose smallest labels spread with pointer jumping; each
+    round is cut, and only components with a link take part."""
+    if links.isEmpty():
+        return label
+    la, lb = label.select(F.col("rep").alias("a"), F.col("comp").alias("x")), label.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
+    edges = links.join(la, "a").join(lb, "b").filter("x <> y").select("x", "y")
+    edges = cut(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    root = cut(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
     while True:
-        near = both.join(label, both["b"] == label["rep"]).groupBy("a").agg(F.min("comp").alias("m"))
-        step = label.join(near, label["rep"] == near["a"], "left").select("rep", F.least("comp", "m").alias("comp"))
-        jump = step.select(F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-        new = cut(step.join(jump, step["comp"] == jump["r2"]).select("rep", F.least("comp", "c2").alias("comp")))
-        if not new.join(label.withColumnRenamed("comp", "old"), "rep").filter("comp <> old").limit(1).count():
-            return new
-        label = new
+        near = edges.join(root.select(F.col("x").alias("y"), F.col("m").alias("my")), "y").groupBy("x").agg(F.min("my").alias("near"))
+        step = root.join(near, "x").select("x", F.col("m").alias("was"), F.least("m", "near").alias("to"))
+        jump = root.select(F.col("x").alias("to"), F.col("m").alias("of_to"))
+        new = cut(step.join(jump, "to", "left").select("x", F.least("to", "of_to").alias("m"), "was"))
+        if new.filter("m <> was").isEmpty():
+            break
+        root = new.select("x", "m")
+    named = new.select(F.col("x").alias("comp"), "m")
+    return cut(label.join(named, "comp", "left").select("rep", F.coalesce("m", "comp").alias("comp")))
 
 
 def compatible() -> Column:
@@ -140,27 +149,23 @@ def link_components(reps: DataFrame) -> DataFrame:
     lists = cut(lists.join(shared, "tok", "left_semi").withColumn("at", F.col("at") + F.col("odd")))
 
     inside = member.filter("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    links, comp, tried = None, None, inside.limit(0)
+    comp, first = reps.select("rep", F.col("rep").alias("comp")), True
     for _ in range(PIVOT_ROUNDS):
-        if comp is None:
-            open_lists, rank = lists, F.struct("odd", "gid")
-        else:
+        open_lists = lists
+        if not first:  # pivots of components other than that of the list's best member
             lead = lists.join(comp.withColumnRenamed("rep", "gid"), "gid")
             top = lead.groupBy("tok").agg(F.min(F.struct("odd", "gid", "comp")).alias("top"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
             open_lists = lead.join(top.filter("c1 <> c2").select("tok", "top"), "tok").filter(F.col("comp") != F.col("top.comp"))
-            rank = F.struct("odd", "gid")
-        pivot = open_lists.groupBy("tok").agg(F.min(rank).alias("p"), F.max_by("n", F.struct(-F.col("odd"), -F.col("gid"))).alias("nb"))
-        near = lists.withColumnRenamed("n", "na").join(pivot, "tok").filter((F.col("gid") != F.col("p.gid")) & compatible())
+        pivot = open_lists.groupBy("tok").agg(F.min(F.struct("odd", "gid", "n")).alias("p"))
+        near = lists.withColumnRenamed("n", "na").join(pivot, "tok").withColumn("nb", F.col("p.n")).filter((F.col("gid") != F.col("p.gid")) & compatible())
         pairs = near.select("gid", F.col("p.gid").alias("b")).distinct()
         pairs = pairs.join(member.select("gid", F.col("rep").alias("a")), "gid").select("a", "b")
-        if comp is None:
+        if first:
             pairs = pairs.unionByName(inside)
         else:
             ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("x")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
             pairs = pairs.join(ca, "a").join(cb, "b").filter("x <> y").select("a", "b")
-        found = cut(verified(pairs.distinct(), reps))
-        links = found if links is None else links.unionByName(found)
-        comp = components(reps, links)
+        comp, first = components(comp, cut(verified(pairs.distinct(), reps))), False
     # whatever still shares a posting list across components
     full = lists.join(member.select("gid", "rep"), "gid").join(comp, "rep")
     split = full.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("tok")
@@ -172,7 +177,7 @@ def link_components(reps: DataFrame) -> DataFrame:
     in_group = member.join(comp, "rep").select("gid", "rep", "comp")
     left, right = in_group.toDF("gid", "a", "x"), in_group.toDF("gid", "b", "y")
     pairs = pairs.select("a", "b").unionByName(left.join(right, "gid").filter("a < b and x <> y").select("a", "b")).distinct()
-    return components(reps, links.unionByName(verified(pairs, reps)))
+    return components(comp, cut(verified(pairs, reps)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
