@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -49,3 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once into the shared checkpoint folder, without lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, as after cut()."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

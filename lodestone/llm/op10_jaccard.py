@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
-from .packed import FORWARD, U, Words, counts_of, dealt, forward, groups_for, mix, replies, unique
+from .common import cut, read, release
+from .packed import FORWARD, U, Words, counts_of, dealt, forward, groups_for, mix, replies, squeeze, unique
 
 SHINGLE, PERCENT = 5, 75
 PIVOT_ROUNDS = 2
@@ -64,13 +64,13 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = dealt(docs.select(key, text), key, n_groups)
 
     def ask(t: pa.Table) -> pa.Table:
-        (keys,), _, _ = unique(Sets(t[text]).hash)
-        return forward(t["g"][0].as_py(), [keys], n_groups)
+        keys, _, _ = unique(squeeze(Sets(t[text]).hash, n_groups))
+        return forward(t["g"][0].as_py(), keys, n_groups, small=True)
 
     def tell(t: pa.Table, r: pa.Table) -> pa.Table:
         s = Sets(t[text])
-        keys, local, where = unique(s.hash)
-        groups = counts_of(r, keys, n_groups)
+        keys, local, where = unique(squeeze(s.hash, n_groups))
+        groups = counts_of(r, keys, n_groups, small=True)
         shared, freq = ((groups > 1) | (local > 1))[where], groups[where]
         order = np.lexsort((s.hash, freq, s.doc))
         order = order[shared[order]]
@@ -86,7 +86,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         core = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat[take], pa.int64()), mask=pa.array(~ok))
         return pa.table({key: t[key], "n": pa.array(s.n, pa.int64()), "s1": pa.array(s.sums[0]), "s2": pa.array(s.sums[1]), "core": core})
 
-    answers = replies(parts.groupBy("g").applyInArrow(ask, FORWARD), 1)
+    answers = replies(parts.groupBy("g").applyInArrow(ask, FORWARD), 0)
     kind = dict(docs.dtypes)[key]
     return parts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, core array<bigint>")
 
@@ -132,15 +132,15 @@ def compatible() -> Column:
     return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
 
 
+def prefix_of() -> Column:
+    """The shared shingles among the first n - ceil(0.75 n) + 1; null if there are none."""
+    size = (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1 - (F.col("n") - F.size("core"))).cast("int")
+    return F.when(size > 0, F.slice("core", F.lit(1), F.greatest(size, F.lit(1))))
+
+
 def link_components(reps: DataFrame) -> DataFrame:
     """reps: rep, n, core. rep and comp of the representatives that may link; all others are alone."""
-    prefix = (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1 - (F.col("n") - F.size("core"))).cast("int")
-    reps = reps.withColumn("pre", F.when(prefix > 0, F.slice("core", F.lit(1), F.greatest(prefix, F.lit(1)))))
-    reps = reps.filter(F.col("pre").isNotNull())
-    posted = reps.select("rep", F.explode("pre").alias("tok"))
-    common = posted.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    busy = posted.join(common, "tok", "left_semi").select("rep").distinct()
-    reps = cut(reps.join(busy, "rep", "left_semi").withColumn("odd", F.col("n") - F.size("core")))
+    reps = reps.withColumns({"pre": prefix_of(), "odd": F.col("n") - F.size("core")})
     groups = reps.groupBy("n", "pre").agg(F.min(F.struct("odd", "rep")).alias("lead"), F.count("*").alias("size"))
     groups = groups.select("n", "pre", F.col("lead.rep").alias("gid"), F.col("lead.odd").alias("odd"), "size")
     member = cut(reps.select("rep", "n", "odd", "pre").join(groups.select("n", "pre", "gid"), ["n", "pre"]).select("rep", "n", "odd", "gid"))
@@ -183,8 +183,17 @@ def link_components(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each document."""
     sets = cut(shingle_sets(docs, key, text))
-    reps = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep"), F.first("core", ignorenulls=True).alias("core"))
-    may = reps.filter("core is not null and rep is not null").select("rep", "n", "core")
+    release(docs.sparkSession)
+    same = ["s1", "s2", "n"]
+    reps = sets.filter("n > 0").groupBy(*same).agg(F.min(key).alias("rep"))
+    # sets with a prefix shingle that another set has in its prefix too
+    posted = sets.filter("core is not null").select(*same, F.explode(prefix_of()).alias("tok"))
+    sig = F.struct("s1", "s2")
+    common = posted.groupBy("tok").agg(F.min(sig).alias("a"), F.max(sig).alias("b")).filter("a <> b").select("tok")
+    busy = posted.join(common, "tok", "left_semi").select(*same).distinct()
+    cores = sets.filter("core is not null").join(busy, same, "left_semi").groupBy(*same).agg(F.first("core").alias("core"))
+    may = cut(cores.join(reps, same).filter("rep is not null").select("rep", "n", "core"))
+    release(docs.sparkSession)
     comp = link_components(may)
     named = reps.select("s1", "s2", "n", "rep").join(comp, "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id"))
     out = sets.select(key, "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .packed import FORWARD, REPLY, Words, counts_of, dealt, forward, groups_for, replies, unique
+from .packed import FORWARD, REPLY, Words, counts_of, dealt, forward, groups_for, replies, squeeze, unique
 
 WINDOW, PERIOD = 35, 21
 #: A perfect difference set modulo 21: every difference occurs exactly once.
@@ -39,15 +39,15 @@ def _anchors(w: Words) -> np.ndarray:
     return np.flatnonzero(at_cover[w.pos % PERIOD] & (room >= ANCHOR) & (np.repeat(w.n, w.n) >= WINDOW))
 
 
-def _anchor_keys(w: Words):
+def _anchor_keys(w: Words, n: int):
     at = _anchors(w)
-    return at, *unique(w.runs(ANCHOR)[at])
+    return at, *unique(squeeze(w.runs(ANCHOR)[at], n))
 
 
 def _candidates(w: Words, reply: pa.Table, n: int) -> np.ndarray:
     """Numbers of the words at which a window with a repeated anchor starts."""
-    at, keys, local, where = _anchor_keys(w)
-    hot = at[((counts_of(reply, keys, n) > 1) | (local > 1))[where]]
+    at, keys, local, where = _anchor_keys(w, n)
+    hot = at[((counts_of(reply, keys, n, small=True) > 1) | (local > 1))[where]]
     mark = np.zeros(len(w.doc) + 1, np.int64)
     first = w.first[w.doc[hot]]
     last = first + w.n[w.doc[hot]] - WINDOW
@@ -71,8 +71,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     names = [c for c in docs.columns if c != text]
 
     def first_pass(t: pa.Table) -> pa.Table:
-        _, keys, _, _ = _anchor_keys(Words(t[text]))
-        return forward(t["g"][0].as_py(), keys, n)
+        _, keys, _, _ = _anchor_keys(Words(t[text]), n)
+        return forward(t["g"][0].as_py(), keys, n, small=True)
 
     def second_pass(t: pa.Table, r: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -107,7 +107,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return pa.table(cols, names=[*names, "kept_sha256" if digest else text, "n_words", "n_removed"])
 
     asked = parts.select("g", text)
-    one = replies(asked.groupBy("g").applyInArrow(first_pass, FORWARD), 1)
+    one = replies(asked.groupBy("g").applyInArrow(first_pass, FORWARD), 0)
     two = replies(asked.groupBy("g").cogroup(one.groupBy("g")).applyInArrow(second_pass, FORWARD), 2)
     told = one.withColumn("stage", F.lit(1)).unionByName(two.withColumn("stage", F.lit(2)))
     kinds = dict(docs.dtypes)

@@ -116,6 +116,16 @@ def ranges_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+#: Bytes of a squeezed key within its range.
+SMALL = 5
+
+
+def squeeze(key: np.ndarray, n: int) -> np.ndarray:
+    """Keys with all but the range and SMALL bytes left out, ascending by range: for questions where a key that seems to
+    occur again and doesn't does no harm."""
+    return (ranges_of(key, n).astype(np.uint64) << U(8 * SMALL)) | (key & U((1 << 8 * SMALL) - 1))
+
+
 def unique(*key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sorted distinct keys of one or two columns, the number of each, and where each input row's key is among them."""
     order = np.argsort(key[0], kind="stable") if len(key) == 1 else np.lexsort(key[::-1])
@@ -135,19 +145,35 @@ FORWARD_ARROW = pa.schema([("range", pa.int32()), ("g", pa.int32()), ("keys", pa
 REPLY_ARROW = pa.schema([("g", pa.int32()), ("range", pa.int32()), ("flags", pa.binary()), ("counts", pa.binary())])
 
 
-def forward(g: int, keys: list[np.ndarray], n: int) -> pa.Table:
-    """Blocks of the sorted distinct keys, one for each range that has any."""
-    r = ranges_of(keys[0], n)
+def _range(keys: list[np.ndarray], n: int, small: bool) -> np.ndarray:
+    return (keys[0] >> U(8 * SMALL)).astype(np.int64) if small else ranges_of(keys[0], n)
+
+
+def forward(g: int, keys: list[np.ndarray], n: int, small: bool = False) -> pa.Table:
+    """Blocks of the sorted distinct keys, one for each range that has any; small: keys are squeezed."""
+    r = _range(keys, n, small)
     which, at = np.unique(r, return_index=True)
     ends = np.append(at[1:], len(r))
     rows = np.stack(keys, axis=1) if len(keys) > 1 else keys[0]
+    if small:
+        rows = rows.view(np.uint8).reshape(-1, 8)[:, :SMALL]
     blocks = [rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
     return pa.table([pa.array(which, pa.int32()), pa.array([g] * len(which), pa.int32()), pa.array(blocks, pa.binary())], schema=FORWARD_ARROW)
 
 
 def answer(blocks: pa.Table, width: int) -> pa.Table:
-    """For each block: a bit a key, set if another block has it; for those the number of blocks, up to 65535."""
-    raw = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, width) for x in blocks["keys"].combine_chunks()] if blocks.num_rows else []
+    """For each block: a bit a key, set if another block has it; for those the number of blocks, up to 65535. Width: columns
+    of a key, 0 for squeezed keys."""
+    raw = []
+    for x in blocks["keys"]:
+        block = np.frombuffer(x.as_buffer(), np.uint8)
+        if width == 0:
+            full = np.zeros((len(block) // SMALL, 8), np.uint8)
+            full[:, :SMALL] = block.reshape(-1, SMALL)
+            raw.append(full.view(np.uint64))
+        else:
+            raw.append(block.view(np.uint64).reshape(-1, width))
+    width = max(width, 1)
     every = np.concatenate(raw) if raw else np.zeros((0, width), np.uint64)
     _, count, where = unique(*[every[:, i] for i in range(width)])
     count, flags, counts, a = np.minimum(count[where], 65535), [], [], 0
@@ -163,10 +189,10 @@ def replies(blocks: DataFrame, width: int) -> DataFrame:
     return blocks.groupBy("range").applyInArrow(lambda t: answer(t, width), REPLY)
 
 
-def counts_of(reply: pa.Table, keys: list[np.ndarray], n: int) -> np.ndarray:
+def counts_of(reply: pa.Table, keys: list[np.ndarray], n: int, small: bool = False) -> np.ndarray:
     """How many groups have each of the sorted distinct keys."""
     out = np.ones(len(keys[0]), np.int64)
-    r = ranges_of(keys[0], n)
+    r = _range(keys, n, small)
     rows = {x["range"]: x for x in reply.to_pylist()}
     which, at = np.unique(r, return_index=True)
     for k, a, b in zip(which, at, np.append(at[1:], len(r)), strict=True):
