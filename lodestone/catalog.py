@@ -1,4 +1,9 @@
 """Names of the engine's own queries, with the SQL that should give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from lodestone.plans import events, graphs, names, texts, web
+
+MODULES = (graphs, names, texts, events, web)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
