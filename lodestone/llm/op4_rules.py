@@ -116,7 +116,7 @@ def sample_of(labels: DataFrame, key: str, label: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """Ordered rules; a document that one of them covers is bad."""
     some = sample_of(labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")), "_k", "_y")
-    f = cut(features(docs.select(key, text).join(some, docs[key] == some["_k"]), text)).filter(~base_failed())
+    f = cut(features(docs.select(key, text).join(F.broadcast(some), docs[key] == some["_k"]), text)).filter(~base_failed())
     if not f.limit(1).count():
         return []
     points = [i / BINS for i in range(1, BINS)]
