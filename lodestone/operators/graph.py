@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .materialize import settle
+
 #: Cycles of more nodes are not listed.
 MAX_CYCLE = 10
 
@@ -38,17 +40,17 @@ def coupling(degree: DataFrame) -> DataFrame:
     )
 
 
-def core(edges: DataFrame, rounds: int = 4) -> DataFrame:
+def core(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Edges whose source has a way in and whose target has a way out, after some rounds: all cycles are among them."""
     for _ in range(rounds):
         edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = settle(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
     return edges
 
 
 def cycles(edges: DataFrame, longest: int = MAX_CYCLE, selfloops: bool = True) -> DataFrame:
     """cycle (array of nodes from its smallest one) and length, for every simple cycle of at most `longest` nodes."""
-    e = edges.select("src", "dst").distinct()
+    e = settle(edges.select("src", "dst").distinct())
     loops = e.filter("src = dst").select(F.array("src").alias("cycle"))
     e = core(e.filter("src <> dst"))
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
@@ -60,7 +62,7 @@ def cycles(edges: DataFrame, longest: int = MAX_CYCLE, selfloops: bool = True) -
         if n < longest:
             step = e.select(F.col("src").alias("at"), F.col("dst").alias("to"))
             grown = paths.join(step, "at").filter((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to")))
-            paths = grown.select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
+            paths = settle(grown.select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")))
     return found.select("cycle", F.size("cycle").alias("length"))
 
 
@@ -82,7 +84,7 @@ def forbidden(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> DataFr
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """id and distance of all nodes within `depth` steps of start(id)."""
     seen = start.select("id", F.lit(0).alias("distance")).distinct()
-    edge, step = seen, edges.select("src", "dst").distinct()
+    edge, step = seen, settle(edges.select("src", "dst").distinct())
     for d in range(1, depth + 1):
         edge = edge.join(step, edge["id"] == step["src"]).select(F.col("dst").alias("id"), F.lit(d).alias("distance")).distinct().join(seen, "id", "left_anti")
         seen = seen.unionByName(edge)

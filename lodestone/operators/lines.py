@@ -39,7 +39,7 @@ def floored_counter(df: DataFrame, delta: Column, key: list[str], order: list[st
 def quiet(events: DataFrame, key: list[str], ts: str, gap_s: float, order: list[str]) -> DataFrame:
     """The last event of each run of events of a key that are less than gap_s apart, with the run's size."""
     by = W.partitionBy(*key).orderBy(ts, *order)
-    gap = F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(by)
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(by)
     runs = events.withColumn("_new", F.coalesce((gap >= int(gap_s * 1e6)).cast("int"), F.lit(1)))
     runs = runs.withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     rest = [c for c in events.columns if c not in key]

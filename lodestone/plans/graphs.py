@@ -42,7 +42,7 @@ DEG_SQL = E_SQL + """, deg AS (
 
 
 def edge_build(spark, d):
-    return graph.last_wins(trade(spark, d).drop("cents"), ["l_orderkey", "l_linenumber"])
+    return graph.last_wins(trade(spark, d).drop("cents"), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def degree_hotspots(spark, d):
@@ -90,8 +90,8 @@ def focus_reach(spark, d):
 
 QUERIES = {f.__name__: f for f in (edge_build, degree_hotspots, coupling_summary, cycles_bounded, mutual_edges, layer_violations, domain_crossings, focus_reach)}
 ORACLES = {
-    "edge_build": f"""WITH {TRADE_SQL} SELECT src, dst, max(l_orderkey) AS l_orderkey, arg_max(l_linenumber, l_orderkey * 100 + l_linenumber) AS l_linenumber,
-  arg_max(l_partkey, l_orderkey * 100 + l_linenumber) AS l_partkey FROM trade GROUP BY src, dst""",
+    "edge_build": f"""WITH {TRADE_SQL} SELECT src, dst, l_orderkey, l_linenumber, l_partkey FROM trade
+QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1""",
     "degree_hotspots": f"WITH {DEG_SQL} SELECT * FROM g ORDER BY dependents DESC, id LIMIT 20",
     "coupling_summary": f"WITH {DEG_SQL} SELECT round(avg(coupling), 6) AS avg_coupling, max(coupling) AS max_coupling, min(coupling) AS min_coupling, count(*) AS files FROM g",
     "cycles_bounded": f"""WITH RECURSIVE {E_SQL}, p AS (
