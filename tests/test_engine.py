@@ -105,3 +105,25 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_quiet(spark):
     d = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00"), (1, 2, "2024-01-01 00:00:01"), (1, 3, "2024-01-01 01:00:00")], "k int, id int, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert rows(quiet(d, ["k"], "ts", 60, ["id"]), "id", "merged") == {(2, 2), (3, 1)}
+
+
+def test_contracts(spark):
+    from lodestone.operators import contracts
+
+    spec = '{"paths": {"/users/{id}": {"get": {"parameters": [{"name": "v", "in": "query", "required": true}]}}, "/old": {"get": {"deprecated": true}}}}'
+    specs = spark.createDataFrame([(spec,)], "content string")
+    calls = "fetch(`/users/${id}?v=1`)\nfetch('/users/3')\naxios.post('/users/3')\nfetch('/old')\n"
+    f = src.described(spark.createDataFrame([("client/a.ts", calls), ("server/b.ts", "fetch('/x')")], "relative_path string, content string"))
+    got = rows(contracts.mismatches(f, specs), "line", "message")
+    assert got == {(2, "missing query parameter v"), (3, "unknown endpoint POST /users/3"), (4, "deprecated endpoint /old")}
+    sdl = spark.createDataFrame([("type Query {\n  user(id: ID!): User\n  old: Int @deprecated\n}",)], "content string")
+    assert rows(contracts.graphql_fields(sdl), "field", "deprecated") == {("user", False), ("old", True)}
+
+
+def test_signatures(spark):
+    from lodestone.operators import contracts
+
+    files = [("shared/u.ts", "export function getUserById(id: string, deep?: boolean) {}\n"), ("client/c.ts", "getUserById()\nfetchUserById('1')\ngetUserById('1', true)\n")]
+    f = src.described(spark.createDataFrame(files, "relative_path string, content string"))
+    got = rows(contracts.signatures(f, "^shared/", "^client/"), "line", "message")
+    assert got == {(1, "getUserById takes 1 to 2 arguments, not 0"), (2, "fetchUserById may be getUserById")}
