@@ -127,3 +127,23 @@ def test_signatures(spark):
     f = src.described(spark.createDataFrame(files, "relative_path string, content string"))
     got = rows(contracts.signatures(f, "^shared/", "^client/"), "line", "message")
     assert got == {(1, "getUserById takes 1 to 2 arguments, not 0"), (2, "fetchUserById may be getUserById")}
+
+
+def test_more_rules(spark):
+    from lodestone.operators import more_rules as m
+
+    files = [
+        ("a/user.ts", "interface UserProfile {\n  id: string\n  mail: string\n}\n"),
+        ("b/account.ts", "interface UserProfil {\n  id: string\n  mail: string\n}\nasync function load() {}\nload();\nawait load();\n"),
+        ("c/tx.ts", "db.begin()\nfetch('x')\naxios.get('y')\ndb.commit()\nfetch('z')\n"),
+        ("d/list.tsx", "const [count, setCount] = useState(0)\nuseEffect(() => {\n  show(count)\n}, [])\nfunction item() {\n  return <b/>\n}\nwindow.addEventListener('x', y)\n"),
+    ]
+    f = src.described(spark.createDataFrame(files, "relative_path string, content string"))
+    assert rows(m.drift(f), "file", "line") == {("b/account.ts", 1)}
+    assert rows(m.floating(f), "file", "line") == {("b/account.ts", 6)}
+    assert ("c/tx.ts", 2, "2 remote calls in a transaction") in rows(m.transactions(f), "file", "line", "message")
+    assert rows(m.hook_dependencies(f), "file", "line") == {("d/list.tsx", 2)}
+    assert rows(m.component_names(f), "line") == {(5,)} and rows(m.leaks(f), "line") == {(8,)}
+    e = spark.createDataFrame([("modules/a/x.ts", "modules/b/y.ts"), ("modules/a/x.ts", "modules/shared/z.ts")], "src string, dst string")
+    assert m.domains(e).count() == 1 and m.domains(e, [("a", "b")]).count() == 0
+    assert "context-drift-patterns" in rules.RULES
