@@ -117,7 +117,7 @@ def ranges_of(key: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Bytes of a squeezed key within its range.
-SMALL = 5
+SMALL = 4
 
 
 def squeeze(key: np.ndarray, n: int) -> np.ndarray:
