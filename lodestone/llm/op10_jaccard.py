@@ -187,11 +187,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = ["s1", "s2", "n"]
     reps = sets.filter("n > 0").groupBy(*same).agg(F.min(key).alias("rep"))
     # sets with a prefix shingle that another set has in its prefix too
-    posted = sets.filter("core is not null").select(*same, F.explode(prefix_of()).alias("tok"))
-    sig = F.struct("s1", "s2")
-    common = posted.groupBy("tok").agg(F.min(sig).alias("a"), F.max(sig).alias("b")).filter("a <> b").select("tok")
-    busy = posted.join(common, "tok", "left_semi").select(*same).distinct()
-    cores = sets.filter("core is not null").join(busy, same, "left_semi").groupBy(*same).agg(F.first("core").alias("core"))
+    posted = sets.filter("core is not null").select("s1", F.explode(prefix_of()).alias("tok"))
+    common = posted.groupBy("tok").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("tok")
+    busy = posted.join(common, "tok", "left_semi").select("s1").distinct()
+    cores = sets.filter("core is not null").join(busy, "s1", "left_semi").groupBy(*same).agg(F.first("core").alias("core"))
     may = cut(cores.join(reps, same).filter("rep is not null").select("rep", "n", "core"))
     release(docs.sparkSession)
     comp = link_components(may)
