@@ -49,7 +49,8 @@ class Sets:
         self.end = np.cumsum(self.n)
         self.sums = []
         for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-            run = np.concatenate([[0], np.cumsum(mix(self.hash ^ U(c)), dtype=np.uint64)]).astype(np.uint64)
+            run = np.zeros(len(self.hash) + 1, np.uint64)
+            np.cumsum(mix(self.hash ^ U(c)), out=run[1:])
             self.sums.append((run[self.end] - run[self.end - self.n]).view(np.int64))
 
 

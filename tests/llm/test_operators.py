@@ -196,3 +196,14 @@ def test_mix_meets_targets(spark, texts):
         assert abs(taken - target) <= largest
     assert sorted(map(tuple, op8_mix.mix(docs.repartition(5)).toPandas().values.tolist()), key=str) == sorted(map(tuple, got.values.tolist()), key=str)
     assert op8_mix.mix(docs.limit(0)).count() == 0
+
+
+def test_set_sums_are_exact():
+    import random
+
+    words = [f"w{i}" for i in range(400)]
+    first = " ".join(words)
+    alone = op10_jaccard.Sets(pa.chunked_array([[first]]))
+    after = op10_jaccard.Sets(pa.chunked_array([[" ".join(random.Random(1).choices(words, k=3000)), first]]))
+    assert [x[0] for x in alone.sums] == [x[1] for x in after.sums]
+    assert int(alone.sums[0].view(np.uint64)[0]) == sum(int(v) for v in packed.mix(alone.hash ^ np.uint64(0x5851F42D4C957F2D))) % 2**64
