@@ -6,7 +6,7 @@ right after a negation as negated, after a verb of saying as reported. A clause'
 each state, bounded by CLAUSE_CAP, and clauses rather than words are added up.
 
 The weights of the insult and threat transducers are learned: word stems (prefixes of STEMS characters, and whole words,
-written with a final $) get the log odds of toxic against other labelled documents; a word takes the stem of the largest
+written with a final $) get the log odds of toxic against other labelled documents, a prefix only if many words share it; a word takes the stem of the largest
 weight. Target, negation and reporting words are fixed. How much each state counts is a logistic regression on the clause
 sums, whose scores are shifted so that PREDICT is the threshold with the best F1 on the labelled rows.
 
@@ -34,6 +34,8 @@ from .common import read
 SAMPLE = {1: 4000, 0: 8000}
 STEMS = range(3, 9)
 MIN_SUPPORT, MIN_SHARE, MIN_WEIGHT = 3, 0.02, 1.5
+#: A prefix stands for a family of words: of so many kinds at least, of which no one makes up more than this share.
+MIN_KINDS, MOST_ONE = 4, 0.6
 CLAUSE_CAP, PREDICT = 12.0, 0.7
 CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -118,8 +120,17 @@ def lexicon(some: DataFrame) -> tuple[dict[str, float], int, int]:
 
     rows = some.mapInArrow(stems, "stem string, p bigint, n bigint").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("n") + 0.5) / (n + 1.0))
-    found = rows.filter(F.col("p") >= max(MIN_SUPPORT, MIN_SHARE * p)).filter(odds >= MIN_WEIGHT).select("stem", odds.alias("w")).collect()
-    return {r["stem"]: float(r["w"]) for r in found}, p, n
+    found = rows.filter(F.col("p") >= max(MIN_SUPPORT, MIN_SHARE * p)).filter(odds >= MIN_WEIGHT).select("stem", "p", odds.alias("w")).collect()
+    weights = {r["stem"]: float(r["w"]) for r in found}
+    prefixes = [(r["stem"], r["p"]) for r in found if not r["stem"].endswith("$")]
+    if prefixes:
+        word = rows.filter(F.endswith("stem", F.lit("$")) & (F.col("p") > 0)).select(F.expr("left(stem, length(stem) - 1)").alias("word"), "p")
+        cuts = F.array_compact(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEMS]))
+        asked = some.sparkSession.createDataFrame(prefixes, "stem string, all long")
+        family = word.select(F.explode(cuts).alias("stem"), "p").join(F.broadcast(asked), "stem").groupBy("stem", "all").agg(F.count("*").alias("kinds"), F.max("p").alias("most"))
+        for r in family.filter((F.col("kinds") < MIN_KINDS) | (F.col("most") > MOST_ONE * F.col("all"))).collect():
+            del weights[r["stem"]]
+    return weights, p, n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
