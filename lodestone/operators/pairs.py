@@ -1,0 +1,29 @@
+"""All pairs of two frames, in blocks."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a side in a block, about.
+BLOCK = 5_000
+
+
+def all_pairs(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of a beside every row of b with equal columns on; the other columns have different names.
+
+    The rows of a side are dealt to blocks by hash and every two blocks meet under a key of their own, so that no side has to
+    fit a task or be broadcast. The work is that of all pairs: rows of a times rows of b."""
+    n_a, n_b = (max(1, math.ceil(x.count() / BLOCK)) for x in (a, b))
+
+    def block(x: DataFrame, n: int):
+        return F.pmod(F.xxhash64(*x.columns), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    one = a.withColumn("_i", block(a, n_a)).withColumn("_j", every(n_b))
+    two = b.withColumn("_j", block(b, n_b)).withColumn("_i", every(n_a))
+    return one.join(two, [*on, "_i", "_j"]).drop("_i", "_j")

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators.pairs import all_pairs
 from lodestone.sources.tables import table
 
-#: Names compared by a broadcast of one side, at most; beyond it words and prefixes block the pairs.
+#: Names compared by a broadcast of one side, at most; beyond it the same pairs are made in blocks.
 BROADCAST_NAMES = 50_000
 
 
-def blocks(name: Column) -> Column:
-    """Keys of which two names share one if they share a word or the two first or last letters."""
-    words = text.name_words(name)
-    low = F.lower(name)
-    ends = F.array(F.concat(F.lit("^"), F.substring(low, 1, 2)), F.concat(F.lit("$"), F.substring(low, -2, 2)))
-    return F.array_distinct(F.concat(words, ends))
-
-
 def pairs(names: DataFrame) -> DataFrame:
-    """a, b: ordered pairs of distinct names (column name) to be scored."""
-    n = names.select("name").distinct()
+    """a, b: all ordered pairs of distinct names (column name) to be scored; other columns get a and b after their names."""
+    n = names.distinct()
+    rest = [c for c in n.columns if c != "name"]
+    one, two = (n.select(F.col("name").alias(x), *[F.col(c).alias(c + x) for c in rest]) for x in "ab")
     if n.count() <= BROADCAST_NAMES:
-        return n.toDF("a").join(F.broadcast(n.toDF("b")), F.col("a") != F.col("b"))
-    keyed = n.select("name", F.explode(blocks(F.col("name"))).alias("k"))
-    return keyed.toDF("a", "k").join(keyed.toDF("b", "k"), "k").filter("a <> b").select("a", "b").distinct()
+        return one.join(F.broadcast(two), F.col("a") != F.col("b"))
+    return all_pairs(one, two).filter("a <> b")
 
 
 def fuzzy_names(spark, d):
@@ -49,8 +43,7 @@ def fuzzy_top3(spark, d):
 def structural_drift(spark, d):
     """Names of similar spelling whose sets of brands differ or agree."""
     sets = table(spark, d, "part").groupBy("p_name").agg(F.collect_set("p_brand").alias("s"))
-    p = pairs(sets.select(F.col("p_name").alias("name"))).filter("a < b")
-    p = p.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    p = pairs(sets.select(F.col("p_name").alias("name"), "s")).filter("a < b")
     score = 0.4 * text.edit_similarity(F.col("a"), F.col("b")) + 0.6 * text.jaccard(F.col("sa"), F.col("sb"))
     return p.select("a", "b", F.round(score, 6).alias("score")).filter("score >= 0.5")
 

@@ -1,0 +1,29 @@
+"""All pairs of names are scored, however many there are."""
+
+import pytest
+
+from lodestone.operators import pairs
+from lodestone.plans import names
+
+PARTS = [
+    ("aqua steel", "Brand#11"), ("equa steal", "Brand#22"), ("red plum", "Brand#33"), ("xyz", "Brand#44"), ("blue gold", "Brand#44"),
+    ("green tin", "Brand#55"), ("old green tin", "Brand#12"), ("paint", "Brand#13"), ("painting", "Brand#14"), (None, "Brand#44"),
+]
+FOUND = {
+    "fuzzy_names": ("aqua steel", "equa steal"), "fuzzy_top3": ("aqua steel", "equa steal"),
+    "structural_drift": ("blue gold", "xyz"), "type_suggestion": ("aqua steel", "equa steal"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FOUND))
+def test_blocks_give_all_pairs(spark, tmp_path, monkeypatch, name):
+    spark.createDataFrame(PARTS, "p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+
+    def rows():
+        return sorted(tuple(r) for r in names.QUERIES[name](spark, str(tmp_path)).collect())
+
+    few = rows()
+    monkeypatch.setattr(names, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    assert rows() == few
+    assert FOUND[name] in {r[:2] for r in few}
