@@ -1,10 +1,11 @@
 """A training-corpus pipeline: five stages, each of one operator, over the table documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's
-docs. All but the last return the columns of documents.
+docs, whose rows have a fixed order therefore. All but the last return the columns of documents.
 
 1. toxicity: documents that the grammar rejects go. Null texts have no evidence and stay.
-2. near duplicates: of each component of the Jaccard join the document with the smallest doc_id stays; empty texts stay.
+2. near duplicates: of each component of the Jaccard join one row stays, the first by doc_id, hash of the text and place in
+   the table, so repeated rows and repeated ids lose no text; empty texts stay.
 3. substring dedup: repeated passages are cut from the texts, and n_chars follows. A text without any stays as it is.
 4. decontamination: contaminated documents go.
 5. mixing: the rows of the mix, taken being the words that each document gives.
@@ -30,10 +31,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op10_jaccard.near_duplicates(docs)
-    # what goes: every document of a component but its smallest
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows are told apart by where they are read, as ids and texts may repeat
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    known = rows.filter("doc_id is not null")
+    found = op10_jaccard.near_duplicates(known, key="_row")
+    order = known.select("_row", F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("o"))
+    first = found.join(order, "_row").groupBy("component_id").agg(F.min("o")["_row"].alias("_row"))
+    # what goes: every row of a component but its first
+    gone = found.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

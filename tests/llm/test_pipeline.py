@@ -29,3 +29,18 @@ def test_stages_remove_what_they_should(spark, tmp_path):
     assert mild >= {-1, -2, -4}
     assert {"doc_id", "taken"} <= set(cp.mixing(spark, planted, FOLDER).columns)
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+
+
+def test_repeated_rows_and_ids_lose_no_text(spark, tmp_path):
+    docs = read(spark, FOLDER, "documents")
+    one, two, three = (" ".join(f"{k}{i} word{i * n}" for i in range(60)) for k, n in (("first", 7), ("second", 11), ("third", 13)))
+    near = one.replace("first5 ", "other5 ")
+    # a row twice; an id with a near copy of a smaller id and with a text of its own; an id with two near copies; empty texts
+    rows = [(1, one, "en", "z", 1), (1, one, "en", "z", 1), (2, near, "en", "z", 1), (2, two, "en", "z", 1), (3, three, "en", "z", 1), (3, three.replace("third9 ", ""), "en", "z", 1), (4, "", "en", "z", 1), (4, None, "en", "z", 1), (None, one, "en", "z", 1)]
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{tmp_path}/docs")
+
+    kept = cp.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), FOLDER)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "")) for r in kept.collect())
+    assert [g for g in got if g[0] != 3] == sorted([(0, one), (1, one), (2, two), (4, ""), (4, "")])
+    assert len([g for g in got if g[0] == 3]) == 1
