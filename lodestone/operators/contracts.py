@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators.lines import lines_of
+from lodestone.operators.pairs import all_pairs
 from lodestone.operators.rules import shaped
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -99,16 +100,10 @@ def calls(files: DataFrame) -> DataFrame:
 
 
 def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: int = 3) -> DataFrame:
-    """For each name that known does not have: its most similar known names. Names meet by shared words, word groups or ends."""
-    def keyed(df: DataFrame) -> DataFrame:
-        words = text.name_words(F.col("name"))
-        groups = F.transform(words, lambda w: F.coalesce(F.concat(F.lit("#"), text.synonym_group(w).cast("string")), w))
-        low = F.lower("name")
-        ends = F.array(F.concat(F.lit("^"), F.substring(low, 1, 3)), F.concat(F.lit("$"), F.substring(low, -3, 3)))
-        return df.select("name", F.explode(F.array_distinct(F.concat(words, groups, ends))).alias("k"))
-
-    odd = names.select("name").distinct().join(known.select("name").distinct(), "name", "left_anti")
-    pairs = keyed(odd).toDF("a", "k").join(keyed(known.select("name").distinct()).toDF("b", "k"), "k").select("a", "b").distinct()
+    """For each name that known does not have: its most similar known names. Every known name is scored."""
+    have = known.select(F.col("name").alias("b")).distinct()
+    odd = names.select(F.col("name").alias("a")).distinct().join(have, F.col("a") == F.col("b"), "left_anti")
+    pairs = all_pairs(odd, have)
     a, b = F.col("a"), F.col("b")
     wa, wb = text.name_words(a), text.name_words(b)
     score = F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.jaccard(wa, wb))

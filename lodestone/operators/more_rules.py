@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators.lines import latch, lines_of
+from lodestone.operators.pairs import all_pairs
 from lodestone.operators.rules import RULES, shaped
 
 
@@ -105,13 +106,19 @@ def entities(files: DataFrame) -> DataFrame:
 def drift(files: DataFrame, least: float = 0.75) -> DataFrame:
     """Pairs of entities of one kind in different files that seem to be one concept: 0.4 name + 0.6 properties.
 
-    Only entities that share a property or a word of their name are compared."""
-    e = entities(files)
-    keys = F.array_distinct(F.concat("props", F.transform(text.name_words(F.col("name")), lambda w: F.concat(F.lit("#"), w))))
-    k = e.withColumn("id", F.concat_ws(":", "file", "line")).withColumn("k", F.explode(keys))
-    a = k.select("kind", "k", *[F.col(c).alias(f"{c}_a") for c in ("id", "name", "file", "line", "props")])
-    b = k.select("kind", "k", *[F.col(c).alias(f"{c}_b") for c in ("id", "name", "file", "line", "props")])
-    p = a.join(b, ["kind", "k"]).filter("id_a < id_b and file_a <> file_b and name_a <> name_b").drop("k").distinct()
+    Two entities with properties but none in common have at most the name's 0.4; so for a higher least these meet by
+    shared properties, and all others, of which one has no properties, in all pairs."""
+    e = entities(files).withColumn("id", F.concat_ws(":", "file", "line"))
+    fields = ("id", "name", "file", "line", "props")
+    a, b = (e.select("kind", *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in "ab")
+    if least > 0.4:
+        ka, kb = a.withColumn("k", F.explode("props_a")), b.withColumn("k", F.explode("props_b"))
+        p = ka.join(kb, ["kind", "k"]).drop("k").distinct()
+        bare_a, bare_b = a.filter(F.size("props_a") == 0), b.filter(F.size("props_b") == 0)
+        p = p.unionByName(all_pairs(bare_a, b, ("kind",))).unionByName(all_pairs(a.filter(F.size("props_a") > 0), bare_b, ("kind",)))
+    else:
+        p = all_pairs(a, b, ("kind",))
+    p = p.filter("id_a < id_b and file_a <> file_b and name_a <> name_b")
     names = text.edit_similarity(F.lower("name_a"), F.lower("name_b"))
     score = F.when((F.size("props_a") > 0) & (F.size("props_b") > 0), 0.4 * names + 0.6 * text.jaccard(F.col("props_a"), F.col("props_b"))).otherwise(names)
     p = p.withColumn("score", score).filter(F.col("score") >= least)

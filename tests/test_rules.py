@@ -1,0 +1,27 @@
+"""Findings of the rules on small files written here."""
+
+from lodestone.operators import contracts, more_rules, pairs
+
+
+def frame(spark, files):
+    return spark.createDataFrame(list(files.items()), "relative_path string, content string")
+
+
+def messages(df):
+    return {r["message"] for r in df.collect()}
+
+
+def test_near_misses_need_no_common_word(spark, monkeypatch):
+    f = frame(spark, {"shared/a.ts": "export function handleEvent(e) {\n", "shared/b.ts": "export function zzz() {\n", "client/c.ts": "hndleEvnt(1);\n"})
+    for size in (pairs.BLOCK, 1):
+        monkeypatch.setattr(pairs, "BLOCK", size)
+        assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"hndleEvnt may be handleEvent"}
+
+
+def test_entities_without_properties_drift(spark):
+    f = frame(spark, {
+        "a.ts": "interface UsrAcount {\n}\n", "b.ts": "interface UsrAccount {\n}\n", "c.ts": "interface UsrAcounts {\n  zip: string\n}\n",
+        "d.ts": "interface Plum {\n  size: number\n  pit: string\n}\n", "e.ts": "interface Plums {\n  size: number\n  pit: string\n}\n",
+    })
+    want = {"UsrAccount is like UsrAcount", "UsrAcounts is like UsrAcount", "UsrAcounts is like UsrAccount", "Plums is like Plum"}
+    assert messages(more_rules.drift(f)) == want
