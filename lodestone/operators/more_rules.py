@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,16 +128,28 @@ def drift(files: DataFrame, least: float = 0.75) -> DataFrame:
 HOOK = r"\b(useEffect|useCallback|useMemo)\s*\("
 
 
+def to_closing(code: Column) -> Column:
+    """The code up to the parenthesis that closes its first one; empty if none does."""
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (c == ")") & (depth == 0), s["n"] + 1).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), end.alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    return F.substr(code, F.lit(1), F.aggregate(F.split(code, ""), start, step)["end"])
+
+
 def hook_dependencies(files: DataFrame) -> DataFrame:
-    """State of a component that a hook's text uses and its dependency list leaves out (hooks of up to 30 lines)."""
+    """State of a component that a hook's text uses and its dependency list leaves out (calls of up to 50 lines, as in the reference)."""
     f = files.filter(F.col("relative_path").rlike(r"\.[jt]sx$"))
     state = lines_of(f.select("relative_path", "content")).withColumn("name", F.regexp_extract("line", r"\[\s*(\w+)\s*,\s*set\w+\s*\]\s*=\s*useState", 1)).filter("name <> ''")
     states = state.groupBy("relative_path").agg(F.collect_set("name").alias("states"))
-    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(0, 30)
+    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(0, 49)
     rows = lines_of(f.select("relative_path", "content")).withColumn("body", F.concat_ws("\n", F.collect_list("line").over(w)))
-    rows = rows.filter(F.col("line").rlike(HOOK)).withColumn("call", F.regexp_extract("body", r"(?s)^(.*?\},?\s*\[[^\]]*\]\s*\))", 1)).filter("call <> ''")
-    deps = F.regexp_extract_all(F.regexp_extract("call", r"(?s)\[([^\[\]]*)\]\s*\)$", 1), F.lit(r"(\w+)"), F.lit(1))
-    used = F.regexp_extract_all(F.regexp_extract("call", r"(?s)^(.*)\[[^\[\]]*\]\s*\)$", 1), F.lit(r"(?<![.\w])([A-Za-z_]\w*)"), F.lit(1))
+    rows = rows.filter(F.col("line").rlike(HOOK)).withColumn("call", to_closing(F.regexp_extract("body", r"(?s)" + HOOK + ".*", 0)))
+    rows = rows.filter(F.col("call").rlike(r",\s*\[[^\[\]]*\]\s*,?\s*\)$"))
+    deps = F.regexp_extract_all(F.regexp_extract("call", r"(?s)\[([^\[\]]*)\]\s*,?\s*\)$", 1), F.lit(r"(\w+)"), F.lit(1))
+    used = F.regexp_extract_all(F.regexp_extract("call", r"(?s)^(.*)\[[^\[\]]*\]\s*,?\s*\)$", 1), F.lit(r"(?<![.\w])([A-Za-z_]\w*)"), F.lit(1))
     d = rows.join(states, "relative_path").withColumn("miss", F.array_sort(F.array_except(F.array_intersect(used, F.col("states")), deps))).filter(F.size("miss") > 0)
     return shaped(d, "react/missing-dependency-array", "warning", F.concat(F.lit("not in the dependency list: "), F.array_join("miss", ", ")), "relative_path", "line_no")
 

@@ -25,3 +25,18 @@ def test_entities_without_properties_drift(spark):
     })
     want = {"UsrAccount is like UsrAcount", "UsrAcounts is like UsrAcount", "UsrAcounts is like UsrAccount", "Plums is like Plum"}
     assert messages(more_rules.drift(f)) == want
+
+
+def hook(lines):
+    """A component whose effect is a call of so many lines."""
+    return "const [count, setCount] = useState(0);\nuseEffect(() => {\n" + "  log(count);\n" * (lines - 2) + "}, []);\n"
+
+
+def test_long_hooks(spark):
+    f = frame(spark, {f"h{n}.tsx": hook(n) for n in (3, 31, 32, 45, 50)})
+    assert {r["file"] for r in more_rules.hook_dependencies(f).collect()} == {"h3.tsx", "h31.tsx", "h32.tsx", "h45.tsx", "h50.tsx"}
+
+
+def test_hooks_end_at_their_parenthesis(spark):
+    code = "const [count, setCount] = useState(0);\nuseEffect(() => {\n  log(x);\n});\nlog(count);\nuseMemo(() => {\n  return sum(y);\n}, [y]);\nuseMemo(() => twice(count), [y]);\n"
+    assert {r["line"] for r in more_rules.hook_dependencies(frame(spark, {"h.tsx": code})).collect()} == {9}
