@@ -106,7 +106,7 @@ def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: i
     pairs = all_pairs(odd, have)
     a, b = F.col("a"), F.col("b")
     wa, wb = text.name_words(a), text.name_words(b)
-    score = F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.jaccard(wa, wb))
+    score = F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.close_overlap(wa, wb))
     pairs = pairs.withColumn("score", F.round(score, 6)).filter((F.col("score") >= least) & (F.col("score") < 1))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= top)
 

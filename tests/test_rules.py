@@ -40,3 +40,8 @@ def test_long_hooks(spark):
 def test_hooks_end_at_their_parenthesis(spark):
     code = "const [count, setCount] = useState(0);\nuseEffect(() => {\n  log(x);\n});\nlog(count);\nuseMemo(() => {\n  return sum(y);\n}, [y]);\nuseMemo(() => twice(count), [y]);\n"
     assert {r["line"] for r in more_rules.hook_dependencies(frame(spark, {"h.tsx": code})).collect()} == {9}
+
+
+def test_synonyms_of_the_reference(spark):
+    f = frame(spark, {"shared/a.ts": "export function totalAmount(e) {\n", "shared/b.ts": "export function readStatusDate() {\n", "client/c.ts": "totalPrice(1);\nloadStateTime();\n"})
+    assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"totalPrice may be totalAmount", "loadStateTime may be readStatusDate"}
