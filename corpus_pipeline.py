@@ -66,7 +66,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("mixing", mixing),
 ]
-#: The first stage scores with a learned model, which SQL can't express; tests hold the stages against brute force.
+#: The first stage scores with a learned model, which SQL can't express; tests run the stages on planted rows.
 ORACLE_SQL = None
 
 
