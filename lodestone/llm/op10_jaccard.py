@@ -10,10 +10,12 @@
 4. Links only matter by what they connect. Members are first verified against a pivot, the member with the fewest unshared
    shingles in a posting list; then, pivot rounds later, whatever lies in one posting list but in different components is
    compared in full, so no component misses a link, while a large group of near copies costs about one comparison a member.
+   Posting lists and groups that are still split are joined in blocks of about BLOCK members, so none is one task's work.
 
-Sets are compared by 64-bit shingle hashes. Defined cases: null and empty texts have empty sets and are alone; texts of
-fewer than SHINGLE words have one shingle; equal rows are one set; a null id belongs to its set's component; other columns
-are not read; an empty table gives no rows.
+Sets are compared by 64-bit shingle hashes. Defined cases: null and empty texts have empty sets and are alone, their
+component_id being their own id; texts of fewer than SHINGLE words have one shingle; equal rows are one set; a document with a
+null id links like any other and its component_id is the smallest id of its component that is not null, null if there is none;
+a very long text is one row of one group; other columns are not read, so none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .packed import FORWARD, U, Words, counts_of, dealt, forward, groups_for, mi
 
 SHINGLE, PERCENT = 5, 75
 PIVOT_ROUNDS = 2
+#: Members of a posting list or group in one block of its self-join, about.
+BLOCK = 1000
 
 
 class Sets:
@@ -59,17 +63,17 @@ def least(n: np.ndarray | int):
     return -(-PERCENT * n // 100)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, s1, s2 (the set's identity) and, for sets that might link, core: shared shingles, rarest first."""
-    n_groups = groups_for(docs, text)
-    parts = dealt(docs.select(key, text), key, n_groups)
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """docs: k, t. k, n, s1, s2 (the set's identity) and, for sets that might link, core: shared shingles, rarest first."""
+    n_groups = groups_for(docs, "t")
+    parts = dealt(docs, ["k", "t"], n_groups)
 
     def ask(t: pa.Table) -> pa.Table:
-        keys, _, _ = unique(squeeze(Sets(t[text]).hash, n_groups))
+        keys, _, _ = unique(squeeze(Sets(t["t"]).hash, n_groups))
         return forward(t["g"][0].as_py(), keys, n_groups, small=True)
 
     def tell(t: pa.Table, r: pa.Table) -> pa.Table:
-        s = Sets(t[text])
+        s = Sets(t["t"])
         keys, local, where = unique(squeeze(s.hash, n_groups))
         groups = counts_of(r, keys, n_groups, small=True)
         shared, freq = ((groups > 1) | (local > 1))[where], groups[where]
@@ -85,11 +89,11 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         take = np.repeat(ok, m)
         sizes = np.where(ok, m, 0)
         core = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat[take], pa.int64()), mask=pa.array(~ok))
-        return pa.table({key: t[key], "n": pa.array(s.n, pa.int64()), "s1": pa.array(s.sums[0]), "s2": pa.array(s.sums[1]), "core": core})
+        return pa.table({"k": t["k"], "n": pa.array(s.n, pa.int64()), "s1": pa.array(s.sums[0]), "s2": pa.array(s.sums[1]), "core": core})
 
     answers = replies(parts.groupBy("g").applyInArrow(ask, FORWARD), 0)
-    kind = dict(docs.dtypes)[key]
-    return parts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, core array<bigint>")
+    kind = dict(docs.dtypes)["k"]
+    return parts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(tell, f"k {kind}, n bigint, s1 bigint, s2 bigint, core array<bigint>")
 
 
 def enough(a: Column, b: Column) -> Column:
@@ -139,6 +143,20 @@ def prefix_of() -> Column:
     return F.when(size > 0, F.slice("core", F.lit(1), F.greatest(size, F.lit(1))))
 
 
+def within(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows of one key and different components that sizes allow. rows: key, rep, comp, n, at (place of the key in the
+    prefix). A long list is dealt to blocks of about BLOCK rows, every two of which meet under a key of their own."""
+    many = rows.groupBy(key).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c"))
+    many = many.filter("c1 <> c2").select(key, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(many, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = rows.select(key, F.col("mine").alias("p"), every.alias("q"), F.col("rep").alias("a"), F.col("comp").alias("x"), F.col("n").alias("na"), F.col("at").alias("i"))
+    two = rows.select(key, every.alias("p"), F.col("mine").alias("q"), F.col("rep").alias("b"), F.col("comp").alias("y"), F.col("n").alias("nb"), F.col("at").alias("j"))
+    room = 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
+    fit = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & compatible() & (room >= enough(F.col("na"), F.col("nb")))
+    return one.join(two, [key, "p", "q"]).filter(fit).select("a", "b")
+
+
 def link_components(reps: DataFrame) -> DataFrame:
     """reps: rep, n, core. rep and comp of the representatives that may link; all others are alone."""
     reps = reps.withColumns({"pre": prefix_of(), "odd": F.col("n") - F.size("core")})
@@ -167,37 +185,33 @@ def link_components(reps: DataFrame) -> DataFrame:
             ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("x")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
             pairs = pairs.join(ca, "a").join(cb, "b").filter("x <> y").select("a", "b")
         comp, first = components(comp, cut(verified(pairs.distinct(), reps))), False
-    # whatever still shares a posting list across components
-    full = lists.join(member.select("gid", "rep"), "gid").join(comp, "rep")
-    split = full.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("tok")
-    full = full.join(split, "tok", "left_semi")
-    one = full.select("tok", F.col("rep").alias("a"), F.col("comp").alias("x"), F.col("n").alias("na"), F.col("at").alias("i"))
-    two = full.select("tok", F.col("rep").alias("b"), F.col("comp").alias("y"), F.col("n").alias("nb"), F.col("at").alias("j"))
-    room = 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
-    pairs = one.join(two, "tok").filter((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & compatible() & (room >= enough(F.col("na"), F.col("nb"))))
-    in_group = member.join(comp, "rep").select("gid", "rep", "comp")
-    left, right = in_group.toDF("gid", "a", "x"), in_group.toDF("gid", "b", "y")
-    pairs = pairs.select("a", "b").unionByName(left.join(right, "gid").filter("a < b and x <> y").select("a", "b")).distinct()
+    # whatever still shares a posting list or a group across components
+    posted = lists.join(member.select("gid", "rep"), "gid").join(comp, "rep").select("tok", "rep", "comp", "n", "at")
+    alike = member.join(comp, "rep").select("gid", "rep", "comp", "n", F.lit(0).cast("long").alias("at"))
+    pairs = within(posted, "tok").unionByName(within(alike, "gid")).distinct()
     return components(comp, cut(verified(pairs, reps)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each document."""
-    sets = cut(shingle_sets(docs, key, text))
+    sets = cut(shingle_sets(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))))
     release(docs.sparkSession)
     same = ["s1", "s2", "n"]
-    reps = sets.filter("n > 0").groupBy(*same).agg(F.min(key).alias("rep"))
+    ids = sets.filter("n > 0").groupBy(*same).agg(F.min("k").alias("id"))
     # sets with a prefix shingle that another set has in its prefix too
     posted = sets.filter("core is not null").select("s1", F.explode(prefix_of()).alias("tok"))
     common = posted.groupBy("tok").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("tok")
     busy = posted.join(common, "tok", "left_semi").select("s1").distinct()
     cores = sets.filter("core is not null").join(busy, "s1", "left_semi").groupBy(*same).agg(F.first("core").alias("core"))
-    may = cut(cores.join(reps, same).filter("rep is not null").select("rep", "n", "core"))
+    may = cut(cores.withColumn("rep", F.monotonically_increasing_id()))  # numbers are kept with the rows
     release(docs.sparkSession)
-    comp = link_components(may)
-    named = reps.select("s1", "s2", "n", "rep").join(comp, "rep", "left").select("s1", "s2", "n", F.coalesce("comp", "rep").alias("component_id"))
-    out = sets.select(key, "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+    comp = link_components(may.select("rep", "n", "core"))
+    placed = may.select(*same, "rep").join(comp, "rep").select(*same, "comp").join(ids, same)
+    least_id = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
+    linked = placed.join(least_id, "comp").select(*same, "component_id")
+    named = ids.join(linked.withColumn("hit", F.lit(True)), same, "left").select(*same, F.when(F.col("hit"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.lit(True).alias("known"))
+    out = sets.select("k", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("s1", "s2")]).join(named, same, "left")
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

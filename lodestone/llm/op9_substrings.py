@@ -8,10 +8,13 @@ whole windows. Words covered by a window that starts elsewhere too are removed.
 
 Both comparisons use packed keys (see packed.py): a passage in very many documents is sent once a group.
 
+Windows are compared by 128-bit hashes of their words. The texts are shuffled once; the three passes read that shuffle.
+
 Defined cases: null and empty texts have no words and lose none; texts of fewer than WINDOW words lose none; windows
 that repeat inside one document count, overlapping ones too; equal rows are documents of their own (each repeats the
-other); other columns are kept; an empty table gives no rows. A text with removals becomes its kept words joined by one
-space.
+other), with null ids as well; a null id is kept; a very long text is one row of one group; other columns are kept, but those
+named like a result (n_words, n_removed, kept_sha256; case does not count) are replaced by it; an empty table gives no rows.
+A text with removals becomes its kept words joined by one space.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, plain, read
 from .packed import FORWARD, REPLY, Words, counts_of, dealt, forward, groups_for, replies, squeeze, unique
 
 WINDOW, PERIOD = 35, 21
@@ -65,21 +68,21 @@ def _window_keys(w: Words, at: np.ndarray):
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """docs with n_words and n_removed, and the shortened text; with digest, key, the two numbers and kept_sha256 only."""
     n = groups_for(docs, text)
-    if digest:
-        docs = docs.select(key, text)
-    parts = dealt(docs, key, n)
+    docs = docs.select(key, text) if digest else plain(docs, "n_words", "n_removed")
+    group = fresh(docs, "g")
+    parts = dealt(docs, [key, text], n, group)
     names = [c for c in docs.columns if c != text]
 
     def first_pass(t: pa.Table) -> pa.Table:
         _, keys, _, _ = _anchor_keys(Words(t[text]), n)
-        return forward(t["g"][0].as_py(), keys, n, small=True)
+        return forward(t[group][0].as_py(), keys, n, small=True)
 
     def second_pass(t: pa.Table, r: pa.Table) -> pa.Table:
         if not t.num_rows:
             return forward(0, [np.zeros(0, np.uint64)] * 2, n)
         w = Words(t[text], seeds=2)
         keys, _, _ = _window_keys(w, _candidates(w, r, n))
-        return forward(t["g"][0].as_py(), keys, n)
+        return forward(t[group][0].as_py(), keys, n)
 
     def last_pass(t: pa.Table, r: pa.Table) -> pa.Table:
         w = Words(t[text], seeds=2)
@@ -106,13 +109,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         cols = [t[c] for c in names] + [pa.array(out, pa.string()), pa.array(w.n, pa.int64()), pa.array(removed, pa.int64())]
         return pa.table(cols, names=[*names, "kept_sha256" if digest else text, "n_words", "n_removed"])
 
-    asked = parts.select("g", text)
-    one = replies(asked.groupBy("g").applyInArrow(first_pass, FORWARD), 0)
-    two = replies(asked.groupBy("g").cogroup(one.groupBy("g")).applyInArrow(second_pass, FORWARD), 2)
+    # all passes group the same frame, so that its shuffle is made once
+    one = replies(parts.groupBy(group).applyInArrow(first_pass, FORWARD), 0)
+    two = replies(parts.groupBy(group).cogroup(one.groupBy("g")).applyInArrow(second_pass, FORWARD), 2)
     told = one.withColumn("stage", F.lit(1)).unionByName(two.withColumn("stage", F.lit(2)))
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{'kept_sha256' if digest else text}` string", "n_words bigint", "n_removed bigint"])
-    return parts.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(last_pass, schema)
+    return parts.groupBy(group).cogroup(told.groupBy("g")).applyInArrow(last_pass, schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Which keys of a corpus occur again elsewhere, at about eight bytes of shuffle a key.
 
-Documents are dealt to groups by a hash of their id. Each group sorts the distinct keys of its documents and sends one
+Documents are dealt to groups by a hash of their id and text. Each group sorts the distinct keys of its documents and sends one
 block of packed keys to every range of the key space (forward). A range compares its blocks and sends back, in the order of
 each block, how many groups have each key (reply). The group computes its keys again from the same documents and reads the
 answer by position. A key that is frequent within a group is sent once, so a hot key costs one entry a group, never one a
 row; nothing is collected on the driver.
 
-Hashes are computed on whole Arrow columns with numpy; texts stay UTF-8 bytes.
+Hashes are computed on whole Arrow columns with numpy; texts stay UTF-8 bytes. A word's hash is the sum of one random number
+for each of its bytes, drawn by the byte and its place (tabulation), so no pattern of words makes hashes equal by design; a
+run's hash is a polynomial over the hashes of its words.
+
+Defined cases: null and empty texts have no words; a group without any key sends nothing and hears nothing; rows equal in id
+and text (and null ids with equal texts) are dealt to one group, all others apart.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ U = np.uint64
 GROUP_BYTES, STEP = 8 << 20, 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Places of a word whose random numbers stand in a table; those of later places are mixed when needed.
+PLACES = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_bytes = [np.random.default_rng(97 + i).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for i in range(2)]
+_drawn = [np.random.default_rng(97 + i).integers(0, 1 << 64, PLACES << 8, dtype=np.uint64, endpoint=False) for i in range(2)]
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +84,21 @@ class Words:
 
     def _hash(self, seed: int) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
-        table, a = _bytes[seed], 0
+        drawn, a = _drawn[seed], 0
         while a < len(out):
             lo = self.start[a]
             b = max(a + 1, int(np.searchsorted(self.end, lo + STEP, "right")))
-            hi = self.end[b - 1]
-            p, q = powers(_BASE[seed], hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[self.buf[lo:hi]] * p[: hi - lo], out=sums[1:])
             s, e = self.start[a:b] - lo, self.end[a:b] - lo
-            out[a:b] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
+            size = int(e[-1])
+            place = np.arange(size) - np.repeat(s, np.diff(np.append(s, size)))
+            at = (place << 8) | self.buf[lo : lo + size]
+            value = drawn[np.minimum(at, len(drawn) - 1)]
+            late = np.flatnonzero(place >= PLACES)
+            if len(late):
+                value[late] = mix(mix(at[late].astype(np.uint64) + U(_BASE[seed])) + U(_BASE[1 - seed]))
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(value, out=sums[1:])
+            out[a:b] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * U(_BASE[seed]))
             a = b
         return out
 
@@ -153,7 +165,7 @@ def forward(g: int, keys: list[np.ndarray], n: int, small: bool = False) -> pa.T
     """Blocks of the sorted distinct keys, one for each range that has any; small: keys are squeezed."""
     r = _range(keys, n, small)
     which, at = np.unique(r, return_index=True)
-    ends = np.append(at[1:], len(r))
+    ends = np.append(at, len(r))[1:]
     rows = np.stack(keys, axis=1) if len(keys) > 1 else keys[0]
     if small:
         rows = rows.view(np.uint8).reshape(-1, 8)[:, :SMALL]
@@ -195,13 +207,13 @@ def counts_of(reply: pa.Table, keys: list[np.ndarray], n: int, small: bool = Fal
     r = _range(keys, n, small)
     rows = {x["range"]: x for x in reply.to_pylist()}
     which, at = np.unique(r, return_index=True)
-    for k, a, b in zip(which, at, np.append(at[1:], len(r)), strict=True):
+    for k, a, b in zip(which, at, np.append(at, len(r))[1:], strict=True):
         flag = np.unpackbits(np.frombuffer(rows[int(k)]["flags"], np.uint8), count=b - a).astype(bool)
         part = out[a:b]
         part[flag] = np.frombuffer(rows[int(k)]["counts"], np.uint16)
     return out
 
 
-def dealt(docs: DataFrame, key: str, n: int) -> DataFrame:
-    """docs with g, the group of each row."""
-    return docs.withColumn("g", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
+def dealt(docs: DataFrame, columns: list[str], n: int, group: str = "g") -> DataFrame:
+    """docs with the column group: that of each row, by a hash of the columns."""
+    return docs.withColumn(group, F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int"))
