@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of lower-cased text without ASCII punctuation.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words between ASCII white space.
-TOKEN = r"[^\x20\x09-\x0D]+"
+#: Words of lower-cased text without ASCII punctuation, and what stands between them.
+WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of ASCII white space.
+BLANK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,14 +24,19 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def parted(text: Column, between: str) -> Column:
+    """The text's pieces: only the first and the last one can be empty. Several times faster than to extract them all."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), between), "")
+
+
 def words(text: Column) -> Column:
-    """Array of the WORD matches of the text; null: empty."""
-    return F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Array of the WORD matches of the lower-cased text; null: empty."""
+    return parted(lower_az(text), NO_WORD)
 
 
 def tokens(text: Column) -> Column:
-    """Array of the TOKEN matches of the text; null: empty."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    """Array of the runs without BLANK of the text; null: empty."""
+    return parted(text, BLANK)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,12 +6,14 @@ by the condition with the best gain on two thirds of the labelled rows, is prune
 is precise there, and takes the rows it covers away. The driver only sees counts per cell of a grid of feature quantiles.
 The list becomes one CASE expression, so applying it is a projection of the scan.
 
-A repeated five-word window is found by its hash (array_distinct shortens the array), and only texts with such a repeat
-compare the windows' words themselves, so the count is exact.
+A repeated five-word window is found by its hash, combined from those of its words (array_distinct shortens the array), and only
+texts with such a repeat compare the windows' words themselves, so the count is exact.
 
 Defined cases: null and empty texts have no words and fail the base rules; null labels and labels without a document are
 not learned from; repeated label rows count each; with no labels, or none of a class, there are no rules and the base
-decides; ties between conditions go to the first feature and threshold; other columns are not read.
+decides; ties between conditions go to the first feature and threshold; repeated rows are documents of their own; a null id is
+kept and never learned from; a very long text is one row; other columns are kept by features(), but those named like a result
+(case does not count) are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, read, tokens
+from .common import cut, let, plain, read, tokens
 
 RUN = 5
 SYMBOLS = "#*$%&|<>"
@@ -32,14 +34,25 @@ SAMPLE = 4000
 BINS, MAX_RULES, MAX_CONDITIONS = 16, 8, 4
 MIN_COVER, MIN_PRECISION = 5, 0.9
 #: What the rules may test; all are ratios or counts per document.
-LEARNED = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "bar_share", "stop_share")
+LEARNED = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "bar_share", "kind_share")
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+INNER = ("_w", "_l", "_lines", "_upper", "_digit", "_bar", "_kinds")
 
 
 def repeats(w: Column) -> Column:
     """Words inside windows of RUN words found twice or more in the array."""
     n = F.size(w)
     at = F.sequence(F.lit(1), n - RUN + 1)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(RUN))))
+
+    def runs(h: Column) -> Column:
+        """Hashes of RUN = 2 + 2 + 1 words from each place on; zip_with fills the places past the end, which are cut."""
+        both = lambda x, y: F.xxhash64(x, y)
+        from_ = lambda x, k: F.slice(x, F.lit(k + 1), F.greatest(F.size(x) - k, F.lit(0)))
+        of_four = lambda two: F.zip_with(two, from_(two, 2), both)
+        five = F.zip_with(let(F.zip_with(h, from_(h, 1), both), of_four), from_(h, 4), both)
+        return F.slice(five, F.lit(1), F.greatest(F.size(h) - RUN + 1, F.lit(0)))
+
     pairs = F.array_sort(F.transform(at, lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(RUN)), " ").alias("v"), i.alias("i"))))
 
     def twice(p: Column) -> Column:
@@ -53,7 +66,7 @@ def repeats(w: Column) -> Column:
         lambda a, i: F.struct((a["n"] + i + RUN - F.greatest(a["end"], i)).alias("n"), (i + RUN).alias("end")),
         lambda a: a["n"],
     )
-    distinct = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    distinct = let(let(F.transform(w, lambda x: F.xxhash64(x)), runs), lambda h: F.size(F.array_distinct(h)) == F.size(h))
     return F.when((n < RUN) | distinct, F.lit(0)).otherwise(count)
 
 
@@ -63,6 +76,7 @@ def removed(text: Column, chars: str) -> Column:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with the counts and the learned features."""
+    docs = plain(docs, *COUNTS, *LEARNED, *INNER)
     t = F.coalesce(F.col(text), F.lit(""))
     # bound by let(): a plan that moved these expressions into the lambdas would compute them for every word
     about_words = let(tokens(t), lambda w: F.struct(F.size(w).alias("n"), repeats(w).alias("again"), F.size(F.array_distinct(w)).alias("kinds")))
@@ -75,15 +89,15 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     d = d.withColumns({
         "n_words": F.col("_w.n").cast("long"), "n_dup_lines": F.col("_l.dup").cast("long"), "n_repeat_words": F.col("_w.again").cast("long"),
-        "_lines": F.col("_l.n"), "_stop": F.col("_w.kinds"),
+        "_lines": F.col("_l.n"), "_kinds": F.col("_w.kinds"),
     })
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return d.withColumns({
         "mean_chars": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.greatest("_lines", F.lit(1)), "repeat_share": F.col("n_repeat_words") / words,
         "upper_share": F.col("_upper") / chars, "digit_share": F.col("_digit") / chars, "bar_share": F.col("_bar") / words,
-        "stop_share": F.col("_stop") / words,
-    }).drop("_w", "_l", "_lines", "_upper", "_digit", "_bar", "_stop")
+        "kind_share": F.col("_kinds") / words,
+    }).drop("_w", "_l", "_lines", "_upper", "_digit", "_bar", "_kinds")
 
 
 def base_failed() -> Column:
@@ -165,7 +179,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         while len(rule) > 1 and value(covers(rule[:-1]) & open_rows & held) >= value(covers(rule) & open_rows & held):
             rule.pop()
         hit = covers(rule) & open_rows
-        if not rule or bad[hit].sum() < MIN_COVER or bad[hit].sum() < MIN_PRECISION * (bad[hit] + good[hit]).sum():
+        tested = hit & held  # rows that the rule was not grown on
+        if not rule or bad[hit].sum() < MIN_COVER or bad[tested].sum() < max(1, MIN_PRECISION * (bad[tested] + good[tested]).sum()):
             break
         rules.append(tuple(Condition(LEARNED[f], above, float(bounds[LEARNED[f]][k])) for f, above, k in rule))
         open_rows &= ~hit

@@ -1,67 +1,139 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over training token windows.
 
 DataFrame functions only. Each benchmark item gives its windows of N consecutive words (an item of fewer words, but not
-none, one window of all). Hashes of these windows are broadcast where their number is within BROADCAST_ROWS, else they are
-joined by shuffle; each document's windows are streamed past them, and only hits are kept, as (document, place, length).
-Hits are then verified against the window's words themselves, so a hash collision removes nothing.
-
-Defined cases: null or empty texts have no words and no hits; rows equal in doc_id and text are one document and give one
-row; a window in several items counts for each; repeated item rows count once; other columns are not read; empty tables
-give no rows (documents) or no hits (benchmark).
+none, one window of all). The hashes of these windows, and of the LEAD words each begins with, set bits of a bitmap that goes
+with the plan (16 bits a window at least, MOST_BITS at most; a fuller bitmap passes more windows on and changes no result). Each
+document is read once: its places are tested against the bitmap where it lies, first by the words that begin there, then by the
+whole window, and only windows that pass leave the row, as place, length and words. These
+are then verified by their words against the windows themselves, which are broadcast where their texts and items take
+BROADCAST_BYTES at most, else joined by shuffle. Texts are not shuffled.
+
+Defined cases: null or empty texts have no words and no hits; each row of documents gives one row, repeated ones too; a null id
+is kept, and rows of one id are told apart by their texts; a window in several items counts for each; repeated item rows count
+once, null item ids not at all; a very long text is one row; other columns are not read by hits() and kept by cleaned(); empty
+tables give no rows (documents) or no hits (benchmark).
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, words
+from .common import WORD, cut, fresh, let, lower_az, read, words
 
 N = 13
-#: Windows whose hashes may be broadcast: 16 bytes each, so 64 MB at most.
-BROADCAST_ROWS = 4_000_000
-
-
-def window_hashes(w: Column, length: int) -> Column:
-    """Array of (place, length, hash) for each window of the words."""
-    at = F.sequence(F.lit(0), F.size(w) - length)
-    return F.when(F.size(w) >= length, F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(w, i + 1, F.lit(length))).alias("h"))))
+#: Bytes of window texts and item ids that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+LEAD, PROBES, LEAST_BITS, MOST_BITS = 3, 2, 1 << 16, 1 << 26
+#: Runs of word characters, either case, and runs of all others.
+PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CANDIDATE = "array<struct<pos:int,len:int,win:string>>"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """win (the words joined by a space), len, h and the item ids as strings."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """win (the words joined by a space), len, h (hash of the words' hashes), lead (of the first ones) and the item ids as strings."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull())
     b = b.withColumn("len", F.least(F.size("w"), F.lit(N)))
     b = b.select("item", "len", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.slice(F.col("w"), i + 1, F.col("len")))).alias("v"))
-    return b.groupBy(F.array_join("v", " ").alias("win"), "len", F.xxhash64("v").alias("h")).agg(F.collect_set("item").alias("items"))
+    return b.groupBy(F.array_join("v", " ").alias("win"), "len", F.xxhash64(hashes(F.col("v"))).alias("h"), lead_hash(F.col("v")).alias("lead")).agg(F.collect_set("item").alias("items"))
+
+
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def lead_hash(v: Column) -> Column:
+    out = F.xxhash64(*[F.xxhash64(F.get(v, F.lit(k))) for k in range(LEAD)])
+    for n in range(LEAD - 1, 0, -1):
+        out = F.when(F.size(v) == n, F.xxhash64(*[F.xxhash64(F.get(v, F.lit(k))) for k in range(n)])).otherwise(out)
+    return out
+
+
+def slots(h: Column, bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(h, 32 * i).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)]
+
+
+def bitmap(win: DataFrame, n: int) -> tuple[Column, int]:
+    """The set bits of all windows as an array of longs, and their number; the plan holds it as a constant."""
+    bits = LEAST_BITS
+    while bits < min(16 * (PROBES + 1) * n, MOST_BITS):
+        bits *= 2
+    at = win.select(F.explode(F.array(*slots(F.col("h"), bits), slots(F.col("lead"), bits)[0])).alias("s"))
+    one = F.expr("shiftleft(1L, cast(s & 63 as int))")
+    rows = at.groupBy(F.shiftrightunsigned("s", 6).cast("int").alias("k")).agg(F.bit_or(one).alias("v")).collect()  # MOST_BITS / 64 at most
+    longs = [0] * (bits // 64)
+    for r in rows:
+        longs[r["k"]] = r["v"]
+    return F.from_json(F.lit(json.dumps(longs)), "array<bigint>"), bits
+
+
+def candidates(w: Column, lengths: list[int], bitmap_: Column, bits: int) -> Column:
+    """The windows of the words whose hashes the bitmap has: array of (pos, len, win)."""
+
+    def known(h: Column, probes: int) -> Column:
+        tests = [F.bit_get(F.get(bitmap_, F.shiftrightunsigned(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1 for s in slots(h, bits)[:probes]]
+        return functools.reduce(operator.and_, tests)
+
+    def of_length(n: int, hashed: Column) -> Column:
+        def begins(i: Column) -> Column:
+            return let(F.xxhash64(*[F.get(hashed, i + k) for k in range(min(LEAD, n))]), lambda h: known(h, 1))
+
+        def whole(i: Column) -> Column:
+            return let(F.xxhash64(F.slice(hashed, i + 1, F.lit(n))), lambda h: known(h, PROBES))
+
+        at = F.filter(F.filter(F.sequence(F.lit(0), F.size(w) - n), begins), whole)
+        rows = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("win")))
+        return F.when(F.size(w) >= n, rows).otherwise(F.array().cast(CANDIDATE))
+
+    return let(hashes(w), lambda hashed: F.flatten(F.array(*[of_length(n, hashed) for n in lengths])))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, spans (array of (pos, len), sorted) and items (sorted strings)."""
     win = cut(item_windows(benchmark))
-    small = win.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-    lengths = [r["len"] for r in win.select("len").distinct().collect()]  # N values at most
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    each = F.flatten(F.array_compact(F.array(*[window_hashes(F.col("w"), n) for n in lengths]))) if lengths else F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    found = (
-        keyed.select("doc_id", "text_hash", F.explode(each).alias("x"))
-        .select("doc_id", "text_hash", "x.pos", "x.len", "x.h")
-        .join(hint(win.select("h", "len").distinct()), ["h", "len"], "left_semi")
-        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "len")).alias("found"))
-        .withColumnsRenamed({"doc_id": "id2", "text_hash": "th2"})
-    )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["id2"]) & (rows["text_hash"] == found["th2"]), "left")
-    rows = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "found")
-    spans = F.transform("found", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), F.array_join(F.slice(F.col("w"), x["pos"] + 1, x["len"]), " ").alias("win")))
-    flat = rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode_outer(spans).alias("s"))
-    flat = flat.select("doc_id", "text_hash", "n_words", "s.pos", "s.len", "s.win")
-    sure = flat.join(hint(win.select("win", "len", "items")), ["win", "len"], "left")
-    return sure.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", "len")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    about = win.agg(F.count("*").alias("n"), F.sum(F.octet_length("win") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)).alias("bytes"), F.collect_set("len").alias("lengths")).first()
+    lengths = sorted(about["lengths"])  # N values at most
+    text_hash = F.xxhash64("text").alias("text_hash")
+    if not lengths:
+        return docs.select("doc_id", text_hash, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    longs, bits = bitmap(win, about["n"])
+    scanned = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), candidates(w, lengths, longs, bits).alias("c")))
+    rows = cut(docs.select("doc_id", text_hash, scanned.alias("x")).select("doc_id", "text_hash", F.col("x.n").cast("long").alias("n_words"), F.col("x.c").alias("c")))
+    known = win.select("win", "len", "items")
+    if about["bytes"] + 64 * about["n"] <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    sure = rows.filter(F.size("c") > 0).select("doc_id", "text_hash", F.inline("c")).join(known, ["win", "len"])
+    found = sure.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
+    found = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
+    same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["text_hash"] == found["_h"])
+    out = rows.select("doc_id", "text_hash", "n_words").join(found, same, "left")
+    return out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, documents: bool = True) -> DataFrame:
+    """docs without the contaminated documents; or, if documents is False, all docs with the hit words cut from the texts."""
+    key, text_hash, spans = (fresh(docs, x) for x in ("_id", "_h", "_spans"))
+    found = report(hits(docs, benchmark)).filter("contaminated" if documents else "n_hit > 0")
+    found = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans)).dropDuplicates([key, text_hash])
+    same = docs["doc_id"].eqNullSafe(found[key]) & (F.xxhash64(docs["text"]) == found[text_hash])
+    if documents:
+        return docs.join(found, same, "left_anti")
+    # words and what stands between them, in turn; the number of words before a piece is that of the place
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECES), F.lit(0))
+    first = F.when(lower_az(F.substring("text", 1, 1)).rlike(WORD), 0).otherwise(1)
+
+    def hit(k: Column) -> Column:
+        at = ((k - first) / 2).cast("int")
+        return ((k - first) % 2 == 0) & F.exists(spans, lambda s: (at >= s["pos"]) & (at < s["pos"] + s["len"]))
+
+    kept = F.array_join(F.filter(pieces, lambda x, k: ~hit(k)), "")
+    return docs.join(found, same, "left").withColumn("text", F.when(F.col(spans).isNotNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def covered(spans: Column) -> Column:
