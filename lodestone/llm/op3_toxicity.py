@@ -1,24 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause in order. Insult and threat emit a weight for a word they accept; target,
-negation and reported speech change the state that weight is emitted in: after a target word the evidence counts as aimed,
-right after a negation as negated, after a verb of saying as reported. A clause's evidence is the sum over its matches in
-each state, bounded by CLAUSE_CAP, and clauses rather than words are added up.
+Words become symbols (insult, threat verb, will, target, self, negation, reporting verb, contrast) by tables of the text's
+language. Five transducers rewrite the symbols of a clause, each reading what the one before has written:
 
-The weights of the insult and threat transducers are learned: word stems (prefixes of STEMS characters, and whole words,
-written with a final $) get the log odds of toxic against other labelled documents, a prefix only if many words share it; a word takes the stem of the largest
-weight. Target, negation and reporting words are fixed. How much each state counts is a logistic regression on the clause
-sums, whose scores are shifted so that PREDICT is the threshold with the best F1 on the labelled rows.
+* target: an insult within reach of a person, on either side, becomes aimed (one transducer reads from the right, one from the left);
+* negation: insults and threats within reach of a negation become negated, until a contrast (`but`);
+* reported speech: after somebody else's verb of saying they become reported, until a contrast;
+* threat: `will` + threat verb + target, target and `will` in either order + threat verb, or threat verb + target becomes a menace;
+* insult: emits the weight of what is left, by the marks that it bears.
+
+All that read from the left are composed into one machine, so that a clause is one walk. A clause's score is the sum of
+its matches, CLAUSE_CAP at most; clauses, not words, make the features of a text.
+
+The insult lexicon is learned: word stems (prefixes of STEMS characters, and whole words, written with a final $) that are
+more usual in toxic documents, by log odds of MIN_WEIGHT at least and a likelihood ratio that allows for the number of stems
+tried, a prefix only if many words share it. A word takes the stem of the largest weight. Fixed insults of the tables count
+with SEED_WEIGHT unless the labels speak against them. How a text's features make a score is a logistic regression, shifted so
+that PREDICT is the threshold with the best F1 on the labelled rows it was fitted to.
 
 The fit uses at most about SAMPLE documents a class, chosen by a hash of the id; scoring reads whole texts.
 
-Defined cases: null and empty texts have no evidence and get the score of that; null labels are not learned from;
-repeated label rows count each; without labels of both classes every score is 0; other columns are not read; an empty table
-gives no rows.
+Defined cases: null and empty texts have no evidence and get the score of that; null labels and labels without a document are
+not learned from; repeated label rows count each; without labels of both classes every score is 0; rows with a null id are
+scored, never learned from; ties between languages go to the first of TABLES; very long texts are read whole, clause by clause;
+other columns are kept, but one named score (case does not count) is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,68 +38,245 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, plain, read
 
 #: Toxic and other documents to fit on, about.
 SAMPLE = {1: 4000, 0: 8000}
 STEMS = range(3, 9)
-MIN_SUPPORT, MIN_SHARE, MIN_WEIGHT = 3, 0.02, 1.5
+MIN_SUPPORT, MIN_WEIGHT, SEED_WEIGHT = 3, 1.5, 3.0
+#: Chance of a false stem among all that are tried.
+MISTAKE = 0.05
 #: A prefix stands for a family of words: of so many kinds at least, of which no one makes up more than this share.
 MIN_KINDS, MOST_ONE = 4, 0.6
 CLAUSE_CAP, PREDICT = 12.0, 0.7
-CLAUSE = re.compile(r"[.!?;\n]+")
-WORD = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-THREAT = frozenset("kill hurt destroy beat die burn".split())
-TARGET = frozenset("you your yours u they them he she this that these those".split())
-NEGATION = frozenset("not no never isn't aren't wasn't without hardly".split())
-REPORTING = frozenset("said says wrote claimed called quoted reported tweeted".split())
-STATES = ("plain", "aimed", "negated", "reported")
+CLAUSE = re.compile(r"[.!?;:\n]+")
+_LETTER = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]"
+WORD = re.compile(rf"{_LETTER}+(?:'{_LETTER}+)*")
+
+#: Words by symbol and language; how many of them a text has tells its language, for which `common` has more. doom is a target and `will` in one word.
+TABLES = {
+    "en": {
+        "common": "the and of to in that is on for with this it was are a i you be have will he she they them",
+        "insult": "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown jerk bastard asshole bitch dumbass imbecile vermin filth",
+        "threat": "kill hurt destroy beat die burn shoot stab punch strangle murder smash",
+        "will": "will gonna going shall should must deserve deserves wish i'll we'll they'll",
+        "doom": "you'll you'd",
+        "target": "you your yours yourself you're u ur they them their they're he him his she her he's she's",
+        "self": "i we i'm we're i've we've",
+        "neg": "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't won't can't cannot couldn't wouldn't shouldn't haven't hasn't ain't without hardly nobody",
+        "report": "said says say saying wrote writes claimed claims called calls quoted quotes reported reports tweeted posted told tells shouted",
+        "but": "but however although though yet",
+    },
+    "de": {
+        "common": "der die das und ist von mit den ein eine zu im auf",
+        "insult": "idiot idioten dumm dumme blöd arschloch depp trottel abschaum versager wichser erbärmlich",
+        "threat": "töten umbringen schlagen zerstören verbrennen sterben verletzen erschießen erwürgen verprügeln",
+        "will": "werde werden wirst sollst solltest soll will muss musst",
+        "target": "du dich dir dein deine deinen ihr euch euer eure sie ihn ihm er",
+        "self": "ich wir",
+        "neg": "nicht kein keine keinen keiner nie niemals ohne weder noch",
+        "report": "sagte sagt sagten schrieb schreibt nannte nennt behauptet behauptete meinte rief",
+        "but": "aber jedoch sondern doch obwohl",
+    },
+    "fr": {
+        "common": "le la les de et des un une est que dans pour en",
+        "insult": "idiot idiote imbécile connard conne débile crétin ordure salaud abruti minable",
+        "threat": "tuer frapper détruire brûler mourir blesser étrangler poignarder crever",
+        "will": "vais vas va allons allez doit dois devrais mérites",
+        "target": "tu te toi ton ta tes vous votre vos il elle ils elles lui leur",
+        "self": "je j nous",
+        "neg": "pas jamais aucun aucune sans ni point",
+        "report": "dit disait dis écrit écrivait appelé appelle prétend prétendait affirme raconte",
+        "but": "mais cependant pourtant",
+    },
+    "es": {
+        "common": "el la los las de que y en un una es por con del",
+        "insult": "idiota idiotas estúpido estúpida imbécil cabrón basura escoria payaso gilipollas inútil",
+        "threat": "matar golpear destruir quemar morir herir apuñalar estrangular matarte quemarte golpearte",
+        "will": "voy vas va vamos debes deberías mereces",
+        "target": "tú te ti tu tus usted ustedes vosotros él ella ellos ellas le les",
+        "self": "yo nosotros",
+        "neg": "no nunca jamás ni sin ningún ninguna tampoco",
+        "report": "dijo dice dijeron escribió escribe llamó llama afirmó afirma contó gritó",
+        "but": "pero sino aunque",
+    },
+}
+SYMBOLS = ("word", "insult", "threat", "will", "doom", "target", "self", "neg", "report", "but")
+
+
+class Transducer:
+    """A deterministic transducer: arcs[state, symbol] is (state, written symbol); where there is none the state's rest arc
+    is taken and the symbol is written as it was read. Symbols bear marks, as in insult/aimed: arcs are looked up by the whole
+    symbol, then by its base."""
+
+    def __init__(self, start, arcs: dict, rest: dict):
+        self.start, self.arcs, self.rest = start, arcs, rest
+
+    def step(self, state, symbol: str):
+        for key in (symbol, symbol.split("/")[0]):
+            if (state, key) in self.arcs:
+                to, write = self.arcs[state, key]
+                return to, symbol if write is None else write if "/" not in write or write[0] != "/" else symbol + write
+        return self.rest.get(state, state), symbol
+
+
+class Composed:
+    """What the second transducer makes of what the first one writes."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+
+    def step(self, state, symbol: str):
+        a, written = self.first.step(state[0], symbol)
+        b, written = self.second.step(state[1], written)
+        return (a, b), written
+
+
+def compose(machines: list):
+    out = machines[0]
+    for m in machines[1:]:
+        out = Composed(out, m)
+    return out
+
+
+def scope(openers: list[str], reach: int, mark: str, closers: list[str] = (), marked: tuple[str, ...] = ("insult", "threat")) -> Transducer:
+    """Marks what stands within so many words after an opener, up to a closer."""
+    arcs, rest = {}, {k: k - 1 for k in range(1, reach + 1)} | {0: 0}
+    for k in range(reach + 1):
+        arcs |= {(k, o): (reach, None) for o in openers} | {(k, c): (0, None) for c in closers}
+        if k:
+            arcs |= {(k, m): (k - 1, f"/{mark}") for m in marked}
+    return Transducer(0, arcs, rest)
+
+
+def negation() -> Transducer:
+    return scope(["neg"], 4, "negated", ["but"])
+
+
+def target() -> Transducer:
+    return scope(["target", "doom"], 4, "aimed", marked=("insult",))
+
+
+def target_after() -> Transducer:
+    """To be run from the right."""
+    return scope(["target", "doom"], 2, "aimed", marked=("insult",))
+
+
+def reported() -> Transducer:
+    """own: nobody is quoted; self: the verb of saying would be the writer's; said: somebody is quoted."""
+    arcs = {("own", "self"): ("self", None), ("own", "report"): ("said", None), ("self", "report"): ("own", None), ("said", "but"): ("own", None)}
+    arcs |= {("said", m): ("said", "/reported") for m in ("insult", "threat")}
+    return Transducer("own", arcs, {"self": "own"})
+
+
+def threat() -> Transducer:
+    """who3..1: a person; will3..1: something will be done; doom3..1: a person will; act2..1: the deed is named. Other words
+    use up reach."""
+    arcs, rest = {}, {"idle": "idle", "who1": "idle", "will1": "idle", "doom1": "idle", "act1": "idle", "said1": "idle"}
+    for name, top in (("who", 3), ("will", 3), ("doom", 3), ("act", 3), ("said", 3)):
+        rest |= {f"{name}{k}": f"{name}{k - 1}" for k in range(2, top + 1)}
+    for state in rest:
+        arcs |= {(state, "target"): ("who3", None), (state, "will"): ("will3", None), (state, "doom"): ("doom3", None), (state, "threat"): ("act3", None)}
+        arcs |= {(state, "threat/negated"): ("idle", None), (state, "threat/reported"): ("said3", None)}
+    for k in (1, 2, 3):
+        arcs |= {(f"who{k}", "will"): ("doom3", None), (f"will{k}", "target"): ("doom3", None), (f"doom{k}", "threat"): ("idle", "menace"), (f"act{k}", "target"): ("who3", "menace")}
+        arcs |= {(f"doom{k}", "threat/reported"): ("idle", "menace/reported"), (f"said{k}", "target"): ("who3", "menace/reported")}
+        arcs |= {(f"doom{k}", "threat/negated/reported"): ("idle", None)}
+    return Transducer("idle", arcs, rest)
+
+
+#: Share of a word's weight that the insult transducer emits, by mark, and what a menace weighs.
+FACTORS = {"plain": 1.0, "aimed": 1.5, "negated": 0.0, "reported": 0.1}
+MENACE = 6.0
 
 
-class Grammar:
-    """The composed transducers with learned weights."""
+def emitted(symbol: str) -> tuple[float, float]:
+    """The insult transducer's output: factor of the word's weight, and weight of its own."""
+    base, *marks = symbol.split("/")
+    factor = math.prod(FACTORS[m] for m in set(marks))
+    return (factor, 0.0) if base == "insult" else (0.0, MENACE * factor) if base == "menace" else (0.0, 0.0)
+
+
+def compiled(machine) -> list[dict[str, tuple[int, float, float]]]:
+    """Table of the machine's states: what each symbol leads to and emits."""
+    inputs = [*SYMBOLS, "insult/aimed"]
+    number, table = {machine.start: 0}, []
+    for state in (order := [machine.start]):
+        row = {}
+        for s in inputs:
+            to, written = machine.step(state, s)
+            if to not in number:
+                number[to] = len(number)
+                order.append(to)
+            row[s] = (number[to], *emitted(written))
+        table.append(row)
+    return table
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights, self.memo = weights, {}
+
+PARTS = {"negation": negation, "reported": reported, "target": target, "threat": threat}
+
+
+class Grammar:
+    """The composed transducers with learned weights. without: names of transducers to leave out."""
+
+    def __init__(self, weights: dict[str, float], without: tuple[str, ...] = ()):
+        self.weights, self.without = weights, without
+        chosen = [make() for name, make in PARTS.items() if name not in without] or [Transducer(0, {}, {0: 0})]
+        self.table = compiled(compose(chosen))
+        self.after = None if "target" in without else target_after()
+        self.insults = "insult" not in without
+        self.own_words = {lang: frozenset(w for words in t.values() for w in words.split()) for lang, t in TABLES.items()}
+        self.symbols = {lang: {w: s for s in reversed(SYMBOLS[2:]) for w in t.get(s, "").split()} for lang, t in TABLES.items()}
+        self.memo: dict[str, dict[str, tuple[str, float] | None]] = {lang: {} for lang in TABLES}
 
     def weight(self, word: str) -> float:
-        w = self.memo.get(word)
-        if w is None:
-            found = [self.weights.get(word + "$", 0.0)] + [self.weights.get(word[:k], 0.0) for k in STEMS if k <= len(word)]
-            w = max(found)
-            if len(self.memo) < 1_000_000:
-                self.memo[word] = w
-        return w
-
-    def clause(self, words: list[str], weights: list[float]) -> list[float]:
-        out, aimed, reported, before = [0.0] * len(STATES), -9, False, ""
-        for i, word in enumerate(words):
-            w = weights[i]
-            if w > 0:
-                state = 3 if reported else 2 if before in NEGATION else 1 if i - aimed <= 4 else 0
-                out[state] += w * (1.5 if word in THREAT and i - aimed <= 4 else 1.0)
-            if word in TARGET:
-                aimed = i
-            elif word in REPORTING:
-                reported = True
-            before = word
-        return [min(x, CLAUSE_CAP) for x in out]
+        out = 0.0
+        for part in word.split("'") if "'" in word else (word,):
+            out = max(out, self.weights.get(part + "$", 0.0), *[self.weights.get(part[:k], 0.0) for k in STEMS if k <= len(part)], 0.0)
+        return out
+
+    def symbol(self, word: str, lang: str) -> tuple[str, float] | None:
+        """Symbol and weight of a word; None for one that says nothing."""
+        memo = self.memo[lang]
+        if word in memo:
+            return memo[word]
+        table = self.symbols[lang]
+        named = table.get(word) or next((table[x] for x in word.split("'") if x in table), None)
+        w = self.weight(word) if self.insults and named is None else 0.0
+        found = ("insult", w) if w > 0 else (named, 0.0) if named else None
+        if len(memo) < 200_000:
+            memo[word] = found
+        return found
+
+    def clause(self, words: list[tuple[str, float]]) -> float:
+        """Sum of the matches of a clause given as symbols and weights."""
+        symbols = [s for s, _ in words]
+        if self.after:
+            state = self.after.start
+            for i in range(len(symbols) - 1, -1, -1):
+                state, symbols[i] = self.after.step(state, symbols[i])
+        at, total = 0, 0.0
+        for s, (_, w) in zip(symbols, words, strict=True):
+            at, factor, own = self.table[at][s]
+            total += factor * w + own
+        return min(total, CLAUSE_CAP)
+
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """Scores of the clauses that match, and the number of words of the text."""
+        parts = [WORD.findall(x) for x in CLAUSE.split(text.lower().replace("\u2019", "'"))]
+        kinds = set().union(*parts)
+        lang = max(TABLES, key=lambda x: len(kinds & self.own_words[x]))
+        known = {w: s for w in kinds if (s := self.symbol(w, lang))}
+        live = {w for w, (s, _) in known.items() if s in ("insult", "threat")}
+        dull = ("word", 0.0)
+        found = [self.clause([known.get(w, dull) for w in words]) for words in parts if not live.isdisjoint(words)] if live else []
+        return [x for x in found if x > 0], sum(map(len, parts))
 
     def features(self, text: str) -> list[float]:
-        """Logs of the evidence in each state over all clauses, of the strongest clause, and matches a word."""
-        total, top, hits, n = [0.0] * len(STATES), 0.0, 0, 0
-        weight, memo = self.weight, self.memo
-        for part in CLAUSE.split(text.lower()):
-            words = WORD.findall(part)
-            n += len(words)
-            w = [x if (x := memo.get(a)) is not None else weight(a) for a in words]
-            if not any(w):
-                continue
-            hits += sum(x > 0 for x in w)
-            c = self.clause(words, w)
-            total = [a + b for a, b in zip(total, c, strict=True)]
-            top = max(top, sum(c))
-        return [*np.log1p(total), np.log1p(top), np.log1p(100.0 * hits / max(n, 1)), float(hits > 0)]
+        """Logs of all clauses together, of the strongest one, and of the score a hundred words."""
+        found, n = self.clauses(text)
+        total = sum(found)
+        return [math.log1p(total), math.log1p(max(found, default=0.0)), math.log1p(100.0 * total / (n + 20))]
 
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,6 +291,7 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def lexicon(some: DataFrame) -> tuple[dict[str, float], int, int]:
+    """Weights of stems, and the numbers of toxic and other documents."""
     totals = some.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     p, n = totals["p"], totals["n"]
     if not p or not n:
@@ -113,14 +301,18 @@ def lexicon(some: DataFrame) -> tuple[dict[str, float], int, int]:
         for b in batches:
             pos, neg = Counter(), Counter()
             for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
-                words = set(WORD.findall((text or "").lower()))
+                words = {x for w in WORD.findall((text or "").lower().replace("\u2019", "'")) for x in w.split("'")}
                 (pos if y else neg).update({w + "$" for w in words} | {w[:k] for w in words for k in STEMS if k <= len(w)})
             keys = list(pos.keys() | neg.keys())
             yield pa.record_batch({"stem": pa.array(keys, pa.string()), "p": pa.array([pos[k] for k in keys], pa.int64()), "n": pa.array([neg[k] for k in keys], pa.int64())})
 
-    rows = some.mapInArrow(stems, "stem string, p bigint, n bigint").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    rows = cut(some.mapInArrow(stems, "stem string, p bigint, n bigint").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     odds = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("n") + 0.5) / (n + 1.0))
-    found = rows.filter(F.col("p") >= max(MIN_SUPPORT, MIN_SHARE * p)).filter(odds >= MIN_WEIGHT).select("stem", "p", odds.alias("w")).collect()
+    both = F.col("p") + F.col("n")
+    g = 2 * (F.col("p") * F.log(F.col("p") / (both * p / (p + n))) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (both * n / (p + n)))).otherwise(0.0))
+    usual = rows.filter(F.col("p") >= MIN_SUPPORT)
+    least = 2 * math.log(max(usual.count(), 1) / MISTAKE)
+    found = usual.filter((odds >= MIN_WEIGHT) & (g >= least)).select("stem", "p", odds.alias("w")).collect()
     weights = {r["stem"]: float(r["w"]) for r in found}
     prefixes = [(r["stem"], r["p"]) for r in found if not r["stem"].endswith("$")]
     if prefixes:
@@ -130,7 +322,9 @@ def lexicon(some: DataFrame) -> tuple[dict[str, float], int, int]:
         family = word.select(F.explode(cuts).alias("stem"), "p").join(F.broadcast(asked), "stem").groupBy("stem", "all").agg(F.count("*").alias("kinds"), F.max("p").alias("most"))
         for r in family.filter((F.col("kinds") < MIN_KINDS) | (F.col("most") > MOST_ONE * F.col("all"))).collect():
             del weights[r["stem"]]
-    return weights, p, n
+    seeds = {w for t in TABLES.values() for w in t["insult"].split()}
+    against = {r["stem"] for r in rows.filter(F.col("stem").isin(*[w + "$" for w in sorted(seeds)]) & (both >= MIN_SUPPORT) & (odds < MIN_WEIGHT)).collect()}
+    return {w + "$": SEED_WEIGHT for w in seeds if w + "$" not in against} | weights, p, n
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -157,8 +351,8 @@ def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], coef: np.ndarray | None, mean: float = 0.0):
-        self.grammar, self.coef, self.shift = Grammar(weights), coef, mean
+    def __init__(self, weights: dict[str, float], coef: np.ndarray | None, shift: float = 0.0, without: tuple[str, ...] = ()):
+        self.grammar, self.coef, self.shift = Grammar(weights, without), coef, shift
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.coef is None:
@@ -170,7 +364,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     some = sample_of(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), labels.select(F.col(key).alias("k"), F.col(label).alias("y")))
     weights, p, n = lexicon(some)
-    if not weights:
+    if not p or not n:
         return Model({}, None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +378,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = np.lexsort([*x.T, y])  # the fit does not depend on the order of rows
     x, y = x[order], y[order]
     weight = np.ones(len(y))
-    coef = logistic(x, y, weight)
+    coef, use = logistic(x, y, weight), np.ones(x.shape[1], bool)
+    while (coef[:-1] < 0).any():  # more evidence never lowers a score
+        use[:-1] &= coef[:-1] >= 0
+        coef = np.zeros(len(use))
+        coef[use] = logistic(x[:, use], y, weight)
     shift = best_threshold(x @ coef, y, weight) - np.log(PREDICT / (1 - PREDICT))
     return Model(weights, coef, shift)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score; without text unless it is asked for."""
+    docs = plain(docs, "score")
     keep = [c for c in docs.columns if keep_text or c != text]
     weights, coef, shift = model.grammar.weights, model.coef, model.shift
 
@@ -205,7 +404,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = learn(docs, labels.filter(~held))
     out = scored(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
