@@ -1,20 +1,21 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression on the text in lower case (A-Z), a keyword without which it can't match, a priority and a
-label. One Aho-Corasick pass finds the keywords of a text, and only the rules of those are run. Detections are then
-settled in order of priority (smaller first), length and place: one that lies inside a settled interval is suppressed, and
-so is one of lower priority that overlaps it. What is left gives the labels, and the strongest gives the score.
+A rule (license_rules.py) is a regular expression on the text in lower case (A-Z), a keyword without which it can't match, a
+priority and a label. One Aho-Corasick pass finds the keywords of a text, and only the rules of those are run. Detections are
+then settled in order of priority (smaller first), length and place: one that lies inside a settled interval is suppressed;
+intervals that merely overlap both stay. What is left gives the labels, and the strongest gives the score. A line with
+`SPDX-License-Identifier:` comes before all rules: each identifier of its expression is a detection, `+` meaning or-later.
 
 The base phrases are counted apart from the rules, over the words of the text; their labels always stay.
 
 Defined cases: null and empty texts have no words, places or labels (empty strings, score 0); a phrase is found wherever
-its words stand next to each other, whatever stands between them that is no word; repeated rows are documents of their
-own; other columns are not read; an empty table gives no rows.
+its words stand next to each other, whatever stands between them that is no word; of detections with one interval the one of
+the first rule stays; repeated rows are documents of their own; a null id is kept; very long texts are read whole; other columns
+are kept, but those named like a result (case does not count) are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,165 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, read
+from .common import WORD, plain, read
+from .license_rules import IDENTIFIERS, RULES
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-_G = r"[\s,;:()\"'*#/_-]{0,12}"  # what may stand between two words of a signature
-_V = r"(?:version|ver\.?|v\.?)?\s{0,3}"
-
-#: label | keyword | words of the name; blanks stand for any short gap. Written by hand, more special ones first.
-NAMES = """
-agpl-3.0 | affero | affero general public license(?: as published by the free software foundation)?,? {v}3
-agpl-1.0 | affero | affero general public license,? {v}1
-agpl | affero | affero general public license
-lgpl-2.1 | lesser | lesser general public license,? {v}2\\.1
-lgpl-3.0 | lesser | lesser general public license,? {v}3
-lgpl | lesser | lesser general public license
-lgpl-2.0 | library general | library general public license,? {v}2
-lgpl | library general | library general public license
-gpl-3.0-or-later | general public | general public license,? {v}3(?:\\.0)? or (?:\\(at your option\\) )?(?:any )?later
-gpl-2.0-or-later | general public | general public license,? {v}2(?:\\.0)? or (?:\\(at your option\\) )?(?:any )?later
-gpl-3.0 | general public | general public license,? {v}3
-gpl-2.0 | general public | general public license,? {v}2
-gpl-1.0 | general public | general public license,? {v}1
-gpl | general public | (?:gnu )?general public license
-gfdl-1.3 | free documentation | free documentation license,? {v}1\\.3
-gfdl-1.2 | free documentation | free documentation license,? {v}1\\.2
-gfdl | free documentation | free documentation license
-apache-2.0 | apache | apache(?: software)? license,? {v}2(?:\\.0)?
-apache-1.1 | apache | apache(?: software)? license,? {v}1\\.1
-apache-1.0 | apache | apache(?: software)? license,? {v}1\\.0
-apache | apache | apache(?: software)? license
-mit | mit licen | (?:the )?mit licen[sc]e
-mit | permission is hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy
-mit-0 | mit no attribution | mit no attribution
-x11 | x11 licen | x11 licen[sc]e
-expat | expat | expat licen[sc]e
-bsd-4-clause | bsd | (?:4|four) clause bsd licen[sc]e
-bsd-3-clause | bsd | (?:3|three) clause bsd licen[sc]e
-bsd-3-clause | bsd | new bsd licen[sc]e
-bsd-3-clause | bsd | modified bsd licen[sc]e
-bsd-2-clause | bsd | (?:2|two) clause bsd licen[sc]e
-bsd-2-clause | bsd | simplified bsd licen[sc]e
-0bsd | bsd | zero clause bsd
-bsd | bsd | bsd licen[sc]e
-bsd | redistribution and use | redistribution and use in source and binary forms
-isc | isc licen | isc licen[sc]e
-isc | permission to use, copy | permission to use, copy, modify, and/or distribute this software
-zlib | zlib | zlib(?: libpng)? licen[sc]e
-libpng | libpng | libpng licen[sc]e
-bsl-1.0 | boost | boost software licen[sc]e,? {v}1
-bsl-1.0 | boost | boost software licen[sc]e
-mpl-2.0 | mozilla | mozilla public licen[sc]e,? {v}2
-mpl-1.1 | mozilla | mozilla public licen[sc]e,? {v}1\\.1
-mpl-1.0 | mozilla | mozilla public licen[sc]e,? {v}1\\.0
-mpl | mozilla | mozilla public licen[sc]e
-epl-2.0 | eclipse | eclipse public licen[sc]e,? {v}2
-epl-1.0 | eclipse | eclipse public licen[sc]e,? {v}1
-epl | eclipse | eclipse public licen[sc]e
-edl-1.0 | eclipse | eclipse distribution licen[sc]e
-cddl-1.1 | common development | common development and distribution licen[sc]e,? {v}1\\.1
-cddl-1.0 | common development | common development and distribution licen[sc]e
-cpl-1.0 | common public | common public licen[sc]e
-cpal-1.0 | common public attribution | common public attribution licen[sc]e
-eupl-1.2 | european union public | european union public licen[sc]e,? {v}1\\.2
-eupl-1.1 | european union public | european union public licen[sc]e,? {v}1\\.1
-eupl | european union public | european union public licen[sc]e
-osl-3.0 | open software licen | open software licen[sc]e,? {v}3
-osl | open software licen | open software licen[sc]e
-afl-3.0 | academic free | academic free licen[sc]e,? {v}3
-afl | academic free | academic free licen[sc]e
-artistic-2.0 | artistic | artistic licen[sc]e,? {v}2
-artistic-1.0 | artistic | artistic licen[sc]e,? {v}1
-artistic | artistic | artistic licen[sc]e
-perl | same terms as perl | under the same terms as perl(?: itself)?
-psf-2.0 | python software | python software foundation licen[sc]e
-python-2.0 | python licen | python licen[sc]e,? {v}2
-php-3.01 | php licen | php licen[sc]e,? {v}3\\.01
-php-3.0 | php licen | php licen[sc]e
-ruby | ruby licen | ruby licen[sc]e
-unlicense | unlicense | the unlicense
-unlicense | unencumbered | this is free and unencumbered software
-wtfpl | what the | do what the f\\w{1,6} you want to public licen[sc]e
-wtfpl | wtfpl | wtfpl
-cc0-1.0 | cc0 | cc0(?: 1\\.0)?(?: universal)?
-cc0-1.0 | no rights reserved | no rights reserved
-public-domain | public domain | (?:dedicated to|placed in|in) the public domain
-cc-by-nc-nd-4.0 | cc by | cc by nc nd {v}4
-cc-by-nc-sa-4.0 | cc by | cc by nc sa {v}4
-cc-by-nc-4.0 | cc by | cc by nc {v}4
-cc-by-nd-4.0 | cc by | cc by nd {v}4
-cc-by-sa-4.0 | cc by | cc by sa {v}4
-cc-by-4.0 | cc by | cc by {v}4
-cc-by-nc-nd-3.0 | cc by | cc by nc nd {v}3
-cc-by-nc-sa-3.0 | cc by | cc by nc sa {v}3
-cc-by-nc-3.0 | cc by | cc by nc {v}3
-cc-by-nd-3.0 | cc by | cc by nd {v}3
-cc-by-sa-3.0 | cc by | cc by sa {v}3
-cc-by-3.0 | cc by | cc by {v}3
-cc-by-nc-nd | cc by | cc by nc nd
-cc-by-nc-sa | cc by | cc by nc sa
-cc-by-nc | cc by | cc by nc
-cc-by-nd | cc by | cc by nd
-cc-by-sa | cc by | cc by sa
-cc-by-nc-nd | creative commons | creative commons attribution noncommercial no ?deriv\\w*
-cc-by-nc-sa | creative commons | creative commons attribution noncommercial share ?alike
-cc-by-nc | creative commons | creative commons attribution non ?commercial
-cc-by-nd | creative commons | creative commons attribution no ?deriv\\w*
-cc-by-sa | creative commons | creative commons attribution share ?alike
-cc-by | creative commons | creative commons attribution
-creative-commons | creative commons | creative commons licen[sc]e
-odbl-1.0 | open database | open database licen[sc]e
-odc-by-1.0 | open data commons | open data commons attribution
-pddl-1.0 | open data commons | open data commons public domain dedication
-ofl-1.1 | open font | (?:sil )?open font licen[sc]e
-lppl-1.3c | latex project | latex project public licen[sc]e,? {v}1\\.3c
-lppl | latex project | latex project public licen[sc]e
-ms-pl | microsoft public | microsoft public licen[sc]e
-ms-rl | microsoft reciprocal | microsoft reciprocal licen[sc]e
-ncsa | university of illinois | university of illinois(?: ncsa)? open source licen[sc]e
-postgresql | postgresql licen | postgresql licen[sc]e
-openssl | openssl licen | openssl licen[sc]e
-sleepycat | sleepycat | sleepycat licen[sc]e
-vim | vim licen | vim licen[sc]e
-w3c | w3c | w3c software (?:notice and )?licen[sc]e
-qpl-1.0 | q public | q public licen[sc]e
-ipl-1.0 | ibm public | ibm public licen[sc]e
-apsl-2.0 | apple public | apple public source licen[sc]e
-npl-1.1 | netscape public | netscape public licen[sc]e
-sissl | sun industry | sun industry standards source licen[sc]e
-bittorrent-1.1 | bittorrent | bittorrent open source licen[sc]e
-cecill-2.1 | cecill | cecill {v}2\\.1
-cecill-b | cecill | cecill b
-cecill-c | cecill | cecill c
-cecill | cecill | cecill(?: licen[sc]e)?
-upl-1.0 | universal permissive | universal permissive licen[sc]e
-blueoak-1.0.0 | blue oak | blue oak model licen[sc]e
-mulan-psl-2.0 | mulan | mulan permissive software licen[sc]e,? {v}2
-mulan-psl | mulan | mulan permissive software licen[sc]e
-busl-1.1 | business source | business source licen[sc]e
-sspl-1.0 | server side public | server side public licen[sc]e
-elastic-2.0 | elastic licen | elastic licen[sc]e
-commons-clause | commons clause | commons clause
-polyform | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter) licen[sc]e
-json | used for good | shall be used for good, not evil
-beerware | beer | beer ?ware licen[sc]e
-ofl | open font | under the open font
-proprietary | proprietary | proprietary and confidential
-proprietary | unauthorized copying | unauthorized copying of this file
-reserved | rights reserved | all rights reserved
-copyright | copyright | copyright (?:\\(c\\)|©)? ?(?:19|20)\\d\\d
-copyright | © | © ?(?:19|20)\\d\\d
-"""
-#: Identifiers that get a rule of their own behind "SPDX-License-Identifier:", besides the labels above.
-TAGS = """
-aal afl-1.1 afl-1.2 afl-2.0 afl-2.1 agpl-3.0-only agpl-3.0-or-later apl-1.0 artistic-1.0-perl bsd-1-clause bsd-3-clause-clear
-bsd-3-clause-lbnl bsd-2-clause-patent cal-1.0 catosl-1.1 cc-by-1.0 cc-by-2.0 cc-by-2.5 cnri-python cua-opl-1.0 ecl-1.0 ecl-2.0 efl-1.0
-efl-2.0 entessa eudatagrid fair frameworx-1.0 gfdl-1.1 gpl-1.0-only gpl-2.0-only gpl-3.0-only hpnd intel ipa jam lgpl-2.0-only
-lgpl-2.0-or-later lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0-only lgpl-3.0-or-later liliq-p-1.1 liliq-r-1.1 lpl-1.0 lpl-1.02 miros
-mit-modern-variant motosoto multics nasa-1.3 naumen ngpl nokia nposl-3.0 ntp oclc-2.0 ogtsl oldap-2.8 oset-pl-2.1 osl-1.0 osl-2.0
-osl-2.1 rpl-1.1 rpl-1.5 rpsl-1.0 rscpl simpl-2.0 spl-1.0 ucl-1.0 unicode-dfs-2016 vsl-1.0 watcom-1.0 xnet zpl-2.0 zpl-2.1
-"""
+#: What may stand between two words of a signature, and the macros of the rules.
+_G = r"[\s,;:()\"'*#/_-]{0,12}"
+_MACROS = {"{v}": r"(?:version|ver\.?|v\.?)?\s{0,3}", "{l}": "licen[sc]e", "{later}": rf"{_G}or{_G}(?:\(at{_G}your{_G}option\){_G})?(?:any{_G})?later"}
+_END = r"(?![\w]|\.\d)"
+#: Labels that say less than a license does.
+WEAK = frozenset(("copyright", "reserved", "creative-commons"))
 
 
 @dataclass(frozen=True)
@@ -195,49 +47,83 @@ class Rule:
 
 
 def build_rules() -> list[Rule]:
-    """Tags first, then names in the order of the table."""
-    names = [[x.strip() for x in line.split(" | ", 2)] for line in NAMES.strip().splitlines()]
-    tags = sorted({*(n[0] for n in names), *TAGS.split()})
-    rules = [Rule(i, t, "spdx-license-identifier", re.compile(rf"spdx-license-identifier:\s*{re.escape(t)}(?![\w.+-])"), 1.0) for i, t in enumerate(tags)]
-    for label, keyword, words in names:
-        body = words.replace("{v}", _V).replace(" ?", "\0").replace(" ", _G).replace("\0", "[ -]?")
-        weak = label in {"copyright", "reserved", "creative-commons"}
-        has_version = bool(re.search(r"\d", label))
-        rules.append(Rule(len(rules), label, keyword.replace(" ", "\0"), re.compile(rf"(?<!\w){body}"), 0.4 if weak else 0.95 if has_version else 0.8))
+    """The rules in the order of their table; number 0 is left to identifier lines."""
+    rules = []
+    for i, line in enumerate(RULES.strip().splitlines(), 1):
+        label, keyword, words = (x.strip() for x in line.split(" | ", 2))
+        body = words.replace(" ?", "\0").replace(" ", _G).replace("\0", "[ -]?")
+        for macro, pattern in _MACROS.items():
+            body = body.replace(macro, pattern)
+        body = body.replace("$", _END)
+        strength = 0.4 if label in WEAK else 0.95 if re.search(r"\d", label) else 0.8
+        rules.append(Rule(i, label, keyword.replace("{l}", "licen"), re.compile(rf"(?<!\w)(?:{body})"), strength))
     return rules
 
 
 def _first(keyword: str) -> str:
     """A keyword's longest word: gaps between its words may be anything."""
-    return max(keyword.split("\0"), key=len)
+    return max(keyword.split(), key=len)
+
+
+def settle(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections that lie inside none that comes before them by priority, length and place; in order of place.
+
+    For each start the tree knows the largest settled end of any start up to it."""
+    found = sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0]))
+    place = {a: i for i, a in enumerate(sorted({x[0] for x in found}), 1)}
+    tree, kept = [-1] * (len(place) + 1), []
+    for a, b, rule in found:
+        i, end = place[a], -1
+        while i:
+            end, i = max(end, tree[i]), i & (i - 1)
+        if end >= b:
+            continue
+        kept.append((a, b, rule))
+        i = place[a]
+        while i < len(tree):
+            tree[i] = max(tree[i], b)
+            i += i & -i
+    return sorted(kept, key=lambda x: (x[0], x[1]))
+
+
+SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
+_NAME = re.compile(r"[a-z0-9][a-z0-9.+-]*")
 
 
 class Scanner:
     def __init__(self):
+        rules = build_rules()
         self.gate, by = ahocorasick.Automaton(), {}
-        for r in build_rules():
+        for r in rules:
             by.setdefault(_first(r.keyword), []).append(r)
-        for k, rules in by.items():
-            self.gate.add_word(k, rules)
+        for k, some in by.items():
+            self.gate.add_word(k, some)
+        self.gate.add_word("spdx-license-identifier", "spdx")
         self.gate.make_automaton()
+        self.known = {r.label for r in rules} | IDENTIFIERS
         self.words = re.compile(WORD)
         self.base = {tuple(k.split()): v for k, v in BASE.items()}
 
+    def identifiers(self, low: str) -> list[tuple[int, int, Rule]]:
+        """Detections of the identifiers of SPDX lines."""
+        found = []
+        for line in SPDX.finditer(low):
+            for m in _NAME.finditer(low, line.start(1), line.end(1)):
+                name = m[0][:-1] + "-or-later" if m[0].endswith("+") else m[0]
+                if name in self.known or name.removesuffix("-or-later").removesuffix("-only") in self.known:
+                    found.append((m.start(), m.end(), Rule(0, name, "", SPDX, 1.0)))
+        return found
+
     def detect(self, low: str) -> list[tuple[int, int, Rule]]:
         """Settled detections in order of place."""
         found = []
         for rules in {id(r): r for _, r in self.gate.iter(low)}.values():
+            if rules == "spdx":
+                found += self.identifiers(low)
+                continue
             for rule in rules:
                 found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(low)]
-        found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0]))
-        starts, settled = [], []
-        for a, b, rule in found:
-            i = bisect.bisect_right(starts, a)
-            if (i and settled[i - 1][1] > a) or (i < len(starts) and starts[i] < b):
-                continue
-            starts.insert(i, a)
-            settled.insert(i, (a, b, rule))
-        return settled
+        return settle(found)
 
     def phrases(self, low: str) -> tuple[list[int], set[str]]:
         """Starts of the base phrases, in words, and their labels."""
@@ -273,6 +159,7 @@ def count_words(texts: list[str]) -> np.ndarray:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with the counts, labels, score and the settled detections (start and end in code points)."""
+    docs = plain(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
