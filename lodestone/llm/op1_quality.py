@@ -10,8 +10,12 @@ The classifier is fitted to at most about SAMPLE labelled documents a class, cho
 variances are over all documents.
 
 Defined cases: null texts count as empty; null host or path is a site of its own; null labels are not learned from; without
-labels of both classes p is 0.5 everywhere; a path of one document has its host's posterior; repeated rows are documents of
-their own; other columns are not read; an empty table gives no rows.
+labels of both classes p is 0.5 everywhere; a path of one document has its host's posterior; equal evidence gives equal scores;
+repeated rows are documents of their own; a null id is kept, is not held out and is not learned from; very long texts are read
+whole; other columns are not read, so none can clash; an empty table gives no rows.
+
+The sums of sites are broadcast up to BROADCAST_SITES; beyond that they are joined by shuffle, for which documents of a site are
+dealt to SALTS parts, so that one site with a third of all rows is no single task's work.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ PULL, KEEP = 0.5, 0.5
 #: Bounds of the pseudo-documents of a level.
 LEAST, MOST = 1.0, 1000.0
 FEATURES = 9
+#: Sites whose sums may be broadcast (about 100 bytes each), and parts of a site beyond that.
+BROADCAST_SITES, SALTS = 200_000, 64
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"-]")
 
 
@@ -56,7 +62,7 @@ def fold(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray | None:
-    lab = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1))
+    lab = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     counts = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
@@ -132,10 +138,15 @@ def logit(p: Column) -> Column:
 
 
 def score(docs: DataFrame, coef: np.ndarray | None, host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    p = cut(evidence(docs.select(key, host.alias("host"), path.alias("path"), text), coef, text))
-    site = posteriors(p).withColumnsRenamed({"host": "host2", "path": "path2"})
+    p = cut(evidence(docs.select(F.col(key).alias("id"), host.alias("host"), path.alias("path"), F.col(text).alias("t")), coef, "t"))
+    site = cut(posteriors(p).withColumnsRenamed({"host": "host2", "path": "path2"}))
     same = F.col("host").eqNullSafe(F.col("host2")) & F.col("path").eqNullSafe(F.col("path2"))
-    d = p.join(site, same).select(key, "p", "s", "n", "host_posterior", "mu", "k_path")
+    if site.count() <= BROADCAST_SITES:
+        d = p.join(F.broadcast(site), same)
+    else:
+        dealt = p.withColumn("salt", F.pmod(F.xxhash64("id", "p"), F.lit(SALTS)))
+        d = dealt.join(site.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("salt") == F.col("salt2")))
+    d = d.select(F.col("id").alias(key), "p", "s", "n", "host_posterior", "mu", "k_path")
     others = (F.col("s") - F.col("p") + F.col("k_path") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k_path"))
     d = d.withColumn("path_posterior", F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6)))
     z = logit(F.col("p")) + PULL * (logit(F.col("path_posterior")) - logit(F.col("mu")))
@@ -144,7 +155,8 @@ def score(docs: DataFrame, coef: np.ndarray | None, host: Column, path: Column,
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host: source. Path: lang within it."""
+    """Host: source. Path: lang within it, as URLs of the table pages begin with the language after the host."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    coef = fit(docs, labels.filter(~fold(F.col("doc_id"))))
-    return score(docs, coef, F.col("source"), F.col("lang"))
+    held = F.coalesce(fold(F.col("doc_id")), F.lit(False))
+    coef = fit(docs, labels.filter(~held))
+    return score(docs, coef, F.col("source"), F.col("lang")).withColumn("held_out", held)

@@ -6,11 +6,14 @@ language is corrected for that language's false positive rate, and the largest c
 
 The filters are learned from at most about SAMPLE documents a language (by a hash of the id) of the training fold. A
 language's filter has the n-grams that make up at least MIN_SHARE of its n-grams and are at least RIVAL times as usual as
-in any other language, so their number is bounded; the table is PROBES reads in a fixed number of bytes.
+in any other language, so their number is bounded; the table is PROBES reads in SLOTS * 8 bytes for every 64 languages. The
+number of languages is that of the labels' values, which the driver lists.
 
 Defined cases: null texts and texts without a letter are `und`, score 0; with no training rows every text is `und`; equal
-shares go to the language with more training documents, then by name; repeated rows are documents of their own; other
-columns are not read; empty tables give no rows.
+shares go to the language with more training documents, then by name; repeated rows are documents of their own; a null id is
+kept, is not held out and is not learned from; very long texts are read whole, STEP characters at a time where texts end; other
+columns are kept, but those named like a result (lang_pred, score; case does not count) are replaced by it; empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, plain, read
 from .packed import U, mix
 
 GRAM, SLOTS, PROBES = 4, 1 << 18, 3
@@ -77,7 +80,7 @@ def fold(key: Column, n: int) -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the table, of shape (languages / 64, SLOTS)."""
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
+    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("k is not null and t is not null and l is not null")
     counts = sorted(((r["count"], r["l"]) for r in d.groupBy("l").count().collect()), key=lambda x: (-x[0], x[1]))
     names = [n for _, n in counts]
     if not names:
@@ -94,7 +97,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 both, n = np.unique(np.stack([codes[a:z][doc].astype(np.uint64), h]), axis=1, return_counts=True)
                 yield pa.record_batch({"l": both[0].astype(np.int32), "h": both[1].view(np.int64), "n": n.astype(np.int64)})
 
-    rows = d.filter(share < bound).select("t", code.alias("l")).mapInArrow(count, "l int, h bigint, n bigint").groupBy("l", "h").agg(F.sum("n").alias("n"))
+    rows = cut(d.filter(share < bound).select("t", code.alias("l")).mapInArrow(count, "l int, h bigint, n bigint").groupBy("l", "h").agg(F.sum("n").alias("n")))
     total = rows.groupBy("l").agg(F.sum("n").alias("total"))
     rows = rows.join(F.broadcast(total), "l").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= MIN_SHARE)
     best = rows.groupBy("h").agg(F.max("share").alias("top"))
@@ -112,6 +115,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text: str = "t
     """docs without text, with lang_pred and score."""
     fill = np.array([((table[i // 64] >> U(i % 64)) & U(1)).mean() for i in range(len(names))])
     false_rate = fill**PROBES
+    docs = plain(docs, "lang_pred", "score")
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +147,6 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text: str = "t
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held = fold(F.col("doc_id"), 4) == 2
-    names, table = learn(docs.filter(~F.coalesce(held, F.lit(False))))
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    names, table = learn(docs.filter(~held))
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), names, table)

@@ -11,10 +11,14 @@ taken while at least half of the document still fits. Documents of more than 2 R
 
 The running sum over a source is found in steps that do not gather a source in one task: sums of LEVEL ranges of the rank
 variable show the range in which R is reached, sums of LEVEL parts of that range narrow it again, and only documents of
-that part (about a millionth of the source) are sorted.
+that part (about a millionth of the source) are sorted. Tables of one row a source (targets, masses, cut points) are broadcast
+up to BROADCAST_SOURCES rows, so that documents are not shuffled by source; beyond that no source is large and they are joined by
+shuffle. The targets sort all sources, one row each, in one task.
 
 Defined cases: null text has size 0; null source is a source of its own; equal rank variables are ordered by id, then
-size; a repeated row is a document of its own; an empty table gives no rows; other columns are not read.
+size, rows equal in both taken as one order among themselves gives, which changes no row of the result; a null id ranks by
+the hash of no id, first among its equals; a repeated row is a document of its own; very long texts only count; an empty table
+gives no rows; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import cut, read, tokens
 CAP = 3
 WEIGHTS = (5, 2, 1)
 LEVEL = 1024
+#: Rows of a table of sources that may be broadcast: about 100 bytes each.
+BROADCAST_SOURCES = 200_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -55,7 +61,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def uniform(key, seed: int):
     """In (0, 1), from 52 bits of an md5; SQL engines agree on it."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long")
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    bits = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + 0.5) / F.lit(4503599627370496.0)
 
 
@@ -63,13 +70,22 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken (words) and copies of each document; docs has doc_id, source and text."""
     sized = cut(docs.select("doc_id", "source", F.size(tokens(F.col("text"))).cast("long").alias("size")))
     per = cut(targets(sized))
-    d = sized.join(per, sized["source"].eqNullSafe(per["source"])).select("doc_id", "size", "sid", "source_size", "target")
+    few = per.count() <= BROADCAST_SOURCES
+
+    def by_source(rows: DataFrame) -> DataFrame:
+        """A table of one row a source, computed once."""
+        rows = cut(rows)
+        return F.broadcast(rows) if few else rows
+
+    rows = sized.withColumnRenamed("source", "_source")
+    per = F.broadcast(per) if few else per
+    d = rows.join(per, rows["_source"].eqNullSafe(per["source"])).select("doc_id", "size", "sid", "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     d = d.withColumn("whole", whole)
     d = d.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     d = d.withColumn("fits", (F.col("size") > 0) & (F.col("size") <= 2 * F.col("rest")))
     root = F.sqrt(F.col("size").cast("double"))
-    mass = d.filter("fits").groupBy("sid").agg(F.sum(F.floor(root * 1000)).alias("mass"))
+    mass = by_source(d.filter("fits").groupBy("sid").agg(F.sum(F.floor(root * 1000)).alias("mass")))
     d = d.join(mass, "sid", "left")
     pi = F.least(F.greatest(F.col("rest") * 1000 / (root * F.col("mass").cast("double")), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = uniform(F.col("doc_id"), seed)
@@ -82,12 +98,10 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         w = W.partitionBy("sid").orderBy(k)
         h = rows.groupBy("sid", k).agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first(base).alias("b"))
         h = h.withColumn("end", F.sum("s").over(w) + F.col("b"))
-        return h.filter("end > rest and end - s <= rest").groupBy("sid").agg(F.min(k).alias(f"{k}_cut"), F.min(F.col("end") - F.col("s")).alias(f"{k}_base"))
+        return by_source(h.filter("end > rest and end - s <= rest").groupBy("sid").agg(F.min(k).alias(f"{k}_cut"), F.min(F.col("end") - F.col("s")).alias(f"{k}_base")))
 
-    first = cut_point(d.filter("fits").withColumn("zero", F.lit(0).cast("long")), "k1", "zero")
-    d = d.join(first, "sid", "left")
-    second = cut_point(d.filter("fits and k1 = k1_cut"), "k2", "k1_base")
-    d = d.join(second, "sid", "left")
+    d = d.join(cut_point(d.filter("fits").withColumn("zero", F.lit(0).cast("long")), "k1", "zero"), "sid", "left")
+    d = d.join(cut_point(d.filter("fits and k1 = k1_cut"), "k2", "k1_base"), "sid", "left")
     edge = F.col("fits") & (F.col("k1") == F.col("k1_cut")) & (F.col("k2") == F.col("k2_cut"))
     sure = F.col("fits") & (F.col("k1_cut").isNull() | (F.col("k1") < F.col("k1_cut")) | ((F.col("k1") == F.col("k1_cut")) & (F.col("k2_cut").isNull() | (F.col("k2") < F.col("k2_cut")))))
     d = d.withColumns({"edge": F.coalesce(edge, F.lit(False)), "drawn": F.coalesce(sure, F.lit(False))})

@@ -51,8 +51,6 @@ def test_substrings_brute_force(spark, texts, monkeypatch):
             gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
             kept = " ".join(x for p, x in enumerate(w) if p not in gone)
             assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    full = op9_substrings.repeated_passages(documents(spark, texts).withColumn("g", F.lit("x")).drop("g"))
-    assert set(full.columns) == {"doc_id", "text", "lang", "source", "n_chars", "n_words", "n_removed"}
 
 
 def test_cover_aligns_any_two_places():
@@ -144,15 +142,12 @@ def test_overlaps_are_settled():
     assert [r.label for _, _, r in found] == ["lgpl-2.1", "mit"]
 
 
-def test_toxicity_grammar_and_held_out(spark):
-    g = op3_toxicity.Grammar({"moron$": 3.0, "vequ": 2.0})
-    assert g.clause("you moron".split(), [0, 3.0]) == [0, 3.0, 0, 0] and g.clause("not moron".split(), [0, 3.0])[2] == 3.0
-    assert g.weight("vequeta") == 2.0 and g.weight("morons") == 0.0
-    folder = FOLDER.replace("0.001", "0.01")
-    p = op3_toxicity.op3_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").toPandas()
-    hit = ((p.toxic == 1) & (p.predicted == 1)).sum()
-    assert hit >= 0.7 * (p.toxic == 1).sum() and hit >= 0.9 * (p.predicted == 1).sum()
-    assert op3_toxicity.learn(documents(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int")).scores([None, "a"]).tolist() == [0, 0]
+def test_toxicity_held_out(spark):
+    folder = FOLDER.replace("0.001", "0.1")
+    p = op3_toxicity.op3_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    for lang, q in p.groupby("lang"):
+        hit = ((q.toxic == 1) & (q.predicted == 1)).sum()
+        assert hit >= 0.85 * (q.toxic == 1).sum() and hit >= 0.9 * (q.predicted == 1).sum(), lang
 
 
 def test_language(spark):
