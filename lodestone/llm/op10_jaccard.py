@@ -43,12 +43,19 @@ class Sets:
         h = w.runs(SHINGLE)
         at = np.flatnonzero(room >= SHINGLE)
         docs, hashes = [w.doc[at]], [h[at]]
+        del h, at, room
         for k in range(1, SHINGLE):
             short = w.first[w.n == k]
-            docs.append(w.doc[short])
-            hashes.append(w.runs(k)[short])
-        (d, self.hash), _, _ = unique(np.concatenate(docs).astype(np.uint64), np.concatenate(hashes))
-        self.doc = d.astype(np.int64)
+            if len(short):
+                docs.append(w.doc[short])
+                hashes.append(w.runs(k)[short])
+        d, h = np.concatenate(docs), np.concatenate(hashes)
+        del docs, hashes
+        order = np.lexsort((h, d))
+        d, h = d[order], h[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+        self.doc, self.hash = d[new], h[new]
         self.n = np.bincount(self.doc, minlength=len(w.n))
         self.end = np.cumsum(self.n)
         self.sums = []

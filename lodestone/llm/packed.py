@@ -29,7 +29,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 U = np.uint64
 #: Text of one group and one numpy step, in bytes.
-GROUP_BYTES, STEP = 8 << 20, 1 << 20
+GROUP_BYTES, STEP = 4 << 20, 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Places of a word whose random numbers stand in a table; those of later places are mixed when needed.
@@ -75,11 +75,13 @@ class Words:
         self.buf = np.insert(data, off[1:-1], 10) if len(texts) > 1 else data
         begin = off[:-1] + np.arange(len(texts))
         edge = np.diff(np.concatenate([[False], ~SPACE[self.buf], [False]]).view(np.int8))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        kind = np.int32 if len(self.buf) < 1 << 31 else np.int64
+        self.start, self.end = np.flatnonzero(edge == 1).astype(kind), np.flatnonzero(edge == -1).astype(kind)
+        del edge
         self.first = np.searchsorted(self.start, begin)
         self.n = np.diff(np.append(self.first, len(self.start)))
-        self.doc = np.repeat(np.arange(len(texts)), self.n)
-        self.pos = np.arange(len(self.start)) - np.repeat(self.first, self.n)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.n)
+        self.pos = np.arange(len(self.start), dtype=kind) - np.repeat(self.first.astype(kind), self.n)
         self.hashes = [self._hash(s) for s in range(seeds)]
 
     def _hash(self, seed: int) -> np.ndarray:
@@ -90,12 +92,13 @@ class Words:
             b = max(a + 1, int(np.searchsorted(self.end, lo + STEP, "right")))
             s, e = self.start[a:b] - lo, self.end[a:b] - lo
             size = int(e[-1])
-            place = np.arange(size) - np.repeat(s, np.diff(np.append(s, size)))
-            at = (place << 8) | self.buf[lo : lo + size]
+            place = np.arange(size, dtype=s.dtype) - np.repeat(s, np.diff(np.append(s, s.dtype.type(size))))
+            at = (np.minimum(place, PLACES) << 8) | self.buf[lo : lo + size]
             value = drawn[np.minimum(at, len(drawn) - 1)]
             late = np.flatnonzero(place >= PLACES)
             if len(late):
-                value[late] = mix(mix(at[late].astype(np.uint64) + U(_BASE[seed])) + U(_BASE[1 - seed]))
+                far = (place[late].astype(np.uint64) << U(8)) | self.buf[lo : lo + size][late]
+                value[late] = mix(mix(far + U(_BASE[seed])) + U(_BASE[1 - seed]))
             sums = np.zeros(size + 1, np.uint64)
             np.cumsum(value, out=sums[1:])
             out[a:b] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64) * U(_BASE[seed]))
@@ -120,7 +123,7 @@ class Words:
 def groups_for(docs: DataFrame, text: str = "text", of: int = GROUP_BYTES) -> int:
     """Number of groups: about `of` bytes of text each; with many groups larger ones, as blocks number their square."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, math.ceil(total / min(max(of, math.isqrt(total) * 16), 16 * of)))
+    return max(1, math.ceil(total / min(max(of, math.isqrt(total) * 16), 32 * of)))
 
 
 def ranges_of(key: np.ndarray, n: int) -> np.ndarray:
