@@ -1,82 +1,61 @@
-"""Imports, exports and names of source files, by line patterns; and resolution of imports to files."""
+"""Imports and exports of source files by the parsers of their languages, and resolution of imports to files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import dirname, fold_path
-from lodestone.operators.lines import lines_of
-
-SCRIPT = ("typescript", "javascript")
-#: Language, kind and pattern with the target as its group, in order.
-IMPORTS = (
-    (SCRIPT, "type-import", r"^\s*import\s+type\s[^'\"]*from\s*['\"]([^'\"]+)['\"]"),
-    (SCRIPT, "import", r"^\s*(?:import\s+(?!type\s)[^'\"(]*|[}\w,*{\s]*)\bfrom\s*['\"]([^'\"]+)['\"]"),
-    (SCRIPT, "side-effect", r"^\s*import\s*['\"]([^'\"]+)['\"]"),
-    (SCRIPT, "dynamic-import", r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-    (SCRIPT, "require", r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-    (("python",), "python-import", r"^\s*from\s+([.\w]+)\s+import\b"),
-    (("python",), "python-import", r"^\s*import\s+([.\w]+)"),
-    (("java",), "java-import", r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;"),
-    (("go",), "go-import", r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$"),
-    (("rust",), "rust-use", r"^\s*(?:pub\s+)?use\s+([\w:]+)"),
-    (("rust",), "rust-use", r"^\s*extern\s+crate\s+(\w+)"),
-)
-#: Language, kind and pattern with the name as its group; the first that fits a line counts.
-EXPORTS = (
-    (SCRIPT, "function", r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
-    (SCRIPT, "function", r"^\s*export\s+const\s+(\w+)[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)[^=]*=>"),
-    (SCRIPT, "class", r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-    (SCRIPT, "interface", r"^\s*export\s+interface\s+(\w+)"),
-    (SCRIPT, "type", r"^\s*export\s+type\s+(\w+)"),
-    (SCRIPT, "enum", r"^\s*export\s+(?:const\s+)?enum\s+(\w+)"),
-    (SCRIPT, "namespace", r"^\s*export\s+namespace\s+(\w+)"),
-    (SCRIPT, "variable", r"^\s*export\s+(?:const|let|var)\s+(\w+)"),
-    (("python",), "class", r"^class\s+([A-Za-z]\w*)"),
-    (("python",), "function", r"^(?:async\s+)?def\s+([A-Za-z]\w*)"),
-    (("python",), "variable", r"^([A-Z][A-Z0-9_]*)\s*="),
-    (("java",), "class", r"^\s*public\s+(?:abstract\s+|final\s+|static\s+)*class\s+(\w+)"),
-    (("java",), "interface", r"^\s*public\s+interface\s+(\w+)"),
-    (("java",), "enum", r"^\s*public\s+enum\s+(\w+)"),
-    (("go",), "function", r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)"),
-    (("go",), "type", r"^type\s+([A-Z]\w*)"),
-    (("go",), "variable", r"^(?:const|var)\s+([A-Z]\w*)"),
-    (("rust",), "function", r"^\s*pub(?:\([^)]*\))?\s+(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)"),
-    (("rust",), "class", r"^\s*pub(?:\([^)]*\))?\s+struct\s+(\w+)"),
-    (("rust",), "enum", r"^\s*pub(?:\([^)]*\))?\s+enum\s+(\w+)"),
-    (("rust",), "interface", r"^\s*pub(?:\([^)]*\))?\s+trait\s+(\w+)"),
-    (("rust",), "type", r"^\s*pub(?:\([^)]*\))?\s+type\s+(\w+)"),
-    (("rust",), "variable", r"^\s*pub(?:\([^)]*\))?\s+(?:const|static)\s+(\w+)"),
-    (("rust",), "namespace", r"^\s*pub(?:\([^)]*\))?\s+mod\s+(\w+)"),
-)
+from lodestone.operators.parsers import PARSERS
+
 ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 CANDIDATES = ("", *ENDINGS, *(f"/index{e}" for e in ENDINGS), ".json")
 
 
-def _first(rules, line: Column) -> Column:
-    """Struct (type, name) of the first rule that fits, else null."""
-    out = None
-    for languages, kind, pattern in rules:
-        hit = F.col("language").isin(*languages) & line.rlike(pattern)
-        value = F.struct(F.lit(kind).alias("type"), F.regexp_extract(line, pattern, 1).alias("name"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+SYMBOLS = "array<struct<name:string,alias:string,is_default:boolean,is_namespace:boolean>>"
+_SYMBOL = pa.list_(pa.struct([("name", pa.string()), ("alias", pa.string()), ("is_default", pa.bool_()), ("is_namespace", pa.bool_())]))
+_KEYS = ("name", "alias", "is_default", "is_namespace")
+
+
+def _rows(files: DataFrame, part: int, schema: str, build) -> DataFrame:
+    """One row for each import (part 0) or export (1) of files(relative_path, language, content)."""
+    parsers = dict(PARSERS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, language, text in zip(*(b[c].to_pylist() for c in ("relative_path", "language", "content")), strict=True):
+                if language in parsers and text:
+                    rows += [(path, *x) for x in parsers[language](text)[part]]
+            yield build(rows)
 
-def _rows(files: DataFrame, rules) -> DataFrame:
-    found = lines_of(files.select("relative_path", "language", "content")).withColumn("x", _first(rules, F.col("line")))
-    return found.filter("x is not null").select("relative_path", "language", F.col("line_no").alias("line"), "x.type", "x.name")
+    return files.select("relative_path", "language", "content").mapInArrow(run, schema)
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """source, target, type, line."""
-    return _rows(files, IMPORTS).select(F.col("relative_path").alias("source"), F.col("name").alias("target"), "type", "line")
+    """source, target, type, line, imports (symbols), is_dynamic, is_type_only; in order of kind and place within a file."""
+
+    def build(rows):
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), _SYMBOL, pa.bool_(), pa.bool_()]
+        cols[4] = [[dict(zip(_KEYS, s, strict=True)) for s in x] for x in cols[4]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["source", "target", "type", "line", "imports", "is_dynamic", "is_type_only"])
+
+    return _rows(files, 0, f"source string, target string, type string, line int, imports {SYMBOLS}, is_dynamic boolean, is_type_only boolean", build)
 
 
 def exports(files: DataFrame) -> DataFrame:
-    """relative_path, name, type, line; in Python a leading underscore hides a name."""
-    return _rows(files, EXPORTS).select("relative_path", "name", "type", "line")
+    """relative_path, name, type, line, is_default; a default export has a row `default` besides."""
+
+    def build(rows):
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["relative_path", "name", "type", "line", "is_default"])
+
+    return _rows(files, 1, "relative_path string, name string, type string, line int, is_default boolean", build)
 
 
 def resolved(deps: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

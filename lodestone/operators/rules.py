@@ -50,7 +50,13 @@ LINE_RULES = (
     LineRule("hardcoded-secrets", "password in code", r"(?i)(password|passwd|pwd|secret|api_?key)\s*[:=]\s*['\"][^'\"]{8,}['\"]", "error"),
     LineRule("hardcoded-secrets", "token in code", r"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}", "error"),
     LineRule("hardcoded-secrets", "database address with a password", r"\b\w+://[^\s:@/]+:[^\s:@/]+@", "error"),
-    LineRule("async-discrepancies", "await on a plain value", r"\bawait\s+(\d|['\"]|true\b|false\b|null\b)"),
+    LineRule("async-discrepancies", "await on a plain value", r"\bawait\s+(\d|['\"`\[{]|true\b|false\b|null\b|undefined\b|new\s+(?!Promise\b))"),
+    LineRule("type-safety", "deep access without a check", r"\b(response|data|result|user|params|query)(\.\w+){3,}", files=r"\.tsx?$", guard=r"\bif\s*\(|&&|!==?\s*(null|undefined)", before=5),
+    LineRule("data-flow-integrity", "sensitive value in a request", r"(?i)\breq(uest)?\.(body|query|params)\.?\w*(password|secret|token|api_?key|credit_?card|ssn)", "error"),
+    LineRule("security-context", "response without security headers", r"\bres(ponse)?\.(send|json)\s*\(", "info", r"(?i)(controller|route|api|handler)", r"(?i)helmet|setHeader|res\.set\(", 20, 0),
+    LineRule("security-context", "sensitive field in a response", r"(?i)\bres(ponse)?\.(send|json)\s*\(.*(password|secret|token|api_?key|credit_?card|ssn)", "error"),
+    LineRule("api-versioning", "breaking change left to do", r"(?i)\bTODO\b.*\bbreaking\b", files=r"(?i)(controller|route|api)"),
+    LineRule("api-versioning", "deprecated without a replacement", r"@deprecated\b", files=r"(?i)(controller|route|api)", guard=r"(?i)\buse\b|\breplacement\b", before=2, after=2),
 )
 
 
@@ -127,7 +133,7 @@ def orphans(files: DataFrame, ignore: str = r"^(main|init|setup|render|handler|d
 def phantom_types(files: DataFrame) -> DataFrame:
     """Type names after `:` that no file defines or imports."""
     rows = lines_of(files.filter(F.col("relative_path").rlike(r"\.tsx?$")).select("relative_path", "content"))
-    refs = rows.select("relative_path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?::\s*|extends\s+|implements\s+)([A-Z]\w*)"), F.lit(1))).alias("name"))
+    refs = rows.select("relative_path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?::\s*|extends\s+|implements\s+|<\s*|[|&]\s*|\bas\s+)([A-Z]\w*)"), F.lit(1))).alias("name"))
     defs = rows.select(F.explode(F.regexp_extract_all("line", F.lit(r"\b(?:interface|type|class|enum)\s+([A-Z]\w*)"), F.lit(1))).alias("name"))
     imported = rows.filter(F.col("line").rlike(r"^\s*import\b")).select("relative_path", F.explode(F.regexp_extract_all("line", F.lit(r"[A-Z]\w*"), F.lit(0))).alias("name"))
     # Names that the language itself defines.
@@ -148,14 +154,61 @@ def casing(files: DataFrame) -> DataFrame:
     return shaped(odd, "inconsistent-casing", "warning", F.concat("name", F.lit(" is not "), "main"), "relative_path", "line_no")
 
 
-RULES: dict[str, Callable[..., DataFrame]] = {"lines": line_findings, "n-plus-one": n_plus_one, "nesting": nesting, "orphaned-functions": orphans, "phantom-type-references": phantom_types, "inconsistent-casing": casing}
+def log_only_catch(files: DataFrame) -> DataFrame:
+    """A catch whose next lines log and then close, without throwing, returning or calling anything else."""
+    rows = lines_of(files.select("relative_path", "content"))
+    w = W.partitionBy("relative_path").orderBy("line_no")
+    rows = rows.withColumn("after", F.concat_ws("\n", F.collect_list("line").over(w.rowsBetween(1, 3))))
+    hit = F.col("line").rlike(r"\bcatch\s*(\([^)]*\))?\s*\{\s*$") & F.col("after").rlike(r"^\s*(console|logger|log)\.\w+\([^\n]*\n\s*\}")
+    return shaped(rows.filter(hit), "resilience-patterns", "warning", F.lit("catch that only logs"), "relative_path", "line_no")
+
+
+def unnecessary_async(files: DataFrame, ignore: str = r"^(main|init|setup|handler|render)$") -> DataFrame:
+    """Async functions whose lines, up to the next function at their depth, hold no await and no Promise type in the first two.
+
+    A function's lines are those from its own to the first closing brace at its indentation."""
+    rows = lines_of(files.filter("language in ('typescript', 'javascript')").select("relative_path", "content"))
+    head = r"^(\s*)(?:export\s+)?(?:default\s+)?(?:async\s+function\s+(\w+)|(?:const|let)\s+(\w+)\s*=\s*async\b)"
+    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("at", F.last(F.when(F.col("line").rlike(head), F.col("line_no")), ignorenulls=True).over(w)).filter("at is not null")
+    own = F.when(F.col("line_no") == F.col("at"), F.col("line"))
+    rows = rows.withColumn("head", F.first(own, ignorenulls=True).over(W.partitionBy("relative_path", "at")))
+    one_line = F.col("head").rlike(r"\}\s*;?\s*$")
+    end = (F.col("line_no") > F.col("at")) & F.col("line").rlike(r"^\s*\}") & (F.length(F.regexp_extract("line", r"^(\s*)", 1)) <= F.length(F.regexp_extract("head", head, 1)))
+    rows = rows.withColumn("shut", F.coalesce(F.max(end.cast("int")).over(W.partitionBy("relative_path", "at").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.filter((F.col("shut") == 0) & (~one_line | (F.col("line_no") == F.col("at"))))
+    waits = F.max(F.col("line").rlike(r"\bawait\b").cast("int"))
+    typed = F.max((F.col("line").rlike("Promise<") & (F.col("line_no") <= F.col("at") + 1)).cast("int"))
+    body = rows.groupBy("relative_path", "at").agg(F.first("head").alias("head"), waits.alias("waits"), typed.alias("typed")).filter("waits = 0 and typed = 0")
+    name = F.coalesce(F.nullif(F.regexp_extract("head", head, 2), F.lit("")), F.nullif(F.regexp_extract("head", head, 3), F.lit("")))
+    body = body.withColumn("name", name).filter(~F.col("name").rlike(ignore))
+    return shaped(body, "async-discrepancies", "warning", F.concat(F.lit("async without await: "), "name"), "relative_path", "at")
+
+
+RULES: dict[str, Callable[..., DataFrame]] = {"lines": line_findings, "n-plus-one": n_plus_one, "nesting": nesting, "orphaned-functions": orphans, "phantom-type-references": phantom_types, "inconsistent-casing": casing, "log-only-catch": log_only_catch, "unnecessary-async": unnecessary_async}
+
+
+def mutating_calls(files: DataFrame) -> DataFrame:
+    rows = lines_of(files.select("relative_path", "content")).filter(~F.col("line").rlike(COMMENT))
+    name = F.regexp_extract("line", r"\w\.(push|pop|shift|unshift|splice|sort|reverse)\s*\(", 1)
+    return shaped(rows.withColumn("name", name).filter("name <> ''"), "data-flow-integrity", "info", F.concat(F.lit("array changed in place: "), "name"), "relative_path", "line_no")
+
+
+def type_assertions(files: DataFrame) -> DataFrame:
+    rows = lines_of(files.filter(F.col("relative_path").rlike(r"\.tsx?$")).select("relative_path", "content")).filter(~F.col("line").rlike(COMMENT + r"|^\s*(import|export)\b"))
+    hit = F.col("line").rlike(r"\bas\s+(?!const\b|any\b)[A-Za-z]|[=(,]\s*<[A-Z]\w*>\s*\w")
+    return shaped(rows.filter(hit), "type-safety", "info", F.lit("type assertion"), "relative_path", "line_no")
+
+
+#: Rules that run only where they are asked for by name.
+OPTIONAL: dict[str, Callable[..., DataFrame]] = {"mutating-calls": mutating_calls, "type-assertions": type_assertions}
 
 
 def validate(files: DataFrame, only: list[str] | None = None, inventory: DataFrame | None = None, levels: dict[str, str] | None = None) -> DataFrame:
     """All findings. levels: rule to severity or `off`, which is left out of the result."""
     found = None
-    for name, rule in RULES.items():
-        if only and name not in only:
+    for name, rule in (RULES | OPTIONAL).items():
+        if name not in only if only else name in OPTIONAL:
             continue
         found = rule(files) if found is None else found.unionByName(rule(files))
     if not only or "imports" in only:
