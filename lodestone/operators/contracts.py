@@ -88,6 +88,51 @@ def exported_functions(files: DataFrame) -> DataFrame:
     return d.groupBy("name").agg(F.max_by(F.struct("file", "line", "least", "most"), F.struct("file", "line")).alias("x")).select("name", "x.*")
 
 
+def graphql_calls(files: DataFrame) -> DataFrame:
+    """file, line, operation (Query, Mutation, Subscription) and the fields selected at its top, of gql templates."""
+    start = r"gql`\s*(query|mutation|subscription)\b[^{]*\{([^`]*)"
+    whole = files.select("relative_path", F.posexplode(F.split("content", r"(?=gql`)")).alias("k", "piece"), "content").filter(F.col("piece").startswith("gql`"))
+    before = F.array_join(F.slice(F.split("content", r"(?=gql`)"), F.lit(1), F.col("k")), "")
+    rows = whole.select("relative_path", (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).alias("line"), F.initcap(F.regexp_extract("piece", start, 1)).alias("operation"), F.regexp_extract("piece", start, 2).alias("body")).filter("operation <> ''")
+    flat = F.col("body")
+    for _ in range(6):  # selections within selections and arguments go, from the inside out
+        flat = F.regexp_replace(flat, r"\{[^{}]*\}|\([^()]*\)", " ")
+    top = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(flat, r"\}[\s\S]*$", ""), r"\w+\s*:\s*", ""), F.lit(r"(?<![\w.@$])([A-Za-z_]\w*)"), F.lit(1))
+    return rows.select(F.col("relative_path").alias("file"), "line", "operation", F.explode(top).alias("field")).distinct()
+
+
+def graphql_mismatches(files: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Fields of operations that no schema has, and deprecated ones."""
+    known = graphql_fields(schemas).groupBy("operation", "field").agg(F.max("deprecated").alias("deprecated"))
+    d = graphql_calls(files).filter(~F.col("field").isin("__typename")).join(known, ["operation", "field"], "left")
+    message = F.when(F.col("deprecated").isNull(), F.concat(F.lit("unknown field "), "operation", F.lit("."), "field")).when(F.col("deprecated"), F.concat(F.lit("deprecated field "), "operation", F.lit("."), "field"))
+    return shaped(d.withColumn("m", message).filter("m is not null"), "contract-mismatch", "error", F.col("m"))
+
+
+def exported_fields(files: DataFrame) -> DataFrame:
+    """type and field of exported interfaces and types written over several lines."""
+    rows = lines_of(files.select("relative_path", "content"))
+    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    head = r"^\s*export\s+(?:interface|type)\s+(\w+)[^{]*\{\s*$"
+    state = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1)).when(F.col("line").rlike(r"^\s*\}"), F.lit(""))
+    rows = rows.withColumn("type", F.last(state, ignorenulls=True).over(w)).filter("type <> ''")
+    return rows.withColumn("name", F.regexp_extract("line", r"^\s*(?:readonly\s+)?(\w+)\??\s*:", 1)).filter("name <> ''").select("type", "name").distinct()
+
+
+#: Fields and methods that values of the language itself have.
+BUILTIN_FIELDS = ("length", "push", "map", "filter", "forEach", "then", "catch", "find", "join", "split", "slice", "toString", "log", "error", "keys", "values", "data", "current", "target", "value")
+
+
+def field_misses(files: DataFrame, shared: str, callers: str, ignore: list[str] | None = None) -> DataFrame:
+    """Fields read in files like callers that no exported type has but that are like one: `x.emial` for `email`."""
+    known = exported_fields(files.filter(F.col("relative_path").rlike(shared))).select("name").distinct()
+    rows = lines_of(files.filter(F.col("relative_path").rlike(callers)).select("relative_path", "content")).filter(~F.col("line").rlike(r"^\s*(//|\*|import\b)"))
+    read = rows.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(r"(?<![\w.'\"/])([A-Za-z_]\w*\.[A-Za-z_]\w*)(?!\s*\()"), F.lit(1))).alias("access"))
+    read = read.filter(~text.field_ignored(F.col("access"), ignore or [])).withColumn("name", F.substring_index("access", ".", -1)).filter(~F.col("name").isin(*BUILTIN_FIELDS))
+    near = similar_names(read, known).filter("rank = 1").select(F.col("a").alias("name"), "b")
+    return shaped(read.join(near, "name"), "function-signature-matching", "error", F.concat("access", F.lit(" may be "), "b"))
+
+
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "constructor", "require", "import")
 
 

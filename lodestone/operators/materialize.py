@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once into the folder of spark.checkpoint.dir; where that is unset (tests), a local one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which spark.checkpoint.dir names; only a local session (tests) gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

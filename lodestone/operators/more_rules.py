@@ -103,8 +103,9 @@ def entities(files: DataFrame) -> DataFrame:
     return d.select(F.regexp_extract("h", head, 1).alias("kind"), F.regexp_extract("h", head, 2).alias("name"), F.col("relative_path").alias("file"), F.col("at").alias("line"), "props")
 
 
-def drift(files: DataFrame, least: float = 0.75) -> DataFrame:
-    """Pairs of entities of one kind in different files that seem to be one concept: 0.4 name + 0.6 properties.
+def drift(files: DataFrame, least: float = 0.75, allowed: list[list[str]] = ()) -> DataFrame:
+    """Pairs of entities of one kind in different files that seem to be one concept: 0.4 name + 0.6 properties. Whole names (in
+    lower case) of one group of allowed may stand beside one another.
 
     Two entities with properties but none in common have at most the name's 0.4; so for a higher least these meet by
     shared properties, and all others, of which one has no properties, in all pairs."""
@@ -119,7 +120,9 @@ def drift(files: DataFrame, least: float = 0.75) -> DataFrame:
     else:
         p = all_pairs(a, b, ("kind",))
     p = p.filter("id_a < id_b and file_a <> file_b and name_a <> name_b")
-    names = text.edit_similarity(F.lower("name_a"), F.lower("name_b"))
+    names = text.concept_similarity(F.col("name_a"), F.col("name_b"))
+    for group in allowed:
+        p = p.filter(~(F.lower("name_a").isin(*group) & F.lower("name_b").isin(*group)))
     score = F.when((F.size("props_a") > 0) & (F.size("props_b") > 0), 0.4 * names + 0.6 * text.jaccard(F.col("props_a"), F.col("props_b"))).otherwise(names)
     p = p.withColumn("score", score).filter(F.col("score") >= least)
     return shaped(p, "context-drift-patterns", "warning", F.concat("name_b", F.lit(" is like "), "name_a"), "file_b", "line_b")

@@ -6,6 +6,7 @@ All line patterns run in one pass: a line's findings are one array, exploded onc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -204,19 +205,57 @@ def type_assertions(files: DataFrame) -> DataFrame:
 OPTIONAL: dict[str, Callable[..., DataFrame]] = {"mutating-calls": mutating_calls, "type-assertions": type_assertions}
 
 
-def validate(files: DataFrame, only: list[str] | None = None, inventory: DataFrame | None = None, levels: dict[str, str] | None = None) -> DataFrame:
-    """All findings. levels: rule to severity or `off`, which is left out of the result."""
-    found = None
-    for name, rule in (RULES | OPTIONAL).items():
-        if name not in only if only else name in OPTIONAL:
-            continue
-        found = rule(files) if found is None else found.unionByName(rule(files))
-    if not only or "imports" in only:
-        more = unresolved_imports(files, inventory if inventory is not None else files)
-        found = more if found is None else found.unionByName(more)
-    if not only or "cycles" in only:
-        more = circular(extract.edges(extract.dependencies(files), files))
-        found = more if found is None else found.unionByName(more)
+#: Layers told by a word of the path, in order, with those that each may use.
+LAYER_WORDS = (
+    ("controller", ("service", "model", "util")), ("service", ("repository", "model", "util")), ("repository", ("model", "util")),
+    ("component", ("hook", "service", "model", "util")), ("model", ("util",)), ("hook", ("service", "model", "util")), ("util", ()),
+)
+
+
+def layers_by_name(edges: DataFrame, words: tuple = LAYER_WORDS) -> DataFrame:
+    """Edges between layers that are told by words of their paths and that the table does not allow."""
+    def layer(c: str) -> Column:
+        return F.coalesce(*[F.when(F.lower(c).contains(w), w) for w, _ in words])
+
+    d = edges.withColumns({"a": layer("src"), "b": layer("dst")}).filter("a <> b")
+    ok = F.lit(False)
+    for w, allowed in words:
+        ok = ok | ((F.col("a") == w) & F.col("b").isin(*allowed) if allowed else F.lit(False))
+    return shaped(d.filter(~ok), "layer-dependencies", "error", F.concat("a", F.lit(" may not use "), "b"), "src")
+
+
+def validate(
+    files: DataFrame, only: list[str] | None = None, inventory: DataFrame | None = None, levels: dict[str, str] | None = None, specs: DataFrame | None = None,
+    schemas: DataFrame | None = None, shared: str | None = None, callers: str | None = None, allowed: DataFrame | None = None,
+) -> DataFrame:
+    """All findings. levels: rule to severity or `off`, which is left out of the result.
+
+    Groups that need more than the files run where that is given: contracts (specs: OpenAPI texts; schemas: GraphQL texts),
+    signatures (shared and callers: patterns of paths), layers (allowed: pairs of layers; files has layer); imports, cycles
+    and domains always do."""
+    from lodestone.operators import contracts, more_rules
+
+    def edges() -> DataFrame:
+        return extract.edges(extract.dependencies(files), files)
+
+    groups: dict[str, Callable[[], DataFrame] | None] = {name: (lambda r=rule: r(files)) for name, rule in (RULES | OPTIONAL).items()}
+    groups["imports"] = lambda: unresolved_imports(files, inventory if inventory is not None else files)
+    groups["cycles"] = lambda: circular(edges())
+    groups["domains"] = lambda: more_rules.domains(edges())
+    if specs is not None:
+        groups["contracts"] = lambda: contracts.mismatches(files, specs)
+    if schemas is not None:
+        groups["graphql"] = lambda: contracts.graphql_mismatches(files, schemas)
+    if shared and callers:
+        groups["signatures"] = lambda: contracts.signatures(files, shared, callers)
+        groups["fields"] = lambda: contracts.field_misses(files, shared, callers)
+    if allowed is not None:
+        groups["layers"] = lambda: layers(edges(), files, allowed)
+    for name in only or []:
+        if name not in groups:
+            raise ValueError(f"no rule group {name}, or something that it needs is not given")
+    wanted = only or [g for g in groups if g not in OPTIONAL]
+    found = functools.reduce(DataFrame.unionByName, [groups[g]() for g in groups if g in wanted])
     for rule, level in (levels or {}).items():
         found = found.filter(F.col("rule") != rule) if level == "off" else found.withColumn("severity", F.when(F.col("rule") == rule, {"warn": "warning"}.get(level, level)).otherwise(F.col("severity")))
     return found

@@ -63,7 +63,34 @@ def stream_replay(spark, d):
     return replay(e)
 
 
-QUERIES = {f.__name__: f for f in (latch_calls, floored_depth, latest_def, float_calls, props_json, debounce, type_counts, stream_replay)}
+def stream_state(spark, d):
+    """The same state as stream_replay's, folded by Structured Streaming from the table as a stream of four files."""
+    import uuid
+
+    from lodestone.operators.materialize import shared_folder
+    from lodestone.streaming.changes import keep_state
+
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
+    events(spark, d).repartition(4, "event_id").write.parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(events(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    e = stream.select(F.concat(F.lit("src/"), F.col("user_id").cast("string")).alias("path"), kind.alias("type"), "ts", F.col("event_id").alias("seq"))
+    query = keep_state(e, f"{folder}/table", f"{folder}/checkpoint")
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.parquet(f"{folder}/table/v={last}").filter("type <> 'unlink'").select("path", "type", "seq")
+
+
+def session_summary(spark, d):
+    """What a session of changes has seen by kind: changes, paths, and the paths that are gone at its end."""
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
+    e = events(spark, d).select(F.col("user_id").alias("path"), kind.alias("type"), "ts", F.col("event_id").alias("seq"))
+    from lodestone.streaming.changes import summary
+
+    return summary(e)
+
+
+QUERIES = {f.__name__: f for f in (latch_calls, floored_depth, latest_def, float_calls, props_json, debounce, type_counts, stream_replay, stream_state, session_summary)}
 _W = "PARTITION BY user_id ORDER BY ts, event_id"
 ORACLES = {
     "latch_calls": f"""SELECT event_id, user_id FROM (SELECT *, last_value(CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 END IGNORE NULLS)
@@ -81,3 +108,6 @@ SELECT user_id, event_id, event_type, merged FROM n WHERE k = 1""",
     "stream_replay": """SELECT path, type, seq FROM (SELECT 'src/' || user_id AS path, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS type, event_id AS seq,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND type <> 'unlink'""",
 }
+ORACLES["stream_state"] = ORACLES["stream_replay"]
+ORACLES["session_summary"] = """WITH c AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT type, count(*) AS changes, count(DISTINCT user_id) AS paths, count(*) FILTER (k = 1) AS last_of_path FROM c GROUP BY type"""

@@ -43,3 +43,10 @@ def affected(changed: DataFrame, edges: DataFrame) -> DataFrame:
 def replace_findings(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
     """The finding set with the rows of changed files replaced."""
     return old.join(changed.select(F.col("path").alias("file")).distinct(), "file", "left_anti").unionByName(new)
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """type, changes, paths, and of how many paths a change of this type was the last."""
+    last = changes.groupBy("path").agg(F.max_by("type", F.struct("ts", "seq")).alias("type")).groupBy("type").agg(F.count("*").alias("last_of_path"))
+    seen = changes.groupBy("type").agg(F.count("*").alias("changes"), F.countDistinct("path").alias("paths"))
+    return seen.join(last, "type", "left").fillna(0, ["last_of_path"])
