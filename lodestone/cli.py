@@ -12,7 +12,7 @@ from lodestone.operators.rules import validate
 from lodestone.sources import project
 from lodestone.sources.files import described, scan
 
-FORMATS = {"text": reports.text_lines, "json": reports.json_document, "grouped": reports.grouped_json, "sarif": reports.sarif_document, "vscode": reports.editor_lines, "markdown": reports.markdown}
+FORMATS = {"text": reports.text_lines, "json": reports.json_document, "grouped": reports.grouped_json, "sarif": reports.sarif_document, "vscode": reports.editor_lines, "markdown": reports.markdown, "html": reports.html_lines}
 #: Columns of a format that hold its text.
 TEXTS = ("document", "item", "text")
 

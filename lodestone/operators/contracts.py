@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import extract
 from lodestone.operators.lines import lines_of
 from lodestone.operators.pairs import all_pairs
 from lodestone.operators.rules import shaped
@@ -78,14 +79,14 @@ def mismatches(files: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def exported_functions(files: DataFrame) -> DataFrame:
-    """name, file, line, least and most parameters; of one name the last in order of file and line counts."""
+    """name, file, line, least and most parameters and their names; of one name the last in order of file and line counts."""
     pattern = r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"
     rows = lines_of(files.select("relative_path", "content")).filter(F.col("line").rlike(pattern))
     params = F.filter(F.split(F.regexp_extract("line", pattern, 2), ","), lambda p: F.trim(p) != "")
     needed = F.filter(params, lambda p: ~p.rlike(r"[?=]|^\s*\.\.\."))
     most = F.when(F.exists(params, lambda p: p.rlike(r"^\s*\.\.\.")), 1000).otherwise(F.size(params))
-    d = rows.select(F.regexp_extract("line", pattern, 1).alias("name"), F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.size(needed).alias("least"), most.alias("most"))
-    return d.groupBy("name").agg(F.max_by(F.struct("file", "line", "least", "most"), F.struct("file", "line")).alias("x")).select("name", "x.*")
+    d = rows.select(F.regexp_extract("line", pattern, 1).alias("name"), F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.size(needed).alias("least"), most.alias("most"), F.transform(params, lambda p: F.regexp_extract(p, r"(\w+)", 1)).alias("params"))
+    return d.groupBy("name").agg(F.max_by(F.struct("file", "line", "least", "most", "params"), F.struct("file", "line")).alias("x")).select("name", "x.*")
 
 
 def graphql_calls(files: DataFrame) -> DataFrame:
@@ -123,12 +124,47 @@ def exported_fields(files: DataFrame) -> DataFrame:
 BUILTIN_FIELDS = ("length", "push", "map", "filter", "forEach", "then", "catch", "find", "join", "split", "slice", "toString", "log", "error", "keys", "values", "data", "current", "target", "value")
 
 
+# Packages, names of the objects that files which import them get from them, and fields of those.
+LIBRARIES = (
+    (("reactflow", "@xyflow/react"), "node edge connection viewport", "data sourceHandle targetHandle markerEnd markerStart interactionWidth zIndex parentNode expandParent extent positionAbsolute dragging"),
+    (("recharts",), "payload entry item tick activePayload", "dataKey payload fill stroke strokeWidth activeDot dot legendType tickFormatter tickLine axisLine cartesianGrid"),
+    (("chart.js",), "dataset tooltip chart scale", "datasetIndex dataIndex parsed raw formattedValue"),
+    (("d3",), "datum node link simulation", "datum fx fy vx vy cx cy"),
+    (("express",), "req res next app router", "params query body headers cookies session locals baseUrl originalUrl hostname ip method path protocol secure xhr statusCode"),
+    (("fastify",), "request reply fastify", "params query body headers raw server"),
+    (("socket.io",), "socket io", "handshake rooms nsp connected disconnected"),
+    (("mongoose",), "doc model schema query", "_id isModified isNew toObject toJSON markModified populate"),
+    (("sequelize",), "instance model sequelize", "dataValues isNewRecord changed"),
+    (("@prisma/client",), "prisma", "findUnique findMany create update upsert deleteMany"),
+    (("next",), "router page", "pathname query asPath basePath locale isReady isFallback"),
+    (("next/router",), "router", "pathname query asPath basePath locale isReady isFallback"),
+    (("zustand",), "store state", "getState setState subscribe destroy"),
+    (("@reduxjs/toolkit",), "store state action slice", "payload type meta error dispatch getState"),
+    (("redux",), "store state action", "payload type meta error dispatch getState"),
+)
+
+
+def foreign(files: DataFrame) -> DataFrame:
+    """file, kind (object or field) and word: what a file's accesses of these names owe to packages that it imports, be it by
+    LIBRARIES or by the imported name itself."""
+    deps = extract.dependencies(files).filter(~F.col("target").rlike(r"^(\.|/|~|@/)")).select(F.col("source").alias("file"), "target", "imports")
+    own = deps.select("file", F.explode(F.transform("imports", lambda s: F.coalesce(s["alias"], s["name"]))).alias("word")).select("file", F.lit("object").alias("kind"), "word")
+    words = [(lib, kind, w) for libs, objects, fields in LIBRARIES for lib in libs for kind, ws in (("object", objects), ("field", fields)) for w in ws.split()]
+    table = F.broadcast(files.sparkSession.createDataFrame(words, "target string, kind string, word string"))  # LIBRARIES only
+    return deps.select("file", "target").distinct().join(table, "target").select("file", "kind", "word").unionByName(own).distinct()
+
+
 def field_misses(files: DataFrame, shared: str, callers: str, ignore: list[str] | None = None) -> DataFrame:
-    """Fields read in files like callers that no exported type has but that are like one: `x.emial` for `email`."""
+    """Fields read in files like callers that no exported type has but that are like one: `x.emial` for `email`. Objects and
+    fields of imported packages are left out."""
     known = exported_fields(files.filter(F.col("relative_path").rlike(shared))).select("name").distinct()
     rows = lines_of(files.filter(F.col("relative_path").rlike(callers)).select("relative_path", "content")).filter(~F.col("line").rlike(r"^\s*(//|\*|import\b)"))
     read = rows.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(r"(?<![\w.'\"/])([A-Za-z_]\w*\.[A-Za-z_]\w*)(?!\s*\()"), F.lit(1))).alias("access"))
     read = read.filter(~text.field_ignored(F.col("access"), ignore or [])).withColumn("name", F.substring_index("access", ".", -1)).filter(~F.col("name").isin(*BUILTIN_FIELDS))
+    other = foreign(files.filter(F.col("relative_path").rlike(callers)))
+    read = read.withColumn("object", F.substring_index("access", ".", 1))
+    for kind, column in (("object", "object"), ("field", "name")):
+        read = read.join(other.filter(F.col("kind") == kind).select("file", F.col("word").alias(column)), ["file", column], "left_anti")
     near = similar_names(read, known).filter("rank = 1").select(F.col("a").alias("name"), "b")
     return shaped(read.join(near, "name"), "function-signature-matching", "error", F.concat("access", F.lit(" may be "), "b"))
 
@@ -137,11 +173,24 @@ KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "type
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """file, line, name and number of arguments of plain calls whose arguments hold no parentheses."""
+    """file, line, name, number of arguments and text of plain calls whose arguments hold no parentheses."""
     rows = lines_of(files.select("relative_path", "content")).filter(~F.col("line").rlike(r"^\s*(//|\*|import\b|export\b)|\bfunction\b"))
     found = rows.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(r"(?<![.\w])([A-Za-z_]\w*\([^()]*\))"), F.lit(1))).alias("call"))
     args = F.filter(F.split(F.regexp_extract("call", r"\(([^()]*)\)", 1), ","), lambda p: F.trim(p) != "")
-    return found.select("file", "line", F.regexp_extract("call", r"^(\w+)", 1).alias("name"), F.size(args).alias("args")).filter(~F.col("name").isin(*KEYWORDS))
+    return found.select("file", "line", F.regexp_extract("call", r"^(\w+)", 1).alias("name"), F.size(args).alias("args"), F.regexp_extract("call", r"\(([^()]*)\)", 1).alias("text")).filter(~F.col("name").isin(*KEYWORDS))
+
+
+def name_score(a: Column, b: Column) -> Column:
+    wa, wb = text.name_words(a), text.name_words(b)
+    return F.round(F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.close_overlap(wa, wb)), 6)
+
+
+def named_arguments(used: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
+    """Arguments written `name: value` whose name no parameter of the called function has but that is like one."""
+    d = used.join(known.select("name", "params"), "name").withColumn("arg", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)\s*:"), F.lit(1))))
+    d = d.filter(~F.array_contains("params", F.col("arg"))).select("file", "line", "name", "arg", F.explode(F.array_distinct("params")).alias("param")).withColumn("score", name_score(F.col("arg"), F.col("param")))
+    best = d.groupBy("file", "line", "name", "arg").agg(F.max("score").alias("score"), F.min_by("param", F.struct(-F.col("score"), "param")).alias("param")).filter(F.col("score") >= least)
+    return shaped(best, "function-signature-matching", "error", F.format_string("argument %s of %s may be %s", "arg", "name", "param"))
 
 
 def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: int = 3) -> DataFrame:
@@ -149,18 +198,16 @@ def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: i
     have = known.select(F.col("name").alias("b")).distinct()
     odd = names.select(F.col("name").alias("a")).distinct().join(have, F.col("a") == F.col("b"), "left_anti")
     pairs = all_pairs(odd, have)
-    a, b = F.col("a"), F.col("b")
-    wa, wb = text.name_words(a), text.name_words(b)
-    score = F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.close_overlap(wa, wb))
-    pairs = pairs.withColumn("score", F.round(score, 6)).filter((F.col("score") >= least) & (F.col("score") < 1))
+    pairs = pairs.withColumn("score", name_score(F.col("a"), F.col("b"))).filter((F.col("score") >= least) & (F.col("score") < 1))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= top)
 
 
 def signatures(files: DataFrame, shared: str, callers: str) -> DataFrame:
-    """Calls in files like callers against functions exported by files like shared: wrong counts and near misses of names."""
+    """Calls in files like callers against functions exported by files like shared: wrong counts, near misses of names and of
+    named arguments."""
     known = exported_functions(files.filter(F.col("relative_path").rlike(shared)))
     used = calls(files.filter(F.col("relative_path").rlike(callers)))
     wrong = used.join(known.select("name", "least", "most"), "name").filter("args < least or args > most")
     counts = shaped(wrong, "function-signature-matching", "error", F.format_string("%s takes %d to %d arguments, not %d", "name", "least", "most", "args"))
     near = similar_names(used, known).filter("rank = 1").select(F.col("a").alias("name"), "b")
-    return counts.unionByName(shaped(used.join(near, "name"), "function-signature-matching", "error", F.concat("name", F.lit(" may be "), "b")))
+    return counts.unionByName(named_arguments(used, known)).unionByName(shaped(used.join(near, "name"), "function-signature-matching", "error", F.concat("name", F.lit(" may be "), "b")))

@@ -57,6 +57,14 @@ def resilience_files(files: DataFrame) -> DataFrame:
     return a.unionByName(_file(files, client & ~F.col("content").rlike("(?i)retry|retries"), "resilience-patterns", "warning", "no retry"))
 
 
+def data_classes(files: DataFrame) -> DataFrame:
+    """Classes of files named as models, entities or transfer objects that nothing validates."""
+    name = F.regexp_extract("content", r"class\s+(\w+)", 1)
+    named = F.regexp_extract("relative_path", r"([^/]*)$", 1).rlike("(?i)model|entity|dto")
+    bare = files.filter(named & (name != "") & ~F.col("content").rlike("@Valid|validate|IsNotEmpty|IsString|class-validator"))
+    return shaped(bare.withColumn("line", F.lit(1)), "data-flow-integrity", "warning", F.concat(F.lit("data class without validation: "), name), "relative_path")
+
+
 def leaks(files: DataFrame) -> DataFrame:
     """Listeners and intervals in files that never take one away."""
     pairs = ((r"addEventListener\s*\(", "removeEventListener", "listener"), (r"setInterval\s*\(", "clearInterval", "interval"))
@@ -131,11 +139,11 @@ def drift(files: DataFrame, least: float = 0.75, allowed: list[list[str]] = ())
 HOOK = r"\b(useEffect|useCallback|useMemo)\s*\("
 
 
-def to_closing(code: Column) -> Column:
+def to_closing(code: Column, opening: str = "(", closing: str = ")") -> Column:
     """The code up to the parenthesis that closes its first one; empty if none does."""
     def step(s: Column, c: Column) -> Column:
-        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
-        end = F.when((s["end"] == 0) & (c == ")") & (depth == 0), s["n"] + 1).otherwise(s["end"])
+        depth = s["depth"] + F.when(c == opening, 1).when(c == closing, -1).otherwise(0)
+        end = F.when((s["end"] == 0) & (c == closing) & (depth == 0), s["n"] + 1).otherwise(s["end"])
         return F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), end.alias("end"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -168,7 +176,7 @@ def component_names(files: DataFrame) -> DataFrame:
 
 MORE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ddd-boundaries": ddd_files, "distributed-transactions": transactions, "resilience-files": resilience_files, "leaks": leaks, "floating": floating,
-    "mixed-async": mixed_async, "context-drift-patterns": drift, "react/missing-dependency-array": hook_dependencies, "react/inconsistent-component-naming": component_names,
+    "mixed-async": mixed_async, "data-classes": data_classes, "context-drift-patterns": drift, "react/missing-dependency-array": hook_dependencies, "react/inconsistent-component-naming": component_names,
 }
 
 

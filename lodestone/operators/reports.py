@@ -122,12 +122,27 @@ def suggestions(files: DataFrame, edges: DataFrame, layer_findings: int) -> Data
 
 def rules_catalog(spark: SparkSession) -> DataFrame:
     """Names of the registered rules."""
-    from lodestone.operators import more_rules  # noqa: F401
+    from lodestone.operators import more_rules, react  # noqa: F401
     from lodestone.operators.rules import RULES
 
     return spark.createDataFrame([(r,) for r in RULES], "rule string")
 
 
+def html_lines(findings: DataFrame) -> DataFrame:
+    """Rows of an HTML report: file, line and text, the head under an empty file. In order of file and line they are one page."""
+    def safe(c: str) -> Column:
+        out = F.col(c)
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(sign), F.lit(name))
+        return out
+
+    line = F.coalesce("line", F.lit(1)).cast("int")
+    row = F.format_string('<tr class="%s"><td>%s:%d<td>%s<td>%s<td>%s', safe("severity"), safe("file"), line, safe("severity"), safe("rule"), safe("message"))
+    head = '<!doctype html><meta charset="utf-8"><title>Findings</title><h1>Findings</h1><p>%d problems: %d errors, %d warnings, %d infos<table><tr><th>Place<th>Severity<th>Rule<th>Message'
+    top = severity_counts(findings).select(F.lit("").alias("file"), F.lit(0).alias("line"), F.format_string(head, "total", "errors", "warnings", "infos").alias("text"))
+    return top.unionByName(findings.select("file", line.alias("line"), row.alias("text")))
+
+
 def sarif_result(findings: DataFrame) -> Column:
     level = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
     region = F.struct(F.coalesce("line", F.lit(1)).alias("startLine"), _column(findings).alias("startColumn"))

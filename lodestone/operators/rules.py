@@ -233,7 +233,7 @@ def validate(
     Groups that need more than the files run where that is given: contracts (specs: OpenAPI texts; schemas: GraphQL texts),
     signatures (shared and callers: patterns of paths), layers (allowed: pairs of layers; files has layer); imports, cycles
     and domains always do."""
-    from lodestone.operators import contracts, more_rules
+    from lodestone.operators import contracts, more_rules, react  # noqa: F401  react registers its rules
 
     def edges() -> DataFrame:
         return extract.edges(extract.dependencies(files), files)

@@ -81,7 +81,7 @@ pub mod mod{n};
 fn hidden() {{}}
 """,
 }
-ENDINGS = {"ts": "ts", "py": "py", "java": "java", "go": "go", "rust": "rs"}
+ENDINGS = {"ts": "ts", "tsx": "tsx", "py": "py", "java": "java", "go": "go", "rust": "rs"}
 #: Expected imports: line, target, type, symbols written as name>alias, default* and namespace**.
 IMPORTS = {
     "ts": ((1, "./n{m}", "import", "Base*,helper{n},other>alias{n}"), (2, "pkg{r}", "import", "ns{n}**"), (3, "./shapes/s{r}", "type-import", "Shape"), (4, "./multi{n}", "import", "first,second>Second{n}"), (8, "./side{r}.css", "side-effect", ""),
@@ -170,6 +170,11 @@ CASES = {
     "mixed_async": ("mixed-async", "ts", (("await run{n}().then(f);", ("async-discrepancies", "warning", "await mixed with then")), ("await run{n}();", None), ("run().then(f);", None))),
     "nested_loops": ("nesting", "ts", (("for (const a of x) {{", None), ("for (const b of a) {{", None), ("for (const c of b) {{", None), ("for (const d of c) {{", ("performance-antipatterns", "warning", "deeply nested loop")), ("}}", None), ("}}", None), ("}}", None), ("}}", None), ("for (const e of x) {{", None), ("}}", None))),
     "casing": ("inconsistent-casing", "ts", (("const oneName{n} = 1;", None), ("const twoName{n} = 2;", None), ("const threeName{n} = 3;", None), ("const fourName{n} = 4;", None), ("const five_name{n} = 5;", ("inconsistent-casing", "warning", "five_name{n} is not camelCase")))),
+    "old_state": ("react/stale-closure-patterns", "tsx", (
+        ("const [count{n}, setCount{n}] = useState(0);", None), ("setInterval(() => {{", ("react/stale-closure-patterns", "warning", "interval callback may hold old state: count{n}")), ("  show(count{n});", None), ("}}, 5);", None),
+        ("setInterval(() => setCount{n}(c => c + 1), 5);", None), ("useEffect(() => {{", None), ("  window.addEventListener('x', () => show(count{n}));", ("react/stale-closure-patterns", "warning", "listener callback may hold old state: count{n}")), ("}}, []);", None),
+        ("setInterval((count{n}) => show(count{n}), 5);", None), ("const f = async () => {{", ("react/stale-closure-patterns", "warning", "async callback may hold old state: count{n}")), ("  await load();", None), ("  show(count{n});", None), ("}};", None),
+    )),
     "catch_logs": ("log-only-catch", "ts", (("try {{ run{n}(); }} catch (e) {{", ("resilience-patterns", "warning", "catch that only logs")), ("  console.error(e);", None), ("}}", None), ("try {{ run(); }} catch (f) {{", None), ("  console.error(f);", None), ("  throw f;", None), ("}}", None))),
 }
 
@@ -228,6 +233,10 @@ def text_report(spark, d):
     return reports.text_lines(found(spark, d))
 
 
+def html_report(spark, d):
+    return reports.html_lines(found(spark, d)).filter("line > 0").select("file", "line", F.regexp_extract("text", "class=.([a-z]+)", 1).alias("severity"))
+
+
 def markdown_report(spark, d):
     return reports.markdown(found(spark, d)).select("rule", F.col("n").cast("long").alias("n"), "text")
 
@@ -273,13 +282,14 @@ UNION ALL SELECT 'high', 'fix errors', count(*), count(DISTINCT file) FROM f WHE
 UNION ALL SELECT 'medium', 'look at warnings', count(*), count(DISTINCT file) FROM f WHERE severity = 'warning' HAVING count(*) > 0
 UNION ALL SELECT 'high', 'fix calls that do not fit', count(*), count(DISTINCT file) FROM f WHERE rule = 'function-signature-matching' HAVING count(*) > 0"""
 _SUM = f"count(*) || ' problems: ' || {_COUNT.format('error')} || ' errors, ' || {_COUNT.format('warning')} || ' warnings, ' || {_COUNT.format('info')} || ' infos'"
-QUERIES |= {q.__name__: q for q in (json_report, sarif_report, editor_report, text_report, markdown_report, grouped_report, action_report, type_census, mismatch_counts, rules_catalog, file_metrics, suggestions)}
+QUERIES |= {q.__name__: q for q in (json_report, sarif_report, editor_report, text_report, html_report, markdown_report, grouped_report, action_report, type_census, mismatch_counts, rules_catalog, file_metrics, suggestions)}
 ORACLES |= {
     "json_report": f"WITH {_FOUND} SELECT count(*) AS total, {_COUNT.format('error')} AS errors, min(file) AS first_file, arg_min(rule, (file, line, rule, message)) AS first_rule FROM f",
     "sarif_report": f"WITH {_FOUND} SELECT '2.1.0' AS version, count(DISTINCT rule) AS rules, count(*) AS results, CAST(arg_min(line, (file, line)) AS BIGINT) AS first_line FROM f",
     "editor_report": f"WITH {_FOUND} SELECT file || '(' || line || ',1): ' || severity || ' ' || rule || ': ' || message AS text FROM f",
     "text_report": f"""WITH {_FOUND} SELECT file, line AS line, '  ' || line || ' ' || severity || ' ' || rule || ' ' || message AS text FROM f
 UNION ALL SELECT DISTINCT file, 0, file FROM f UNION ALL SELECT '', 0, {_SUM} FROM f""",
+    "html_report": f"WITH {_FOUND} SELECT file, CAST(line AS INTEGER) AS line, severity FROM f",
     "markdown_report": f"""WITH {_FOUND}, n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY file, line, message) AS n FROM f)
 SELECT rule, n, '- `' || file || ':' || line || '` **' || severity || '** ' || message AS text FROM n WHERE n <= 10""",
     "grouped_report": f"WITH {_FOUND} SELECT rule, count(*) AS n, count(DISTINCT file) AS files FROM f GROUP BY rule",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import contracts, extract, fixes, graph, more_rules, rules
+from lodestone.operators import contracts, extract, fixes, graph, more_rules, react, rules
 from lodestone.plans.code import _sql, _union, filled, keys
 from lodestone.sources import project
 from lodestone.sources.tables import table
@@ -126,6 +126,26 @@ def domain_imports(spark, d):
     return more_rules.domains(extract.edges(extract.dependencies(f), f)).select("file", "rule", "message")
 
 
+def named_arguments(spark, d):
+    f = project.described(written(spark, d, a="shared/n{n}.ts|export function save{n}({{ userName, age }}) {{}}\n", b="client/n{n}.ts|save{n}({{ usrName: x, age: 3 }});\nsave{n}({{ userName: x, zebra: 3 }});\n"))
+    return rules.validate(f, ["signatures"], shared="^shared/", callers="^client/").select("file", "line", "rule", "message")
+
+
+def data_classes(spark, d):
+    f = project.described(written(spark, d, a="a/n{n}.model.ts|class Model{n} {{}}\n", b="a/n{n}.dto.ts|class Dto {{ @IsString() a }}\n", c="model/n{n}.ts|class X {{}}\n"))
+    return rules.validate(f, ["data-classes"]).select("file", "line", "rule", "message")
+
+
+def prop_drilling(spark, d):
+    """A property that three components of three files hand on, of which the last one uses it."""
+    f = project.described(written(spark, d, a="a/n{n}.tsx|import {{ Mid }} from '../b/n{n}';\nexport function Top{n}({{ account{n} }}) {{\n  return <Mid account{n}={{ account{n} }} />;\n}}\n", b="b/n{n}.tsx|import {{ Low }} from '../c/n{n}';\nexport const Mid{n} = ({{ account{n} }}) => <Low {{ ...account{n} }} />;\n", c="c/n{n}.tsx|export function Low{n}({{ account{n} }}) {{\n  return <b>{{account{n}.name}}</b>;\n}}\n"))
+    return react.prop_drilling(f).select("file", "line", "rule", "message")
+
+
+def directory_roles(spark, d):
+    return project.directory_roles(written(spark, d, a="web{n}/components/x.ts|x", b="back{n}/x.ts|app.get('/');\nprisma; jwt;\n", c="lib{n}/utils/x.ts|x", e="odd{n}/x.ts|x"))
+
+
 _TYPO = "client/n{n}.ts|getUsr{n}('1');\nconst a = getUsr{n}; // getUsr{n}x\n"
 
 
@@ -146,7 +166,7 @@ def focus_graph(spark, d):
 
 
 _ALL = (name_concepts, affix_scores, component_names_of_parts, ignored_fields, project_packages, project_framework, project_languages, project_workspaces, path_aliases, missing_packages, project_settings, contract_calls,
-        graphql_fields_unknown, signature_calls, field_misses, layer_imports, layers_by_name, domain_imports, fix_plan, concept_drift, focus_graph)
+        graphql_fields_unknown, signature_calls, field_misses, layer_imports, layers_by_name, domain_imports, fix_plan, concept_drift, focus_graph, named_arguments, data_classes, prop_drilling, directory_roles)
 QUERIES = {q.__name__: q for q in _ALL}
 _N = "CAST(n_nationkey AS INTEGER) AS n"
 _SCORES = (("getUser", "0.85"), ("fetchCustomer", "0.85"), ("deleteOrder", "round(1 - CAST(levenshtein('delete order', 'retrieve member') AS DOUBLE) / 15, 6)"), ("removePurchase", "round(1 - CAST(levenshtein('remove purchase', 'retrieve member') AS DOUBLE) / 15, 6)"), ("getUsr", "0.85"))
@@ -184,5 +204,9 @@ regexp_matches(upper(p_name), '{"|".join(text.ACRONYMS)}') AS acronym FROM part"
     "fix_plan": _rows(f"{_sql('client/n{n}.ts')} AS relative_path, CAST(1 AS INTEGER) AS line_no, {_sql('getUsr{n}(')} || chr(39) || '1' || chr(39) || ');' AS before, {_sql('getUser{n}(')} || chr(39) || '1' || chr(39) || ');' AS after",
                       f"{_sql('client/n{n}.ts')} AS relative_path, CAST(2 AS INTEGER) AS line_no, {_sql('const a = getUsr{n}; // getUsr{n}x')} AS before, {_sql('const a = getUser{n}; // getUsr{n}x')} AS after"),
     "concept_drift": _rows(_found("b/n{n}.ts", 1, "context-drift-patterns", "FetchUser{n} is like GetUser{n}")),
+    "named_arguments": _rows(_found("client/n{n}.ts", 1, "function-signature-matching", "argument usrName of save{n} may be userName")),
+    "data_classes": _rows(_found("a/n{n}.model.ts", 1, "data-flow-integrity", "data class without validation: Model{n}")),
+    "prop_drilling": _rows(_found("c/n{n}.tsx", 1, "react/prop-drilling-detection", "account{n} goes through 3 components, from Top{n} to Low{n}")),
+    "directory_roles": _rows(*[f"{_sql(f)} AS folder, '{r}' AS role" for f, r in (("web{n}", "client"), ("back{n}", "server"), ("lib{n}", "shared"))]),
     "focus_graph": "SELECT 'src/n5.ts' AS id, 0 AS distance UNION ALL SELECT 'src/n4.ts', 1 UNION ALL SELECT 'src/n3.ts', 2",
 }

@@ -59,6 +59,56 @@ def framework(files: DataFrame) -> DataFrame:
     return have.join(table, ["kind", "mark"]).agg(F.min_by("framework", "ord").alias("framework"))
 
 
+# Folders that speak for a role, and patterns of texts that do.
+ROLE_FOLDERS = {
+    "client": "client frontend web app apps/web apps/client packages/web packages/client packages/frontend src/app src/client src/frontend src/web pages components views",
+    "server": "server backend api apps/api apps/server packages/api packages/server packages/backend src/server src/api src/backend services functions lambda",
+    "shared": "shared common lib libs core packages/shared packages/common packages/core src/shared src/common src/lib types utils helpers",
+}
+ROLE_TEXTS = {
+    "client": (
+        r"import.*from ['\"]react['\"]", r"import.*from ['\"]vue['\"]", r"import.*from ['\"]@angular", r"import.*from ['\"]svelte['\"]", r"usestate|useeffect|usememo",
+        r"\bdom\b|document\.|window\.", r"classname=|classname:", r"onclick|onchange|onsubmit", r"<div|<span|<button|<input", r"\.module\.css|\.module\.scss",
+        r"tailwind|styled-components", r"router.*navigate|usenavigation|userouter",
+    ),
+    "server": (
+        r"express\(\)|fastify\(\)|koa\(\)", r"app\.(get|post|put|delete|patch)\s*\(", r"router\.(get|post|put|delete|patch)\s*\(", r"@controller|@get|@post|@injectable",
+        r"prisma|sequelize|typeorm|mongoose", r"\.createserver|\.listen\s*\(", r"req\s*,\s*res|request\s*,\s*response", r"middleware|authentication|authorization",
+        r"database|repository|service.*\{", r"sql|query\(|execute\(", r"jwt|bcrypt|passport", r"sendmail|smtp|nodemailer", r"fastapi|flask|django", r"gin\.|echo\.|fiber\.",
+    ),
+    "shared": (r"export\s+(interface|type)\s+\w+", r"export\s+const\s+\w+\s*=", r"\.d\.ts$", r"validation|validator|schema", r"constant|config|enum", r"util|helper|common"),
+}
+FOLDER_POINTS, TEXT_POINTS = 5.0, {"client": 1.0, "server": 1.0, "shared": 0.5}
+
+
+def directory_scores(files: DataFrame, deepest: int = 4) -> DataFrame:
+    """folder (of the top) and its points as client, server and shared: for names of folders down to a depth, and for texts."""
+    rows = described(files).filter(F.col("relative_path").contains("/")).withColumn("parts", F.split("relative_path", "/"))
+    upto = F.least(F.size("parts") - 1, F.lit(deepest))
+    folders = rows.select(F.explode(F.transform(F.sequence(F.lit(1), upto), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("path")).distinct()
+    points = lambda kinds: [F.coalesce(k, F.lit(0.0)).alias(r) for r, k in kinds.items()]
+    named = {r: F.when(F.concat(F.lit("/"), F.lower("path"), F.lit("/")).rlike(f"/(?:{'|'.join(fs.split())})/"), FOLDER_POINTS) for r, fs in ROLE_FOLDERS.items()}
+    texts = {r: sum((F.when(F.col("content").rlike(f"(?i){p}"), TEXT_POINTS[r]).otherwise(0.0) for p in ps), F.lit(0.0)) for r, ps in ROLE_TEXTS.items()}
+    both = folders.select(F.substring_index("path", "/", 1).alias("folder"), *points(named)).unionByName(rows.select(F.col("parts")[0].alias("folder"), *points(texts)))
+    return both.groupBy("folder").agg(*[F.sum(r).alias(r) for r in ROLE_FOLDERS])
+
+
+def directory_roles(files: DataFrame) -> DataFrame:
+    """folder and role of the top folders: a role of over two points that has over two fifths of all, client before server before
+    shared; else the larger one of client and server, if over two points. Where no folder is client or server, src is what
+    its own folders are, or both."""
+    scores = directory_scores(files)
+    total = F.col("client") + F.col("server") + F.col("shared")
+    role = F.coalesce(*[F.when((F.col(r) > 0.4 * total) & (F.col(r) > 2), r) for r in ROLE_FOLDERS], F.when((F.col("client") > F.col("server")) & (F.col("client") > 2), "client"), F.when((F.col("server") > F.col("client")) & (F.col("server") > 2), "server"))
+    found = scores.select("folder", role.alias("role")).filter("role is not null")
+    inner = described(files).select(F.lower(F.regexp_extract("relative_path", r"^src/([^/]+)/", 1)).alias("name")).filter("name <> ''")
+    inner = inner.agg(F.count("*").alias("n"), F.min(F.when(F.col("name").isin("app", "pages", "components", "views"), "client").when(F.col("name").isin("api", "server", "controllers", "routes"), "server")).alias("role"))
+    roles = F.explode(F.when(F.col("role").isNull(), F.array(F.lit("client"), F.lit("server"))).otherwise(F.array("role")))
+    sides = found.filter("role <> 'shared'").agg(F.count("*").alias("sides"))
+    guess = inner.filter("n > 0").join(F.broadcast(sides)).filter("sides = 0").select(F.lit("src").alias("folder"), roles.alias("role"))
+    return found.unionByName(guess)
+
+
 def workspaces(files: DataFrame) -> DataFrame:
     """path and why of everything that marks a project of several packages."""
     marker = files.filter(F.col("relative_path").isin(*WORKSPACE_FILES)).select(F.col("relative_path").alias("path"), F.lit("marker").alias("why"))

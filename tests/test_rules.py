@@ -45,3 +45,47 @@ def test_hooks_end_at_their_parenthesis(spark):
 def test_synonyms_of_the_reference(spark):
     f = frame(spark, {"shared/a.ts": "export function totalAmount(e) {\n", "shared/b.ts": "export function readStatusDate() {\n", "client/c.ts": "totalPrice(1);\nloadStateTime();\n"})
     assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"totalPrice may be totalAmount", "loadStateTime may be readStatusDate"}
+
+
+def test_named_arguments(spark):
+    f = frame(spark, {"shared/a.ts": "export function saveUser({ userName, age }) {\n", "client/c.ts": "saveUser({ usrName: x, age: 3 });\nsaveUser({ userName: x, zebra: 3 });\n"})
+    assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"argument usrName of saveUser may be userName"}
+
+
+def test_fields_of_packages_are_left_out(spark):
+    from lodestone.sources.files import described
+
+    files = {
+        "shared/a.ts": "export interface User {\n  emailAddress: string\n  querys: string\n}\n",
+        "client/b.ts": "import express from 'express';\nimport box from 'box';\nimport near from './near';\nshow(u.emailAdress);\nshow(req.emailAdress);\nshow(u.query);\nshow(box.emailAdress);\nshow(near.emailAdress);\n",
+        "client/c.ts": "show(u.query);\n",
+    }
+    got = contracts.field_misses(described(frame(spark, files)), "^shared/", "^client/")
+    assert {(r["file"], r["line"]) for r in got.collect()} == {("client/b.ts", 4), ("client/b.ts", 8), ("client/c.ts", 1)}
+
+
+def test_data_classes(spark):
+    f = frame(spark, {"a/user.model.ts": "class User {}\n", "a/user.dto.ts": "class Dto { @IsString() a }\n", "model/x.ts": "class X {}\n", "b/entity.ts": "const x = 1;\n"})
+    assert messages(more_rules.data_classes(f)) == {"data class without validation: User"}
+
+
+def test_html_is_escaped(spark):
+    from lodestone.operators import reports
+
+    f = spark.createDataFrame([("a.ts", 2, "r", "error", "a <b> & c")], "file string, line int, rule string, severity string, message string")
+    head, row = (r["text"] for r in reports.html_lines(f).orderBy("file", "line").collect())
+    assert "1 problems: 1 errors" in head and row.endswith("<td>a &lt;b&gt; &amp; c") and "a.ts:2" in row
+
+
+def test_directory_roles(spark):
+    from lodestone.sources import project
+
+    def roles(files):
+        return {(r["folder"], r["role"]) for r in project.directory_roles(frame(spark, files)).collect()}
+
+    files = {"web/components/a.ts": "x", "back/a.ts": "app.get('/');\nprisma; jwt;\n", "lib/utils/a.ts": "x", "odd/a.ts": "x", "top.ts": "window.x"}
+    assert roles(files) == {("web", "client"), ("back", "server"), ("lib", "shared")}
+    assert roles({"src/a/x.ts": "x"}) == {("src", "client"), ("src", "server")}
+    assert roles({"src/routes/x.ts": "x"}) == {("src", "server")}
+    got = project.directory_scores(frame(spark, files)).filter("folder = 'web'").first()
+    assert (got["client"], got["server"], got["shared"]) == (10.0, 0.0, 0.0)
