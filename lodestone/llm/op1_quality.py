@@ -127,8 +127,7 @@ def posteriors(p: DataFrame) -> DataFrame:
         (F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.greatest(F.sum("n") - F.count("*"), F.lit(1))).alias("w2"),
         F.avg(F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2)).alias("b2"), F.avg(1 / F.col("n")).alias("i2"),
     ).select(strength(F.col("w2"), F.col("b2") - F.col("w2") * F.col("i2")).alias("k_path"))
-    one = total.crossJoin(inner).first()  # three numbers
-    mu, k_host, k_path = (F.lit(x if x is not None else 1.0) for x in (one["mu"], one["k_host"], one["k_path"]))
+    mu, k_host, k_path = (F.lit(x if x is not None else 1.0) for x in (*total.first(), *inner.first()))  # one row each
     host_mean = (F.col("hs") + k_host * mu) / (F.col("hn") + k_host)
     return level.select("host", "path", "s", "n", host_mean.alias("host_posterior"), mu.alias("mu"), k_path.alias("k_path"))
 
