@@ -102,10 +102,10 @@ def directory_roles(files: DataFrame) -> DataFrame:
     role = F.coalesce(*[F.when((F.col(r) > 0.4 * total) & (F.col(r) > 2), r) for r in ROLE_FOLDERS], F.when((F.col("client") > F.col("server")) & (F.col("client") > 2), "client"), F.when((F.col("server") > F.col("client")) & (F.col("server") > 2), "server"))
     found = scores.select("folder", role.alias("role")).filter("role is not null")
     inner = described(files).select(F.lower(F.regexp_extract("relative_path", r"^src/([^/]+)/", 1)).alias("name")).filter("name <> ''")
-    inner = inner.agg(F.count("*").alias("n"), F.min(F.when(F.col("name").isin("app", "pages", "components", "views"), "client").when(F.col("name").isin("api", "server", "controllers", "routes"), "server")).alias("role"))
-    roles = F.explode(F.when(F.col("role").isNull(), F.array(F.lit("client"), F.lit("server"))).otherwise(F.array("role")))
-    sides = found.filter("role <> 'shared'").agg(F.count("*").alias("sides"))
-    guess = inner.filter("n > 0").join(F.broadcast(sides)).filter("sides = 0").select(F.lit("src").alias("folder"), roles.alias("role"))
+    role = F.when(F.col("name").isin("app", "pages", "components", "views"), "client").when(F.col("name").isin("api", "server", "controllers", "routes"), "server")
+    signs = inner.select(F.lit(0).alias("side"), F.lit(1).alias("inner"), role.alias("role")).unionByName(found.filter("role <> 'shared'").select(F.lit(1).alias("side"), F.lit(0).alias("inner"), F.lit(None).cast("string").alias("role")))
+    signs = signs.agg(F.sum("side").alias("sides"), F.sum("inner").alias("inner"), F.min("role").alias("role")).filter("sides = 0 and inner > 0")
+    guess = signs.select(F.lit("src").alias("folder"), F.explode(F.when(F.col("role").isNull(), F.array(F.lit("client"), F.lit("server"))).otherwise(F.array("role"))).alias("role"))
     return found.unionByName(guess)
 
 
