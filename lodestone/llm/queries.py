@@ -12,6 +12,7 @@ from .op7_chat import OP7_SQL, op7_chat_formatting
 from .op8_mix import OP8_SQL, op8_source_mix
 from .op9_substrings import OP9_SQL, op9_substring_dedup
 from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
+from .op11_phrases import OP11_SQL, op11_phrase_mining
 from .op12_lines import OP12_SQL, op12_line_dedup
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_line_dedup": op12_line_dedup,
 }
 ORACLES = {
@@ -33,5 +35,6 @@ ORACLES = {
     "op8_source_mix": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_ngram_jaccard_join": OP10_SQL,
+    "op11_phrase_mining": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
 }
