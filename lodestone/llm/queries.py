@@ -14,6 +14,7 @@ from .op9_substrings import OP9_SQL, op9_substring_dedup
 from .op10_jaccard import OP10_SQL, op10_ngram_jaccard_join
 from .op11_phrases import OP11_SQL, op11_phrase_mining
 from .op12_lines import OP12_SQL, op12_line_dedup
+from .op13_search import OP13_SQL, op13_ranked_search
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_line_dedup": op12_line_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES = {
     "op6_decontamination": OP6_SQL,
@@ -37,4 +39,5 @@ ORACLES = {
     "op10_ngram_jaccard_join": OP10_SQL,
     "op11_phrase_mining": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
