@@ -2,8 +2,8 @@
 
 build() cuts the documents as they are read into segments of SEGMENT bytes of text, reorders each by recursive graph bisection
 (halves trade documents while that lowers the log-gap cost of their terms) and writes one row for each shard of about SHARD
-neighbours: ids, lengths, terms, postings, and for each term the skyline of (tf, length), whose best impact under any
-statistics is the term's exact maximum in the shard. No text is shuffled; any number of segments can be built apart.
+neighbours: ids, lengths, terms, postings, and for each term which of them are the skyline of (tf, length), whose best impact
+under any statistics is the term's exact maximum in the shard. No text is shuffled; any number of segments can be built apart.
 
 search() takes the items in blocks. Statistics of their terms come from the index. A shard's bound for an item is the sum of its
 terms' maxima. First each item's SEEDS shards of the highest bounds anywhere are scored, which gives a 50th score; then every
@@ -35,14 +35,14 @@ from .packed import FOLD
 
 TOP = 50
 #: Text of a segment, documents of a shard, rounds of trades at each level, shards that give the first 50th score, items of a block.
-SEGMENT, SHARD, ROUNDS, SEEDS, BLOCK = 8 << 20, 128, 4, 4, 256
+SEGMENT, SHARD, ROUNDS, SEEDS, BLOCK = 4 << 20, 128, 4, 4, 256
 #: Shards that a task holds at once.
-HELD = 64
+HELD = 16
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 INDEX = (
-    "shard bigint, n_held int, n_words bigint, ids array<bigint>, lens array<int>, terms array<string>, starts array<int>, docs array<int>, tfs array<int>, "
-    "sky_starts array<int>, sky_tf array<int>, sky_n array<int>"
+    "shard bigint, n_held int, n_words bigint, ids array<bigint>, lens array<int>, terms array<string>, starts array<int>, docs array<smallint>, tfs array<int>, "
+    "sky binary"
 )
 
 
@@ -69,7 +69,7 @@ def bisected(doc: np.ndarray, term: np.ndarray, n_docs: int, n_terms: int, level
     d * log2(n / (d + 1)) of its terms, d being a term's degree in a half of n documents."""
     many = np.bincount(term, minlength=n_terms) > 1
     keep = many[term]
-    doc, term = doc[keep], (np.cumsum(many) - 1)[term[keep]]
+    doc, term = doc[keep].astype(np.int32), (np.cumsum(many, dtype=np.int32) - 1)[term[keep]]
     n_terms = int(many.sum())
     log = np.log2(np.arange(1, n_docs + 3))
     half = np.zeros(n_docs, np.int64)
@@ -133,13 +133,13 @@ def shards_of(ids: pa.Array, texts: pa.Array, number: Iterator[int]) -> pa.Recor
     rows = []
     for s, (a, b) in enumerate(itertools.pairwise(np.searchsorted(shard, np.arange(len(sizes) + 1)))):
         own = order[np.sum(sizes[:s]) : np.sum(sizes[: s + 1])]
-        at, up = np.flatnonzero(new[a:b]), np.flatnonzero(sky[a:b])
+        at = np.flatnonzero(new[a:b])
         rows.append({
             "shard": next(number), "n_held": int((lens[own] > 0).sum()), "n_words": int(lens[own].sum()), "ids": ids.take(pa.array(own)), "lens": lens[own], "terms": terms.take(pa.array(code[a:b][at])),
-            "starts": np.append(at, b - a), "docs": place[doc[a:b]], "tfs": tf[a:b], "sky_starts": np.append(np.searchsorted(up, at), len(up)), "sky_tf": tf[a:b][up], "sky_n": lens[doc[a:b]][up],
+            "starts": np.append(at, b - a), "docs": place[doc[a:b]], "tfs": tf[a:b], "sky": np.packbits(sky[a:b]).tobytes(),
         })
-    kinds = {"shard": pa.int64(), "n_held": pa.int32(), "n_words": pa.int64(), "ids": pa.list_(pa.int64()), "terms": pa.list_(pa.string())}
-    whole = lambda x: x if isinstance(x, (int, pa.Array)) else x.astype(np.int32)
+    kinds = {"shard": pa.int64(), "n_held": pa.int32(), "n_words": pa.int64(), "ids": pa.list_(pa.int64()), "terms": pa.list_(pa.string()), "docs": pa.list_(pa.int16()), "sky": pa.binary()}
+    whole = lambda x: x.astype(np.int32) if isinstance(x, np.ndarray) else x
     names = [c.split()[0] for c in INDEX.split(", ")]
     return pa.record_batch([pa.array([whole(r[c]) for r in rows], kinds.get(c, pa.list_(pa.int32()))) for c in names], names=names)
 
@@ -196,9 +196,10 @@ class Items:
         return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
     def held(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the block's terms that the shard has, and where they are in the shard."""
+        """Numbers of the block's terms that the shard has, and where they are in the shard, ascending."""
         at = pc.index_in(self.terms, row["terms"].values).fill_null(-1).to_numpy(zero_copy_only=False)
         mine = np.flatnonzero(at >= 0)
+        mine = mine[np.argsort(at[mine])]
         return mine, at[mine]
 
     def bounds(self, row: dict) -> np.ndarray:
@@ -206,10 +207,10 @@ class Items:
         mine, at = self.held(row)
         if not len(mine):
             return np.zeros(len(self.uses))
-        starts = numbers(row["sky_starts"])
-        n = starts[at + 1] - starts[at]
-        where = ranges(starts[at], n)
-        most = np.maximum.reduceat(self.impact(numbers(row["sky_tf"])[where], numbers(row["sky_n"])[where]), np.cumsum(n) - n)
+        starts = numbers(row["starts"])
+        where = ranges(starts[at], starts[at + 1] - starts[at])
+        up = where[np.unpackbits(np.frombuffer(row["sky"].as_buffer(), np.uint8))[where] == 1]  # the first of each term is one
+        most = np.maximum.reduceat(self.impact(numbers(row["tfs"])[up], numbers(row["lens"])[numbers(row["docs"])[up]]), np.searchsorted(up, starts[at]))
         return self.uses[:, mine] @ (self.weight[mine] * most).astype(float)
 
     def scores(self, row: dict, which: np.ndarray) -> np.ndarray:
@@ -319,7 +320,7 @@ def seeds(index: DataFrame, items: Items) -> dict[int, list[int]]:
         yield pa.record_batch([pa.array(item, pa.int32()), pa.array(shard[col].astype(np.int64)), pa.array(bound[item, col].astype(np.int64))], names=["item", "shard", "bound"])
 
     order = Window.partitionBy("item").orderBy(F.desc("bound"), "shard")
-    rows = index.select("shard", "terms", "sky_starts", "sky_tf", "sky_n").mapInArrow(best, "item int, shard bigint, bound bigint")
+    rows = index.drop("ids", "n_held", "n_words").mapInArrow(best, "item int, shard bigint, bound bigint")
     out: dict[int, list[int]] = {}
     for r in rows.withColumn("o", F.row_number().over(order)).filter(F.col("o") <= SEEDS).collect():  # SEEDS rows for each item of the block
         out.setdefault(r["shard"], []).append(r["item"])
