@@ -10,7 +10,7 @@ BROADCAST_BYTES at most, else joined by shuffle. Texts are not shuffled.
 
 Defined cases: null or empty texts have no words and no hits; each row of documents gives one row, repeated ones too; a null id
 is kept, and rows of one id are told apart by their texts; a window in several items counts for each; repeated item rows count
-once, null item ids not at all; a very long text is one row; other columns are not read by hits() and kept by cleaned(); empty
+once; items with null ids are one item, whose id is in no list; a very long text is one row; other columns are not read by hits() and kept by cleaned(); empty
 tables give no rows (documents) or no hits (benchmark).
 """
 
@@ -36,10 +36,10 @@ CANDIDATE = "array<struct<pos:int,len:int,win:string>>"
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """win (the words joined by a space), len, h (hash of the words' hashes), lead (of the first ones) and the item ids as strings."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull())
+    b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     b = b.withColumn("len", F.least(F.size("w"), F.lit(N)))
     b = b.select("item", "len", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.slice(F.col("w"), i + 1, F.col("len")))).alias("v"))
-    return b.groupBy(F.array_join("v", " ").alias("win"), "len", F.xxhash64(hashes(F.col("v"))).alias("h"), lead_hash(F.col("v")).alias("lead")).agg(F.collect_set("item").alias("items"))
+    return b.groupBy(F.array_join("v", " ").alias("win"), "len", F.xxhash64(hashes(F.col("v"))).alias("h"), lead_hash(F.col("v")).alias("lead")).agg(F.collect_set(F.struct("item")).alias("items"))
 
 
 def hashes(w: Column) -> Column:
@@ -93,13 +93,13 @@ def candidates(w: Column, lengths: list[int], bitmap_: Column, bits: int) -> Col
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_words, spans (array of (pos, len), sorted) and items (sorted strings)."""
+    """One row per document: doc_id, text_hash, n_words, spans (array of (pos, len), sorted), n_items and items (sorted strings)."""
     win = cut(item_windows(benchmark))
-    about = win.agg(F.count("*").alias("n"), F.sum(F.octet_length("win") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)).alias("bytes"), F.collect_set("len").alias("lengths")).first()
+    about = win.agg(F.count("*").alias("n"), F.sum(F.octet_length("win") + F.aggregate("items", F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x["item"]), F.lit(0)) + 16)).alias("bytes"), F.collect_set("len").alias("lengths")).first()
     lengths = sorted(about["lengths"])  # N values at most
     text_hash = F.xxhash64("text").alias("text_hash")
     if not lengths:
-        return docs.select("doc_id", text_hash, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        return docs.select("doc_id", text_hash, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int>>").alias("spans"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
     longs, bits = bitmap(win, about["n"])
     scanned = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), candidates(w, lengths, longs, bits).alias("c")))
     rows = cut(docs.select("doc_id", text_hash, scanned.alias("x")).select("doc_id", "text_hash", F.col("x.n").cast("long").alias("n_words"), F.col("x.c").alias("c")))
@@ -108,12 +108,13 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = F.broadcast(known)
     sure = rows.filter(F.size("c") > 0).select("doc_id", "text_hash", F.inline("c")).join(known, ["win", "len"])
     found = sure.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("all")
     )
+    found = found.select("doc_id", "text_hash", "spans", F.size("all").cast("long").alias("n_items"), F.array_sort(F.array_compact(F.transform("all", lambda x: x["item"]))).alias("items"))
     found = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_h"})
     same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["text_hash"] == found["_h"])
     out = rows.select("doc_id", "text_hash", "n_words").join(found, same, "left")
-    return out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,len:int>>")).alias("spans"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, documents: bool = True) -> DataFrame:
@@ -150,7 +151,7 @@ def covered(spans: Column) -> Column:
 def report(found: DataFrame) -> DataFrame:
     n_hit = covered(F.col("spans")).cast("long")
     return found.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "items",
     )

@@ -168,6 +168,9 @@ def test_decontamination_edges(spark):
     assert [got[i]["n_hit"] for i in range(5)] == [0, 0, 20, 4, 0]
     assert got[2]["items"] == ["1", "5"] and got[3]["items"] == ["2"] and got[3]["contaminated"] and not got[0]["contaminated"]
     assert {r["n_hit"] for r in op6_decontam.report(op6_decontam.hits(docs, bench.limit(0))).collect()} == {0}
+    nameless = spark.createDataFrame([(None, long), (None, "a short"), (7, long)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in op6_decontam.report(op6_decontam.hits(docs, nameless)).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["items"]) for i in (2, 3, 4)] == [(20, 2, ["7"]), (2, 1, []), (0, 0, [])]
 
 
 def test_chat_round_trip(spark):
