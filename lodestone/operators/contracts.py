@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import extract
 from lodestone.operators.lines import lines_of
-from lodestone.operators.pairs import all_pairs
 from lodestone.operators.rules import shaped
+from lodestone.operators.similar import name_pairs, name_score
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 SERVER = r"(?i)(^|/)(server|api|backend|controllers?|routes?)/"
@@ -180,11 +180,6 @@ def calls(files: DataFrame) -> DataFrame:
     return found.select("file", "line", F.regexp_extract("call", r"^(\w+)", 1).alias("name"), F.size(args).alias("args"), F.regexp_extract("call", r"\(([^()]*)\)", 1).alias("text")).filter(~F.col("name").isin(*KEYWORDS))
 
 
-def name_score(a: Column, b: Column) -> Column:
-    wa, wb = text.name_words(a), text.name_words(b)
-    return F.round(F.greatest(text.edit_similarity(F.lower(a), F.lower(b)), text.semantic_similarity(wa, wb), text.affix_similarity(a, b), text.close_overlap(wa, wb)), 6)
-
-
 def named_arguments(used: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
     """Arguments written `name: value` whose name no parameter of the called function has but that is like one."""
     d = used.join(known.select("name", "params"), "name").withColumn("arg", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)\s*:"), F.lit(1))))
@@ -194,11 +189,10 @@ def named_arguments(used: DataFrame, known: DataFrame, least: float = 0.7) -> Da
 
 
 def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: int = 3) -> DataFrame:
-    """For each name that known does not have: its most similar known names. Every known name is scored."""
+    """For each name that known does not have: its most similar known names, of all that reach `least`."""
     have = known.select(F.col("name").alias("b")).distinct()
     odd = names.select(F.col("name").alias("a")).distinct().join(have, F.col("a") == F.col("b"), "left_anti")
-    pairs = all_pairs(odd, have)
-    pairs = pairs.withColumn("score", name_score(F.col("a"), F.col("b"))).filter((F.col("score") >= least) & (F.col("score") < 1))
+    pairs = name_pairs(odd.withColumnRenamed("a", "name"), have.withColumnRenamed("b", "name"), least).filter(F.col("score") < 1)
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= top)
 
 

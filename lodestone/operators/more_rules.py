@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators.lines import latch, lines_of
-from lodestone.operators.pairs import all_pairs
+from lodestone.operators.materialize import settle
 from lodestone.operators.rules import RULES, shaped
+from lodestone.operators.similar import concept_pairs, set_pairs
 
 
 def _file(files: DataFrame, where, rule: str, severity: str, message: str) -> DataFrame:
@@ -115,18 +116,26 @@ def drift(files: DataFrame, least: float = 0.75, allowed: list[list[str]] = ())
     """Pairs of entities of one kind in different files that seem to be one concept: 0.4 name + 0.6 properties. Whole names (in
     lower case) of one group of allowed may stand beside one another.
 
-    Two entities with properties but none in common have at most the name's 0.4; so for a higher least these meet by
-    shared properties, and all others, of which one has no properties, in all pairs."""
-    e = entities(files).withColumn("id", F.concat_ws(":", "file", "line"))
+    Two entities with properties need a Jaccard similarity of (least - 0.4) / 0.6, and meet by their rarest properties; where that is no
+    bound, also by similar names, as without a common property only the name counts. An entity without properties meets others by
+    similar names."""
+    e = settle(entities(files).withColumn("id", F.concat_ws(":", "file", "line")))
     fields = ("id", "name", "file", "line", "props")
     a, b = (e.select("kind", *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in "ab")
-    if least > 0.4:
-        ka, kb = a.withColumn("k", F.explode("props_a")), b.withColumn("k", F.explode("props_b"))
-        p = ka.join(kb, ["kind", "k"]).drop("k").distinct()
-        bare_a, bare_b = a.filter(F.size("props_a") == 0), b.filter(F.size("props_b") == 0)
-        p = p.unionByName(all_pairs(bare_a, b, ("kind",))).unionByName(all_pairs(a.filter(F.size("props_a") > 0), bare_b, ("kind",)))
-    else:
-        p = all_pairs(a, b, ("kind",))
+    sets = e.filter(F.size("props") > 0).select(F.col("id").alias("name"), F.col("props").alias("s"))
+    share = (least - 0.4) / 0.6
+    met = set_pairs(sets, sets, share if share > 0 else 1e-5).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    p = a.join(met, "id_a").join(b, ["kind", "id_b"])
+
+    def named(x: DataFrame, y: DataFrame, score: float) -> DataFrame:
+        near = concept_pairs(x.select(F.col("name_a").alias("name")), y.select(F.col("name_b").alias("name")), max(score, 0.25)).select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+        return x.join(near, "name_a").join(y, ["kind", "name_b"])
+
+    bare = lambda x, k: x.filter(F.size(f"props_{k}") == 0)
+    p = p.unionByName(named(bare(a, "a"), b, least)).unionByName(named(a, bare(b, "b"), least))
+    if share <= 0 and least <= 0.4:
+        p = p.unionByName(named(a, b, least / 0.4))
+    p = p.distinct()
     p = p.filter("id_a < id_b and file_a <> file_b and name_a <> name_b")
     names = text.concept_similarity(F.col("name_a"), F.col("name_b"))
     for group in allowed:

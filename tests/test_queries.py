@@ -26,10 +26,3 @@ def norm(df):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows(spark, duck, name):
     assert norm(catalog.QUERIES[name](spark, FOLDER).toPandas()) == norm(duck.sql(catalog.ORACLES[name]).df())
-
-
-def test_greedy(spark):
-    from lodestone.plans.names import greedy
-
-    d = spark.createDataFrame([("k", "payment", 1), ("k", "payments", 2), ("k", "paymentz", 3), ("k", "user", 4), ("k", "payment", 9)], "kind string, name string, ord int")
-    assert [tuple(r)[:3] for r in greedy(d).orderBy("variant").collect()] == [("k", "payment", "payments"), ("k", "payment", "paymentz")]

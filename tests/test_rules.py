@@ -1,6 +1,6 @@
 """Findings of the rules on small files written here."""
 
-from lodestone.operators import contracts, more_rules, pairs
+from lodestone.operators import contracts, more_rules
 
 
 def frame(spark, files):
@@ -11,11 +11,9 @@ def messages(df):
     return {r["message"] for r in df.collect()}
 
 
-def test_near_misses_need_no_common_word(spark, monkeypatch):
+def test_near_misses_need_no_common_word(spark):
     f = frame(spark, {"shared/a.ts": "export function handleEvent(e) {\n", "shared/b.ts": "export function zzz() {\n", "client/c.ts": "hndleEvnt(1);\n"})
-    for size in (pairs.BLOCK, 1):
-        monkeypatch.setattr(pairs, "BLOCK", size)
-        assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"hndleEvnt may be handleEvent"}
+    assert messages(contracts.signatures(f, "^shared/", "^client/")) == {"hndleEvnt may be handleEvent"}
 
 
 def test_entities_without_properties_drift(spark):
