@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import extract
+from lodestone.operators import extract, tokens
 from lodestone.operators.lines import lines_of
+from lodestone.operators.materialize import settle
 from lodestone.operators.rules import shaped
 from lodestone.operators.similar import name_pairs, name_score
 
@@ -78,15 +79,12 @@ def mismatches(files: DataFrame, specs: DataFrame) -> DataFrame:
     return shaped(d.withColumn("m", message).filter("m is not null"), "contract-mismatch", "error", F.col("m"))
 
 
-def exported_functions(files: DataFrame) -> DataFrame:
-    """name, file, line, least and most parameters and their names; of one name the last in order of file and line counts."""
-    pattern = r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"
-    rows = lines_of(files.select("relative_path", "content")).filter(F.col("line").rlike(pattern))
-    params = F.filter(F.split(F.regexp_extract("line", pattern, 2), ","), lambda p: F.trim(p) != "")
-    needed = F.filter(params, lambda p: ~p.rlike(r"[?=]|^\s*\.\.\."))
-    most = F.when(F.exists(params, lambda p: p.rlike(r"^\s*\.\.\.")), 1000).otherwise(F.size(params))
-    d = rows.select(F.regexp_extract("line", pattern, 1).alias("name"), F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.size(needed).alias("least"), most.alias("most"), F.transform(params, lambda p: F.regexp_extract(p, r"(\w+)", 1)).alias("params"))
-    return d.groupBy("name").agg(F.max_by(F.struct("file", "line", "least", "most", "params"), F.struct("file", "line")).alias("x")).select("name", "x.*")
+def exported_functions(files: DataFrame, among: str = "") -> DataFrame:
+    """name, kind (function, arrow, method), file, line, least and most parameters and their names; of one name and kind of call (plain, or on an
+    object) the last in order of file and line counts."""
+    d = tokens.functions(*tokens.tree_of(files)).filter("exported and name <> 'constructor'").withColumn("on", F.col("kind") == "method").withColumnRenamed("relative_path", "file")
+    d = d.filter(F.col("file").rlike(among))
+    return d.groupBy("name", "on").agg(F.max_by(F.struct("file", "line", "least", "most", F.array_compact("params").alias("params")), F.struct("file", "line")).alias("x")).select("name", "on", "x.*")
 
 
 def graphql_calls(files: DataFrame) -> DataFrame:
@@ -169,20 +167,19 @@ def field_misses(files: DataFrame, shared: str, callers: str, ignore: list[str]
     return shaped(read.join(near, "name"), "function-signature-matching", "error", F.concat("access", F.lit(" may be "), "b"))
 
 
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "constructor", "require", "import")
-
-
 def calls(files: DataFrame) -> DataFrame:
-    """file, line, name, number of arguments and text of plain calls whose arguments hold no parentheses."""
-    rows = lines_of(files.select("relative_path", "content")).filter(~F.col("line").rlike(r"^\s*(//|\*|import\b|export\b)|\bfunction\b"))
-    found = rows.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(r"(?<![.\w])([A-Za-z_]\w*\([^()]*\))"), F.lit(1))).alias("call"))
-    args = F.filter(F.split(F.regexp_extract("call", r"\(([^()]*)\)", 1), ","), lambda p: F.trim(p) != "")
-    return found.select("file", "line", F.regexp_extract("call", r"^(\w+)", 1).alias("name"), F.size(args).alias("args"), F.regexp_extract("call", r"\(([^()]*)\)", 1).alias("text")).filter(~F.col("name").isin(*KEYWORDS))
+    """file, line, name, on (whether on an object), args (number) and named (names of the properties of literal objects among them)."""
+    tree, heads = tokens.tree_of(files)
+    objects = tokens.bodies(heads).filter("role = 'object' and around = '('")
+    named = tokens.members(tree, objects).join(objects.select("relative_path", F.col("n").alias("block"), F.col("up").alias("n")), ["relative_path", "block"])
+    named = named.groupBy("relative_path", "n").agg(F.array_sort(F.collect_set("name")).alias("named"))
+    d = tokens.calls(tree, heads).join(named, ["relative_path", "n"], "left")
+    return d.select(F.col("relative_path").alias("file"), "line", "name", F.col("on").isNotNull().alias("on"), "args", F.coalesce("named", F.array().cast("array<string>")).alias("named"))
 
 
 def named_arguments(used: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
     """Arguments written `name: value` whose name no parameter of the called function has but that is like one."""
-    d = used.join(known.select("name", "params"), "name").withColumn("arg", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)\s*:"), F.lit(1))))
+    d = used.join(known.select("name", "on", "params"), ["name", "on"]).withColumn("arg", F.explode("named"))
     d = d.filter(~F.array_contains("params", F.col("arg"))).select("file", "line", "name", "arg", F.explode(F.array_distinct("params")).alias("param")).withColumn("score", name_score(F.col("arg"), F.col("param")))
     best = d.groupBy("file", "line", "name", "arg").agg(F.max("score").alias("score"), F.min_by("param", F.struct(-F.col("score"), "param")).alias("param")).filter(F.col("score") >= least)
     return shaped(best, "function-signature-matching", "error", F.format_string("argument %s of %s may be %s", "arg", "name", "param"))
@@ -199,9 +196,12 @@ def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7, top: i
 def signatures(files: DataFrame, shared: str, callers: str) -> DataFrame:
     """Calls in files like callers against functions exported by files like shared: wrong counts, near misses of names and of
     named arguments."""
-    known = exported_functions(files.filter(F.col("relative_path").rlike(shared)))
-    used = calls(files.filter(F.col("relative_path").rlike(callers)))
-    wrong = used.join(known.select("name", "least", "most"), "name").filter("args < least or args > most")
+    known = exported_functions(files, shared)
+    used = settle(calls(files).filter(F.col("file").rlike(callers)))
+    wrong = used.join(known.select("name", "on", "least", "most"), ["name", "on"]).filter("args < least or args > most")
     counts = shaped(wrong, "function-signature-matching", "error", F.format_string("%s takes %d to %d arguments, not %d", "name", "least", "most", "args"))
-    near = similar_names(used, known).filter("rank = 1").select(F.col("a").alias("name"), "b")
-    return counts.unionByName(named_arguments(used, known)).unionByName(shaped(used.join(near, "name"), "function-signature-matching", "error", F.concat("name", F.lit(" may be "), "b")))
+    # near misses of plain calls; of methods only names that some exported class has can be told from those of others
+    plain, local = used.filter("not on"), tokens.functions(*tokens.tree_of(files)).select(F.col("relative_path").alias("file"), "name").distinct()
+    plain = plain.join(local, ["file", "name"], "left_anti")
+    near = similar_names(plain, known.filter("not on")).filter("rank = 1").select(F.col("a").alias("name"), "b")
+    return counts.unionByName(named_arguments(used, known)).unionByName(shaped(plain.join(near, "name"), "function-signature-matching", "error", F.concat("name", F.lit(" may be "), "b")))

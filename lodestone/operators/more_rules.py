@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import tokens
 from lodestone.operators.lines import latch, lines_of
 from lodestone.operators.materialize import settle
 from lodestone.operators.rules import RULES, shaped
@@ -77,21 +78,12 @@ def leaks(files: DataFrame) -> DataFrame:
     return out
 
 
-ASYNC = r"\basync\s+(?:function\s+)?(\w+)\s*\(|\b(?:const|let)\s+(\w+)\s*=\s*async\b"
-
-
-def async_functions(files: DataFrame) -> DataFrame:
-    rows = lines_of(files.select("relative_path", "content"))
-    name = F.coalesce(F.nullif(F.regexp_extract("line", ASYNC, 1), F.lit("")), F.nullif(F.regexp_extract("line", ASYNC, 2), F.lit("")))
-    return rows.withColumn("name", name).filter("name is not null")
-
-
 def floating(files: DataFrame) -> DataFrame:
-    """Calls of async functions of the project that stand alone: neither awaited, returned, assigned, chained nor void."""
-    known = async_functions(files).select("name").distinct()
-    rows = lines_of(files.select("relative_path", "content")).filter(~F.col("line").rlike(ASYNC))
-    alone = rows.withColumn("name", F.regexp_extract("line", r"^\s*(?:this\.)?(\w+)\([^;]*\);?\s*$", 1)).filter("name <> ''")
-    return shaped(alone.join(known, "name", "left_semi"), "async-discrepancies", "error", F.concat(F.lit("floating call of "), "name"), "relative_path", "line_no")
+    """Calls of async functions of the project that are statements by themselves: neither awaited, returned, assigned, chained nor void."""
+    tree, heads = tokens.tree_of(files)
+    known = tokens.functions(tree, heads).filter("is_async").select("name").distinct()
+    alone = tokens.calls(tree, heads).filter("alone").join(known, "name", "left_semi")
+    return shaped(alone, "async-discrepancies", "error", F.concat(F.lit("floating call of "), "name"), "relative_path")
 
 
 def mixed_async(files: DataFrame) -> DataFrame:
@@ -100,16 +92,12 @@ def mixed_async(files: DataFrame) -> DataFrame:
 
 
 def entities(files: DataFrame) -> DataFrame:
-    """kind, name, file, line and property names (of one-line bodies and of indented lines) of interfaces, types and classes."""
-    rows = lines_of(files.filter(F.col("relative_path").rlike(r"\.[jt]sx?$")).select("relative_path", "content"))
-    head = r"\b(interface|class|type)\s+([A-Z]\w*)"
-    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("at", F.last(F.when(F.col("line").rlike(head), F.col("line_no")), ignorenulls=True).over(w)).filter("at is not null")
-    rows = rows.withColumn("shut", F.coalesce(F.last(F.when(F.col("line").rlike(r"^\}") & (F.col("line_no") > F.col("at")), F.col("at")), ignorenulls=True).over(w), F.lit(-1))).filter("shut <> at")
-    first = F.max(F.when(F.col("line_no") == F.col("at"), F.col("line")))
-    props = F.array_distinct(F.flatten(F.collect_list(F.transform(F.regexp_extract_all("line", F.lit(r"(?:^\s+|[{;,]\s*)(?:readonly\s+|public\s+|private\s+)?(\w+)\??\s*:"), F.lit(1)), F.lower))))
-    d = rows.groupBy("relative_path", "at").agg(first.alias("h"), F.array_sort(props).alias("props"))
-    return d.select(F.regexp_extract("h", head, 1).alias("kind"), F.regexp_extract("h", head, 2).alias("name"), F.col("relative_path").alias("file"), F.col("at").alias("line"), "props")
+    """kind, name, file, line and property names (lower case, sorted) of interfaces, object types and classes, at any indentation."""
+    tree, heads = tokens.tree_of(files)
+    blocks = settle(tokens.bodies(heads).filter("role in ('interface', 'type', 'class') and name is not null"))
+    props = tokens.members(tree, blocks).groupBy("relative_path", F.col("block").alias("n")).agg(F.array_sort(F.collect_set(F.lower("name"))).alias("props"))
+    d = blocks.join(props, ["relative_path", "n"], "left")
+    return d.select(F.col("role").alias("kind"), "name", F.col("relative_path").alias("file"), "line", F.coalesce("props", F.array().cast("array<string>")).alias("props"))
 
 
 def drift(files: DataFrame, least: float = 0.75, allowed: list[list[str]] = ()) -> DataFrame:
@@ -180,7 +168,7 @@ def component_names(files: DataFrame) -> DataFrame:
     rows = lines_of(files.filter(F.col("relative_path").rlike(r"\.[jt]sx$")).select("relative_path", "content"))
     rows = rows.withColumn("body", F.concat_ws("\n", F.collect_list("line").over(w))).withColumn("name", F.regexp_extract("line", r"^\s*(?:export\s+)?(?:default\s+)?(?:function|const)\s+([a-z]\w*)\s*[=(]", 1))
     odd = rows.filter((F.col("name") != "") & ~F.col("name").startswith("use") & F.col("body").rlike(r"(?s)(return|=>)\s*\(?\s*<[A-Za-z]"))
-    return shaped(odd, "react/inconsistent-component-naming", "warning", F.concat("name", F.lit(" should be "), F.initcap("name")), "relative_path", "line_no")
+    return shaped(odd, "react/inconsistent-component-naming", "warning", F.concat("name", F.lit(" should be "), text.pascal_component(F.col("name"))), "relative_path", "line_no")
 
 
 MORE: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import extract, graph
+from lodestone.operators import extract, graph, tokens
 from lodestone.operators.lines import floored_counter, latch, lines_of
+from lodestone.operators.materialize import settle
 
 COMMENT = r"^\s*(//|\*|/\*|#)"
 
@@ -38,7 +39,6 @@ LINE_RULES = (
     LineRule("type-safety", "explicit any", r":\s*any\b|<any>|\bas\s+any\b", files=r"\.tsx?$"),
     LineRule("type-safety", "non-null assertion", r"\w!\.|\w!\[", files=r"\.tsx?$"),
     LineRule("type-safety", "eval", r"\beval\s*\(|\bnew\s+Function\s*\(", "error"),
-    LineRule("type-safety", "JSON.parse outside try", r"\bJSON\.parse\s*\(", guard=r"\btry\s*\{", before=20),
     LineRule("performance-antipatterns", "synchronous call", r"\b(readFileSync|writeFileSync|existsSync|execSync)\s*\("),
     LineRule("performance-antipatterns", "infinite loop", r"\bwhile\s*\(\s*true\s*\)|\bfor\s*\(\s*;\s*;\s*\)"),
     LineRule("data-flow-integrity", "sensitive value in a log", r"(?i)(console\.|logger\.|\blog\().*(password|secret|token|api_?key|credit_?card|ssn)", "error"),
@@ -84,6 +84,14 @@ def line_findings(files: DataFrame, rules: tuple[LineRule, ...] = LINE_RULES) ->
     return found.select("file", "line", "x.rule", "x.severity", "x.message")
 
 
+def line_rules(files: DataFrame) -> DataFrame:
+    """What lines show by themselves, and JSON.parse outside the braces of a try."""
+    tree, heads = tokens.tree_of(files)
+    guarded = tokens.within(tree, tokens.bodies(heads).filter("role = 'try'"), "guarded").select("relative_path", "n", "guarded")
+    parse = tokens.calls(tree, heads).filter("on = 'JSON' and name = 'parse'").join(guarded, ["relative_path", "n"]).filter("guarded = 0")
+    return line_findings(files).unionByName(shaped(parse, "type-safety", "warning", F.lit("JSON.parse outside try"), "relative_path"))
+
+
 def n_plus_one(files: DataFrame) -> DataFrame:
     """Database calls inside a loop; a line with more closing than opening braces ends it."""
     rows = lines_of(files.select("relative_path", "content"))
@@ -101,9 +109,9 @@ def nesting(files: DataFrame, most: int = 3) -> DataFrame:
     return shaped(deep, "performance-antipatterns", "warning", F.lit("deeply nested loop"), "relative_path", "line_no")
 
 
-def unresolved_imports(files: DataFrame, inventory: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Relative and aliased imports of nothing among all paths of the project."""
-    deps = extract.dependencies(files).filter(~F.col("target").rlike(r"^(virtual:|~)|\.(css|scss|svg|png|jpg)$"))
+def unresolved_imports(files: DataFrame, inventory: DataFrame, aliases: dict[str, str] | None = None, deps: DataFrame | None = None) -> DataFrame:
+    """Relative and aliased imports of nothing among all paths of the project. deps: the dependencies of files, if they are known."""
+    deps = (extract.dependencies(files) if deps is None else deps).filter(~F.col("target").rlike(r"^(virtual:|~)|\.(css|scss|svg|png|jpg)$"))
     miss = extract.resolved(deps, inventory, aliases or {"@/": "src/"}).filter("file is null")
     return shaped(miss, "ai-hallucinated-imports", "error", F.concat(F.lit("import of a file that is not there: "), "target"), "source")
 
@@ -186,7 +194,7 @@ def unnecessary_async(files: DataFrame, ignore: str = r"^(main|init|setup|handle
     return shaped(body, "async-discrepancies", "warning", F.concat(F.lit("async without await: "), "name"), "relative_path", "at")
 
 
-RULES: dict[str, Callable[..., DataFrame]] = {"lines": line_findings, "n-plus-one": n_plus_one, "nesting": nesting, "orphaned-functions": orphans, "phantom-type-references": phantom_types, "inconsistent-casing": casing, "log-only-catch": log_only_catch, "unnecessary-async": unnecessary_async}
+RULES: dict[str, Callable[..., DataFrame]] = {"lines": line_rules, "n-plus-one": n_plus_one, "nesting": nesting, "orphaned-functions": orphans, "phantom-type-references": phantom_types, "inconsistent-casing": casing, "log-only-catch": log_only_catch, "unnecessary-async": unnecessary_async}
 
 
 def mutating_calls(files: DataFrame) -> DataFrame:
@@ -205,21 +213,23 @@ def type_assertions(files: DataFrame) -> DataFrame:
 OPTIONAL: dict[str, Callable[..., DataFrame]] = {"mutating-calls": mutating_calls, "type-assertions": type_assertions}
 
 
-#: Layers told by a word of the path, in order, with those that each may use.
+# Layers, words of paths that tell them (the first layer that has one), and the layers that each may use.
 LAYER_WORDS = (
-    ("controller", ("service", "model", "util")), ("service", ("repository", "model", "util")), ("repository", ("model", "util")),
-    ("component", ("hook", "service", "model", "util")), ("model", ("util",)), ("hook", ("service", "model", "util")), ("util", ()),
-)
+    ("presentation", ("controller", "handler", "view", "component", "page"), ("application", "domain")),
+    ("application", ("service", "usecase", "application"), ("domain", "infrastructure")),
+    ("domain", ("entity", "domain", "model", "aggregate", "value-object"), ()),
+    ("infrastructure", ("repository", "adapter", "infrastructure", "persistence"), ("domain",)),
+)
 
 
 def layers_by_name(edges: DataFrame, words: tuple = LAYER_WORDS) -> DataFrame:
     """Edges between layers that are told by words of their paths and that the table does not allow."""
     def layer(c: str) -> Column:
-        return F.coalesce(*[F.when(F.lower(c).contains(w), w) for w, _ in words])
+        return F.coalesce(*[F.when(F.lower(c).rlike("|".join(of)), w) for w, of, _ in words])
 
     d = edges.withColumns({"a": layer("src"), "b": layer("dst")}).filter("a <> b")
     ok = F.lit(False)
-    for w, allowed in words:
+    for w, _, allowed in words:
         ok = ok | ((F.col("a") == w) & F.col("b").isin(*allowed) if allowed else F.lit(False))
     return shaped(d.filter(~ok), "layer-dependencies", "error", F.concat("a", F.lit(" may not use "), "b"), "src")
 
@@ -235,11 +245,21 @@ def validate(
     and domains always do."""
     from lodestone.operators import contracts, more_rules, react  # noqa: F401  react registers its rules
 
+    files = settle(files)
+    rest: dict[str, DataFrame] = {}
+
+    def deps() -> DataFrame:
+        if "deps" not in rest:
+            rest["deps"] = settle(extract.dependencies(files))
+        return rest["deps"]
+
     def edges() -> DataFrame:
-        return extract.edges(extract.dependencies(files), files)
+        if "edges" not in rest:
+            rest["edges"] = settle(extract.edges(deps(), files))
+        return rest["edges"]
 
     groups: dict[str, Callable[[], DataFrame] | None] = {name: (lambda r=rule: r(files)) for name, rule in (RULES | OPTIONAL).items()}
-    groups["imports"] = lambda: unresolved_imports(files, inventory if inventory is not None else files)
+    groups["imports"] = lambda: unresolved_imports(files, inventory if inventory is not None else files, deps=deps())
     groups["cycles"] = lambda: circular(edges())
     groups["domains"] = lambda: more_rules.domains(edges())
     if specs is not None:

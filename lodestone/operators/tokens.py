@@ -12,12 +12,15 @@ text; a bracket without a partner has a null match.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .materialize import settle
+
 SCHEMA = "n int, kind string, text string, offset int, line int, `column` int"
 _TOKEN = re.compile(
     r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[^\W\d][\w$]*|[$#@][\w$]*)"
@@ -203,7 +206,7 @@ def calls(tree: DataFrame, heads_: DataFrame) -> DataFrame:
 
 
 def functions(tree: DataFrame, heads_: DataFrame) -> DataFrame:
-    """Functions by declaration, arrow and method: relative_path, n, line, name, kind (function, arrow, method), exported, is_async, params (names; null for a pattern),
+    """Functions by declaration, arrow and method: relative_path, n, line, name, kind (function, arrow, method), exported, is_async, params (names, then those that patterns take out of objects),
     least and most (numbers of arguments; 1000: no end)."""
     h = F.col("head")
     declared = rf"^(export )?(?:default )?(?:declare )?(async )?function(?: \*)? ({NAME}){GENERIC}$"
@@ -225,9 +228,13 @@ def functions(tree: DataFrame, heads_: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("item", F.nullif(name, F.lit("")).alias("p")))), lambda x: x["p"]).alias("params"), F.count("*").cast("int").alias("many"),
         F.sum((~free).cast("int")).cast("int").alias("least"), F.max(F.col("first") == "...").alias("rest"),
     )
-    d = d.join(lots, ["relative_path", "n"], "left")
+    # names that a pattern takes out of an object are parameters by name too
+    taken = heads_.filter("text = '{' and around = '('").filter(F.col("head").rlike(r"(?:^|,)$")).select("relative_path", "n", "up").join(d.select("relative_path", F.col("n").alias("up")), ["relative_path", "up"], "left_semi")
+    inner = items(tree, taken, False).join(taken.withColumnRenamed("n", "list"), ["relative_path", "list"]).filter(F.col("first").rlike(rf"^{NAME}$"))
+    inner = inner.groupBy("relative_path", F.col("up").alias("n")).agg(F.array_sort(F.collect_set("first")).alias("inner"))
+    d = d.join(lots, ["relative_path", "n"], "left").join(inner, ["relative_path", "n"], "left")
     most = F.when(F.col("rest"), 1000).otherwise(F.coalesce("many", F.lit(0)))
-    return d.select("relative_path", "n", "line", "name", "kind", "exported", "is_async", F.coalesce("params", F.array().cast("array<string>")).alias("params"), F.coalesce("least", F.lit(0)).alias("least"), most.cast("int").alias("most"))
+    return d.select("relative_path", "n", "line", "name", "kind", "exported", "is_async", F.concat(F.coalesce("params", F.array().cast("array<string>")), F.coalesce("inner", F.array().cast("array<string>"))).alias("params"), F.coalesce("least", F.lit(0)).alias("least"), most.cast("int").alias("most"))
 
 
 def members(tree: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -238,3 +245,16 @@ def members(tree: DataFrame, blocks: DataFrame) -> DataFrame:
     begins = before.isNull() | before.isin(";", ",", "}", "public", "private", "protected", "readonly", "static", "declare", "override") | (F.lag("line").over(w) < F.col("line"))
     is_one = begins & F.col("kind").isin("word", "string") & (after.isin(":", "?", "!") | ((F.col("role") == "class") & after.isin("=", ";")))
     return rows.withColumn("hit", is_one).filter("hit").select("relative_path", F.col("up").alias("block"), F.regexp_replace("text", "^['\"]|['\"]$", "").alias("name"), "line")
+
+
+#: Paths of files that the lexer reads.
+SCRIPT = r"\.[cm]?[jt]sx?$"
+_trees: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def tree_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """structure() and heads() of the scripts among files, computed once for a frame and shared by all rules that ask for it."""
+    if files not in _trees:
+        tree = settle(structure(tokens(files.filter(F.col("relative_path").rlike(SCRIPT)))))
+        _trees[files] = tree, settle(heads(tree))
+    return _trees[files]

@@ -116,7 +116,7 @@ def layer_imports(spark, d):
 
 
 def layers_by_name(spark, d):
-    """Layers told by a word of the path: a repository may not use a controller."""
+    """Layers told by a word of the path: a service may not use a controller."""
     f = project.described(written(spark, d, a="x/user{n}.controller.ts|import s from './user{n}.service';\n", b="x/user{n}.service.ts|import c from './user{n}.controller';\n"))
     return rules.layers_by_name(extract.edges(extract.dependencies(f), f)).select("file", "message")
 
@@ -199,7 +199,7 @@ regexp_matches(upper(p_name), '{"|".join(text.ACRONYMS)}') AS acronym FROM part"
     "signature_calls": _rows(_found("client/n{n}.ts", 1, "function-signature-matching", "getUser{n} takes 1 to 2 arguments, not 0")),
     "field_misses": _rows(f"{_sql('client/n{n}.ts')} AS file, CAST(1 AS INTEGER) AS line, 'thing.totl may be total' AS message"),
     "layer_imports": _rows(_found("db/n{n}.ts", 1, "layer-dependencies", "db may not use ui")),
-    "layers_by_name": _rows(f"{_sql('x/user{n}.service.ts')} AS file, 'service may not use controller' AS message"),
+    "layers_by_name": _rows(f"{_sql('x/user{n}.service.ts')} AS file, 'application may not use presentation' AS message"),
     "domain_imports": _rows(f"{_sql('domains/a{r}/n{n}.ts')} AS file, 'ddd-boundaries' AS rule, {_sql('a{r} uses b')} AS message"),
     "fix_plan": _rows(f"{_sql('client/n{n}.ts')} AS relative_path, CAST(1 AS INTEGER) AS line_no, {_sql('getUsr{n}(')} || chr(39) || '1' || chr(39) || ');' AS before, {_sql('getUser{n}(')} || chr(39) || '1' || chr(39) || ');' AS after",
                       f"{_sql('client/n{n}.ts')} AS relative_path, CAST(2 AS INTEGER) AS line_no, {_sql('const a = getUsr{n}; // getUsr{n}x')} AS before, {_sql('const a = getUser{n}; // getUsr{n}x')} AS after"),
