@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import code, events, graphs, names, project, texts, web
+from lodestone.plans import code, corpus, events, graphs, names, project, texts, web
 
-MODULES = (graphs, names, texts, events, web, code, project)
+MODULES = (graphs, names, texts, events, web, code, corpus, project)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1,7 +1,7 @@
 """What a source file imports and exports, by language: small scanners that Spark runs on each file of a batch.
 
 A parser takes a text and gives imports (target, type, line, symbols, dynamic, type_only) and exports (name, type, line, default).
-A symbol is (name, alias, is_default, is_namespace). Comments are blanked first, so that places stay. `register_parser` adds or
+A symbol is (name, alias, is_default, is_namespace). Comments, and the texts of templates of scripts, are blanked first, so that places stay. `register_parser` adds or
 replaces a language.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+from lodestone.operators.tokens import scan
+
 Symbol = tuple[str, str | None, bool, bool]
 Import = tuple[str, str, int, list[Symbol], bool, bool]
 Export = tuple[str, str, int, bool]
@@ -23,6 +25,16 @@ def bare(text: str) -> str:
     return _COMMENT_OR_STRING.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0], text)
 
 
+def bare_script(text: str) -> str:
+    """The text with comments, regular expressions and the texts of templates blanked, newlines kept: the code inside templates stays."""
+    out, at = [], 0
+    for kind, word, begin in scan(text):
+        if kind in ("comment", "regex", "template"):
+            out += [text[at:begin], re.sub(r"[^\n]", " ", word)]
+            at = begin + len(word)
+    return "".join(out) + text[at:]
+
+
 def line_at(text: str, place: int) -> int:
     return text.count("\n", 0, place) + 1
 
@@ -59,7 +71,7 @@ def _kind(m: re.Match) -> str:
 
 def script(text: str) -> tuple[list[Import], list[Export]]:
     """TypeScript and JavaScript."""
-    code, imports, exports = bare(text), [], []
+    code, imports, exports = bare_script(text), [], []
     for m in _FROM.finditer(code):
         what, line = m["what"].strip(), line_at(code, m.start("kind"))
         symbols: list[Symbol] = []
