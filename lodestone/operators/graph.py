@@ -40,19 +40,56 @@ def coupling(degree: DataFrame) -> DataFrame:
     )
 
 
-def core(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Edges whose source has a way in and whose target has a way out, after some rounds: all cycles are among them."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = settle(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those whose source has no way in or whose target has no way out, until none is left: all cycles are among them."""
+    n = edges.count()
+    while n:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = settle(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
     return edges
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """id and component (its smallest id) of the nodes in strongly connected components of two nodes or more.
+
+    Colours go forward: each node takes the smallest id that reaches it. What of a colour reaches the node of that id is its component; it
+    is taken out, and the rest is trimmed and coloured again. Each round is a join on single ids and an aggregation; paths are never built."""
+    e = settle(edges.select("src", "dst").filter("src <> dst").distinct())
+    done = e.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    while not (e := trimmed(e)).isEmpty():
+        color = settle(e.select(F.col("src").alias("id")).distinct().withColumns({"color": F.col("id"), "new": F.lit(True)}))
+        while not (moved := color.filter("new")).isEmpty():
+            told = e.join(moved.select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("told"))
+            # a node that learns nothing smaller has nothing to pass on
+            less = F.coalesce(F.col("told") < F.col("color"), F.lit(False))
+            color = settle(color.join(told, "id", "left").select("id", F.when(less, F.col("told")).otherwise(F.col("color")).alias("color"), less.alias("new")))
+        one, two = (color.select(F.col("id").alias(x), F.col("color").alias(f"c_{x}")) for x in ("src", "dst"))
+        inner = settle(e.join(one, "src").join(two, "dst").filter("c_src = c_dst").select("src", "dst", F.col("c_src").alias("component")))
+        edge = settle(color.filter("id = color").select("id", F.col("color").alias("component")))
+        found = edge
+        while not edge.isEmpty():
+            back = inner.join(edge.withColumnRenamed("id", "dst"), ["dst", "component"]).select(F.col("src").alias("id"), "component").distinct()
+            edge = settle(back.join(found, ["id", "component"], "left_anti"))
+            found = settle(found.unionByName(edge))
+        done = done.unionByName(found)
+        gone = found.select("id")
+        e = settle(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    many = done.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
+    return done.join(many, "component").select("id", "component", "size")
+
+
 def cycles(edges: DataFrame, longest: int = MAX_CYCLE, selfloops: bool = True) -> DataFrame:
-    """cycle (array of nodes from its smallest one) and length, for every simple cycle of at most `longest` nodes."""
+    """cycle (array of nodes from its smallest one) and length, for every simple cycle of at most `longest` nodes. Paths grow within strongly
+    connected components only, and no further than the component has nodes."""
     e = settle(edges.select("src", "dst").distinct())
     loops = e.filter("src = dst").select(F.array("src").alias("cycle"))
-    e = core(e.filter("src <> dst"))
+    part = settle(components(e))
+    one, two = (part.select(F.col("id").alias(x), F.col("component").alias(f"p_{x}")) for x in ("src", "dst"))
+    e = settle(e.filter("src <> dst").join(one, "src").join(two, "dst").filter("p_src = p_dst").select("src", "dst"))
+    longest = min(longest, part.agg(F.max("size")).first()[0] or 0)
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
     found = loops if selfloops else loops.limit(0)
     back = e.select(F.col("src").alias("at"), F.col("dst").alias("first"))

@@ -58,6 +58,26 @@ def cycles_bounded(spark, d):
     return c.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
 
 
+def followed(spark, d) -> DataFrame:
+    """Edges from a part to one of its brand on the next line of an order."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).filter("src <> dst")
+    brand = table(spark, d, "part").select("p_partkey", "p_brand")
+    a, b = (brand.select(F.col("p_partkey").alias(x), F.col("p_brand").alias(f"b_{x}")) for x in ("src", "dst"))
+    return lines.join(a, "src").join(b, "dst").filter("b_src = b_dst").select("src", "dst").distinct()
+
+
+def strong_components(spark, d):
+    """Parts that lead to one another by orders of their brand."""
+    return graph.components(followed(spark, d))
+
+
+def part_cycles(spark, d):
+    """All cycles of up to ten parts."""
+    c = graph.cycles(followed(spark, d))
+    return c.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
+
+
 def mutual_edges(spark, d):
     return graph.mutual(partners(spark, d))
 
@@ -88,8 +108,17 @@ def focus_reach(spark, d):
     return graph.reach(partners(spark, d), start, 3)
 
 
-QUERIES = {f.__name__: f for f in (edge_build, degree_hotspots, coupling_summary, cycles_bounded, mutual_edges, layer_violations, domain_crossings, focus_reach)}
+QUERIES = {f.__name__: f for f in (edge_build, degree_hotspots, coupling_summary, cycles_bounded, strong_components, part_cycles, mutual_edges, layer_violations, domain_crossings, focus_reach)}
+FOLLOWED_SQL = """l AS (SELECT l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS q FROM lineitem),
+e AS (SELECT DISTINCT p AS src, q AS dst FROM l JOIN part a ON a.p_partkey = p JOIN part b ON b.p_partkey = q WHERE a.p_brand = b.p_brand AND p <> q)"""
 ORACLES = {
+    "strong_components": f"""WITH RECURSIVE {FOLLOWED_SQL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+c AS (SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+SELECT *, count(*) OVER (PARTITION BY component) AS size FROM c""",
+    "part_cycles": f"""WITH RECURSIVE {FOLLOWED_SQL}, p AS (
+  SELECT src AS first, dst AS at, [src, dst] AS path FROM e WHERE dst > src
+  UNION ALL SELECT first, e.dst, list_append(path, e.dst) FROM p JOIN e ON e.src = p.at WHERE e.dst > first AND NOT list_contains(path, e.dst) AND len(path) < 10
+) SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p JOIN e ON e.src = p.at AND e.dst = p.first""",
     "edge_build": f"""WITH {TRADE_SQL} SELECT src, dst, l_orderkey, l_linenumber, l_partkey FROM trade
 QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1""",
     "degree_hotspots": f"WITH {DEG_SQL} SELECT * FROM g ORDER BY dependents DESC, id LIMIT 20",
