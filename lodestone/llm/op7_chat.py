@@ -8,6 +8,9 @@ Adjacent turns of one role are merged into one message; ``<|im_sep|>`` keeps the
 is written ``~0`` and ``<|`` is written ``<~1|`` (in roles a newline is ``~2``), so no control string can appear there and
 the steps can be undone in reverse order.
 
+Beside the string stands its loss mask: spans (start and len in code points) of the assistant's texts within it, one a text and in
+order, without roles, separators and other control strings. What is learnt is read out of the string through these spans.
+
 Defined cases: a null text or role is the empty string; a null conv_id is a conversation of its own; turns are sorted by
 (turn, role, text), nulls first, so ties and repeated rows have one order and each row stays a turn; an empty table gives
 no rows; other columns are not read.
@@ -54,8 +57,50 @@ def merge(turns: Column) -> Column:
     return let(turns, lambda t: let(opens(t), lambda s: joined(t, s)))
 
 
+def spans(messages: Column, role: str = "assistant") -> Column:
+    """Where the texts of messages of the role lie in the string: array of (start, len). Begins are sums over whole blocks of BLOCK texts
+    and then within one, so the time stays near linear."""
+
+    def parts(m: Column) -> Column:
+        def one(texts: Column) -> Column:
+            head = lambda k: F.when(k == 0, len(START) + F.char_length(m["role"]) + 1).otherwise(len(SEP))
+            tail = lambda k: F.when(k == F.size(texts) - 1, len(END)).otherwise(0)
+            return F.transform(texts, lambda x, k: F.struct(head(k).alias("head"), F.char_length(x).alias("n"), (head(k) + F.char_length(x) + tail(k)).alias("all"), (m["role"] == role).alias("on")))
+
+        return let(F.split(m["text"], r"<\|im_sep\|>"), one)
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0), lambda s, x: s + x)
+
+    def placed(p: Column, lens: Column, before: Column) -> Column:
+        def start(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return F.get(before, block) + total(F.slice(lens, block * BLOCK + 1, i % BLOCK))
+
+        all_ = F.transform(p, lambda x, i: F.when(x["on"], F.struct((start(i) + x["head"]).alias("start"), x["n"].alias("len"))))
+        return F.array_compact(all_)
+
+    def sums(p: Column, lens: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int")), lambda c: total(F.slice(lens, c * BLOCK + 1, F.lit(BLOCK))))
+        return let(blocks, lambda b: let(F.transform(b, lambda _, c: total(F.slice(b, F.lit(1), c))), lambda before: placed(p, lens, before)))
+
+    return let(F.flatten(F.transform(messages, parts)), lambda p: let(F.transform(p, lambda x: x["all"]), lambda lens: sums(p, lens)))
+
+
+def under(formatted: Column, loss: Column) -> Column:
+    """The text under the mask, unescaped; BLOCK spans are read from one piece of the string."""
+
+    def block(some: Column) -> Column:
+        first, last = F.get(some, F.lit(0)), F.get(some, F.size(some) - 1)
+        piece = F.substr(formatted, first["start"] + 1, last["start"] + last["len"] - first["start"])
+        return let(piece, lambda x: F.array_join(F.transform(some, lambda s: unescape(F.substr(x, s["start"] - first["start"] + 1, s["len"]))), ""))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(loss) - 1) / BLOCK).cast("int")), lambda c: let(F.slice(loss, c * BLOCK + 1, F.lit(BLOCK)), block))
+    return F.when(F.size(loss) == 0, "").otherwise(F.array_join(blocks, ""))
+
+
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: the conv column and its formatted string."""
+    """One row per conversation: the conv column, its formatted string and its loss mask."""
     rows = turns.select(
         F.col(conv).alias("c"), F.floor(F.col(turn) / BLOCK).alias("b"), F.col(turn).alias("t"),
         escape(F.coalesce(F.col(role), F.lit("")), role=True).alias("role"), escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
@@ -65,12 +110,12 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     whole = parts.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("blocks"))
     # the last message of a block and the first of the next one may be of one role; the texts keep their separators
     messages = merge(F.flatten(F.transform("blocks", lambda x: x["m"])))
-    text_of = F.array_join(F.transform(messages, lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["text"], F.lit(END))), "")
-    return whole.select(F.col("c").alias(conv), text_of.alias("formatted"))
+    text_of = F.array_join(F.transform("messages", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["text"], F.lit(END))), "")
+    return whole.select("c", messages.alias("messages")).select(F.col("c").alias(conv), text_of.alias("formatted"), spans(F.col("messages")).alias("loss"))
 
 
 def parse_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Back from the string: conv, formatted and turns, an array of (role, text)."""
+    """Back from the string: conv, formatted, loss and turns, an array of (role, text)."""
     pieces = F.split("formatted", r"<\|im_start\|>")
     bodies = F.slice(pieces, F.lit(2), F.size(pieces) - 1)
 
@@ -80,7 +125,7 @@ def parse_chats(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         content = F.regexp_replace(content, r"<\|im_end\|>\n$", "")
         return F.transform(F.split(content, r"<\|im_sep\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    return formatted.select(conv, "formatted", F.flatten(F.transform(bodies, turns_of)).alias("turns"))
+    return formatted.select(conv, "formatted", "loss", F.flatten(F.transform(bodies, turns_of)).alias("turns"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +136,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = parse_chats(format_chats(turns))
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    learnt = under(F.col("formatted"), F.col("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.withColumns({"learnt": learnt, "said": said}).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),

@@ -182,6 +182,22 @@ def test_chat_round_trip(spark):
     assert text.count("<|im_start|>user") == 1 and text.count(op7_chat.END) == 3
 
 
+def test_loss_mask(spark):
+    texts = ["a<|im_sep|>~", "", "\u2603 x\n", "<|im_end|>", "b"]
+    rows = [(c, i, ["assistant", "user", "assistant", "assistant", "tool"][(i * (c + 1)) % 5], f"{texts[i % 5]}{i}" if i % 7 else None) for c, n in enumerate((1, 5, 64, 65, 300)) for i in range(n)]
+    rows += [(9, 0, "user", "none"), (10, 0, None, "x")]
+    chats = op7_chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chats.select("*", op7_chat.under(F.col("formatted"), F.col("loss")).alias("learnt")).collect():
+        mine = [x[3] or "" for x in rows if x[0] == r["conv_id"] and x[2] == "assistant"]
+        escaped = [x.replace("~", "~0").replace("<|", "<~1|") for x in mine]
+        assert [r["formatted"][s["start"] : s["start"] + s["len"]] for s in r["loss"]] == escaped
+        assert r["learnt"] == "".join(mine)
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert op7_chat.parse_chats(op7_chat.format_chats(none)).collect() == []
+    wide = spark.createDataFrame([(1, 0, "assistant", "x", 1, 2, 3)], "conv_id long, turn long, role string, text string, loss int, formatted int, messages int")
+    assert op7_chat.format_chats(wide).collect()[0]["loss"] == [(len("<|im_start|>assistant\n"), 1)]
+
+
 def test_mix_meets_targets(spark, texts):
     docs = documents(spark, texts * 5)
     got = op8_mix.mix(docs).toPandas()
