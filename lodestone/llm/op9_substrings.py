@@ -8,6 +8,9 @@ whole windows. Words covered by a window that starts elsewhere too are removed.
 
 Both comparisons use packed keys (see packed.py): a passage in very many documents is sent once a group.
 
+Rows are dealt to groups by id, text and place in the table, so that a million equal rows part too. docs must be a written
+table or a projection of one, where places are the same in every run of a lost task.
+
 Windows are compared by 128-bit hashes of their words. The texts are shuffled once; the three passes read that shuffle.
 
 Defined cases: null and empty texts have no words and lose none; texts of fewer than WINDOW words lose none; windows
@@ -69,8 +72,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """docs with n_words and n_removed, and the shortened text; with digest, key, the two numbers and kept_sha256 only."""
     n = groups_for(docs, text)
     docs = docs.select(key, text) if digest else plain(docs, "n_words", "n_removed")
-    group = fresh(docs, "g")
-    parts = dealt(docs, [key, text], n, group)
+    group, place = fresh(docs, "g"), fresh(docs, "place")
+    parts = dealt(docs.withColumn(place, F.monotonically_increasing_id()), [key, text, place], n, group).drop(place)
     names = [c for c in docs.columns if c != text]
 
     def first_pass(t: pa.Table) -> pa.Table:

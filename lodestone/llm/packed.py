@@ -11,7 +11,7 @@ for each of its bytes, drawn by the byte and its place (tabulation), so no patte
 run's hash is a polynomial over the hashes of its words.
 
 Defined cases: null and empty texts have no words; a group without any key sends nothing and hears nothing; rows equal in id
-and text (and null ids with equal texts) are dealt to one group, all others apart.
+and text (and null ids with equal texts) are dealt to one group, all others apart, unless the caller deals by the row's place too.
 """
 
 from __future__ import annotations
