@@ -58,6 +58,18 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def label_sample(labels: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """Of labels(k, y), about sizes[y] rows of each class by a hash of k, each once, and how many each class has. As equal rows
+    are one and null keys are none, no key can bring more rows than classes into the sample, so it may be broadcast."""
+    once = labels.filter(F.col("y").isin(*sizes) & F.col("k").isNotNull()).select("k", F.col("y").cast("int").alias("y")).distinct()
+    counts = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    share = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    keep = F.lit(False)
+    for y, n in counts.items():
+        keep = keep | ((F.col("y") == y) & (share < min(1.0, sizes[y] / n)))
+    return once.filter(keep), counts
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder is used, which spark.checkpoint.dir names; only a local session (tests) gets one of its own."""
     sc = spark.sparkContext

@@ -7,7 +7,8 @@ within them (method of moments), so a sparse site falls back on its parent. A do
 The score moves the document's log odds by the path's log odds against the global ones.
 
 The classifier is fitted to at most about SAMPLE labelled documents a class, chosen by a hash of the id; sums, means and
-variances are over all documents.
+variances are over all documents. A label that is given repeatedly counts once, and of documents that share an id the one of the
+least features is learned from.
 
 Defined cases: null texts count as empty; null host or path is a site of its own; null labels are not learned from; without
 labels of both classes p is 0.5 everywhere; a path of one document has its host's posterior; equal evidence gives equal scores;
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, label_sample, read
 
 SAMPLE = 4000
 #: Share of a path's log odds that moves a document's, and the score from which a document is kept.
@@ -62,19 +63,17 @@ def fold(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray | None:
-    lab = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
-    counts = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
+    lab, counts = label_sample(labels.select(F.col(key).alias("k"), F.col(label).alias("y")), {1: SAMPLE, 0: SAMPLE})
     if len(counts) < 2:
         return None
-    share = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.when(F.col("y") == 1, min(1.0, SAMPLE / counts[1])).otherwise(min(1.0, SAMPLE / counts[0]))
-    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab.filter(share < rate)), "k").select("t", "y")
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab), "k").select("k", "t", "y")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"x": pa.array([shape(t or "") for t in b["t"].to_pylist()], pa.list_(pa.float64())), "y": b["y"].cast(pa.int32())})
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array([shape(t or "") for t in b["t"].to_pylist()], pa.list_(pa.float64())), b["y"]], ["k", "x", "y"])
 
-    got = some.mapInArrow(rows, "x array<double>, y int").toArrow()  # bounded by SAMPLE
+    each = some.mapInArrow(rows, f"k {dict(some.dtypes)['k']}, x array<double>, y int")
+    got = each.groupBy("k", "y").agg(F.min("x").alias("x")).toArrow()  # bounded by SAMPLE: one row a label
     x, y = np.array(got["x"].to_pylist()).reshape(-1, FEATURES), got["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None

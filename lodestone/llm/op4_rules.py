@@ -10,7 +10,7 @@ A repeated five-word window is found by its hash, combined from those of its wor
 texts with such a repeat compare the windows' words themselves, so the count is exact.
 
 Defined cases: null and empty texts have no words and fail the base rules; null labels and labels without a document are
-not learned from; repeated label rows count each; with no labels, or none of a class, there are no rules and the base
+not learned from; repeated label rows count once, and of documents that share an id the one of the least features is learned from; with no labels, or none of a class, there are no rules and the base
 decides; ties between conditions go to the first feature and threshold; repeated rows are documents of their own; a null id is
 kept and never learned from; a very long text is one row; other columns are kept by features(), but those named like a result
 (case does not count) are replaced by it; an empty table gives no rows.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, plain, read, tokens
+from .common import cut, label_sample, let, plain, read, tokens
 
 RUN = 5
 SYMBOLS = "#*$%&|<>"
@@ -117,20 +117,12 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def sample_of(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Label rows, at most about SAMPLE of each class, by a hash of the key."""
-    counts = {r[label]: r["count"] for r in labels.groupBy(label).count().filter(F.col(label).isin(0, 1)).collect()}
-    share = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    keep = F.lit(False)
-    for v, n in counts.items():
-        keep = keep | ((F.col(label) == v) & (share < min(1.0, SAMPLE / max(n, 1))))
-    return labels.filter(keep)
-
-
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """Ordered rules; a document that one of them covers is bad."""
-    some = sample_of(labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")), "_k", "_y")
-    f = cut(features(docs.select(key, text).join(F.broadcast(some), docs[key] == some["_k"]), text)).filter(~base_failed())
+    some = label_sample(labels.select(F.col(key).alias("k"), F.col(label).alias("y")), {0: SAMPLE, 1: SAMPLE})[0].withColumnsRenamed({"k": "_k", "y": "_y"})
+    f = features(docs.select(key, text).join(F.broadcast(some), docs[key] == some["_k"]), text).filter(~base_failed())
+    one = f.groupBy(key, "_y").agg(F.min(F.struct(*LEARNED)).alias("_f"))  # one row a label
+    f = cut(one.select(key, "_y", "_f.*"))
     if not f.limit(1).count():
         return []
     points = [i / BINS for i in range(1, BINS)]
