@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, threat verb, will, target, self, negation, reporting verb, contrast) by tables of the text's
-language. Five transducers rewrite the symbols of a clause, each reading what the one before has written:
+Words become symbols (insult, threat verb, will, target, self, negation, reporting verb, contrast, comma) by tables of the
+text's language. Five transducers rewrite the symbols of a clause, each reading what the one before has written:
 
 * target: an insult within reach of a person, on either side, becomes aimed (one transducer reads from the right, one from the left);
-* negation: insults and threats within reach of a negation become negated, until a contrast (`but`);
+* negation: insults and threats within reach of a negation become negated, until a contrast (`but`), a comma right after it
+  (`no, you ...`), or a comma with a person behind it (`not today, you ...`); other commas part the members of a list;
 * reported speech: after somebody else's verb of saying they become reported, until a contrast;
-* threat: `will` + threat verb + target, target and `will` in either order + threat verb, or threat verb + target becomes a menace;
+* threat: target and `will` in either order + threat verb, or threat verb + target (with none but filling words between
+  them: `kill all of you`, not `kill the process you started`), or a deed that holds both becomes a menace;
 * insult: emits the weight of what is left, by the marks that it bears.
 
 All that read from the left are composed into one machine, so that a clause is one walk. A clause's score is the sum of
@@ -21,7 +23,8 @@ that PREDICT is the threshold with the best F1 on the labelled rows it was fitte
 The fit uses at most about SAMPLE documents a class, chosen by a hash of the id; scoring reads whole texts.
 
 Defined cases: null and empty texts have no evidence and get the score of that; null labels and labels without a document are
-not learned from; repeated label rows count each; without labels of both classes every score is 0; rows with a null id are
+not learned from; repeated label rows count once, and of documents that share an id the regression
+takes the one of the least features; without labels of both classes every score is 0; rows with a null id are
 scored, never learned from; ties between languages go to the first of TABLES; very long texts are read whole, clause by clause;
 other columns are kept, but one named score (case does not count) is replaced; an empty table gives no rows.
 """
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, plain, read
+from .common import cut, label_sample, plain, read
 
 #: Toxic and other documents to fit on, about.
 SAMPLE = {1: 4000, 0: 8000}
@@ -52,8 +55,10 @@ CLAUSE_CAP, PREDICT = 12.0, 0.7
 CLAUSE = re.compile(r"[.!?;:\n]+")
 _LETTER = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]"
 WORD = re.compile(rf"{_LETTER}+(?:'{_LETTER}+)*")
+TOKEN = re.compile(f"{WORD.pattern}|,")
 
-#: Words by symbol and language; how many of them a text has tells its language, for which `common` has more. doom is a target and `will` in one word.
+#: Words by symbol and language; how many of them a text has tells its language, for which `common` has more. doom is a target and `will` in one word, deed a threat verb and
+#: its target; fill may stand between a threat verb and its target.
 TABLES = {
     "en": {
         "common": "the and of to in that is on for with this it was are a i you be have will he she they them",
@@ -66,6 +71,7 @@ TABLES = {
         "neg": "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't won't can't cannot couldn't wouldn't shouldn't haven't hasn't ain't without hardly nobody",
         "report": "said says say saying wrote writes claimed claims called calls quoted quotes reported reports tweeted posted told tells shouted",
         "but": "but however although though yet",
+        "fill": "all both each every of the hell out up down",
     },
     "de": {
         "common": "der die das und ist von mit den ein eine zu im auf",
@@ -77,6 +83,7 @@ TABLES = {
         "neg": "nicht kein keine keinen keiner nie niemals ohne weder noch",
         "report": "sagte sagt sagten schrieb schreibt nannte nennt behauptet behauptete meinte rief",
         "but": "aber jedoch sondern doch obwohl",
+        "fill": "alle alles",
     },
     "fr": {
         "common": "le la les de et des un une est que dans pour en",
@@ -88,20 +95,24 @@ TABLES = {
         "neg": "pas jamais aucun aucune sans ni point",
         "report": "dit disait dis écrit écrivait appelé appelle prétend prétendait affirme raconte",
         "but": "mais cependant pourtant",
+        "fill": "tous toutes à",
     },
     "es": {
         "common": "el la los las de que y en un una es por con del",
         "insult": "idiota idiotas estúpido estúpida imbécil cabrón basura escoria payaso gilipollas inútil",
-        "threat": "matar golpear destruir quemar morir herir apuñalar estrangular matarte quemarte golpearte",
+        "threat": "matar golpear destruir quemar morir herir apuñalar estrangular",
+        "deed": "matarte mataros matarlo matarla matarlos quemarte quemaros golpearte golpearos herirte apuñalarte estrangularte destruirte",
         "will": "voy vas va vamos debes deberías mereces",
         "target": "tú te ti tu tus usted ustedes vosotros él ella ellos ellas le les",
         "self": "yo nosotros",
         "neg": "no nunca jamás ni sin ningún ninguna tampoco",
         "report": "dijo dice dijeron escribió escribe llamó llama afirmó afirma contó gritó",
         "but": "pero sino aunque",
+        "fill": "a todos todas",
     },
 }
-SYMBOLS = ("word", "insult", "threat", "will", "doom", "target", "self", "neg", "report", "but")
+SYMBOLS = ("word", "insult", "threat", "will", "doom", "target", "self", "neg", "report", "but", "deed", "fill", "comma")
+LIVE = ("insult", "threat", "deed")
 
 
 class Transducer:
@@ -139,18 +150,29 @@ def compose(machines: list):
     return out
 
 
-def scope(openers: list[str], reach: int, mark: str, closers: list[str] = (), marked: tuple[str, ...] = ("insult", "threat")) -> Transducer:
-    """Marks what stands within so many words after an opener, up to a closer."""
+def scope(openers: list[str], reach: int, mark: str, closers: list[str] = (), marked: tuple[str, ...] = LIVE) -> Transducer:
+    """Marks what stands within so many words after an opener, up to a closer. A comma is no word."""
     arcs, rest = {}, {k: k - 1 for k in range(1, reach + 1)} | {0: 0}
     for k in range(reach + 1):
-        arcs |= {(k, o): (reach, None) for o in openers} | {(k, c): (0, None) for c in closers}
+        arcs |= {(k, o): (reach, None) for o in openers} | {(k, c): (0, None) for c in closers} | {(k, "comma"): (k, None)}
         if k:
             arcs |= {(k, m): (k - 1, f"/{mark}") for m in marked}
     return Transducer(0, arcs, rest)
 
 
 def negation() -> Transducer:
-    return scope(["neg"], 4, "negated", ["but"])
+    """From the state after a comma only what a list could go on with is still negated."""
+    reach = 4
+    inside = scope(["neg"], reach, "negated", ["but"])
+    arcs, rest = dict(inside.arcs), dict(inside.rest)
+    for k in range(1, reach):
+        paused = f"comma{k}"
+        arcs |= {(paused, symbol): to for (state, symbol), to in inside.arcs.items() if state == k}
+        arcs |= {(paused, "insult"): (reach - 1, "/negated")}  # the list goes on, and its next member is as near
+        arcs |= {(paused, person): (0, None) for person in ("target", "doom", "self")}
+        arcs |= {(paused, "comma"): (paused, None), (k, "comma"): (paused, None)}
+        rest[paused] = k - 1
+    return Transducer(0, arcs | {(reach, "comma"): (0, None)}, rest)
 
 
 def target() -> Transducer:
@@ -165,23 +187,27 @@ def target_after() -> Transducer:
 def reported() -> Transducer:
     """own: nobody is quoted; self: the verb of saying would be the writer's; said: somebody is quoted."""
     arcs = {("own", "self"): ("self", None), ("own", "report"): ("said", None), ("self", "report"): ("own", None), ("said", "but"): ("own", None)}
-    arcs |= {("said", m): ("said", "/reported") for m in ("insult", "threat")}
+    arcs |= {("said", m): ("said", "/reported") for m in LIVE} | {("self", "comma"): ("self", None)}
     return Transducer("own", arcs, {"self": "own"})
 
 
 def threat() -> Transducer:
-    """who3..1: a person; will3..1: something will be done; doom3..1: a person will; act2..1: the deed is named. Other words
-    use up reach."""
-    arcs, rest = {}, {"idle": "idle", "who1": "idle", "will1": "idle", "doom1": "idle", "act1": "idle", "said1": "idle"}
-    for name, top in (("who", 3), ("will", 3), ("doom", 3), ("act", 3), ("said", 3)):
-        rest |= {f"{name}{k}": f"{name}{k - 1}" for k in range(2, top + 1)}
+    """who3..1: a person; will3..1: something will be done; doom3..1: a person will. Other words use up reach. act5..1: the deed
+    is named and said5..1: as somebody's words; only filling words keep these open, and a comma ends them."""
+    tops = {"who": 3, "will": 3, "doom": 3, "act": 5, "said": 5}
+    states = {name: [f"{name}{k}" for k in range(1, top + 1)] for name, top in tops.items()}
+    arcs, rest = {}, {"idle": "idle"}
+    for name, of in states.items():
+        down = dict(zip(of, ["idle", *of], strict=False))
+        rest |= {x: "idle" for x in of} if name in ("act", "said") else down
+        arcs |= {(x, "fill"): (down[x], None) for x in of} if name in ("act", "said") else {(x, "comma"): (x, None) for x in of}
     for state in rest:
-        arcs |= {(state, "target"): ("who3", None), (state, "will"): ("will3", None), (state, "doom"): ("doom3", None), (state, "threat"): ("act3", None)}
-        arcs |= {(state, "threat/negated"): ("idle", None), (state, "threat/reported"): ("said3", None)}
-    for k in (1, 2, 3):
-        arcs |= {(f"who{k}", "will"): ("doom3", None), (f"will{k}", "target"): ("doom3", None), (f"doom{k}", "threat"): ("idle", "menace"), (f"act{k}", "target"): ("who3", "menace")}
-        arcs |= {(f"doom{k}", "threat/reported"): ("idle", "menace/reported"), (f"said{k}", "target"): ("who3", "menace/reported")}
-        arcs |= {(f"doom{k}", "threat/negated/reported"): ("idle", None)}
+        arcs |= {(state, "target"): ("who3", None), (state, "will"): ("will3", None), (state, "doom"): ("doom3", None), (state, "threat"): ("act5", None)}
+        arcs |= {(state, "threat/reported"): ("said5", None), (state, "deed"): ("who3", "menace"), (state, "deed/reported"): ("who3", "menace/reported")}
+        arcs |= {(state, f"{verb}/negated{more}"): ("idle", None) for verb in ("threat", "deed") for more in ("", "/reported")}
+    arcs |= {(x, "will"): ("doom3", None) for x in states["who"]} | {(x, "target"): ("doom3", None) for x in states["will"]}
+    arcs |= {(x, "threat"): ("idle", "menace") for x in states["doom"]} | {(x, "threat/reported"): ("idle", "menace/reported") for x in states["doom"]}
+    arcs |= {(x, "target"): ("who3", "menace") for x in states["act"]} | {(x, "target"): ("who3", "menace/reported") for x in states["said"]}
     return Transducer("idle", arcs, rest)
 
 
@@ -226,7 +252,7 @@ class Grammar:
         self.after = None if "target" in without else target_after()
         self.insults = "insult" not in without
         self.own_words = {lang: frozenset(w for words in t.values() for w in words.split()) for lang, t in TABLES.items()}
-        self.symbols = {lang: {w: s for s in reversed(SYMBOLS[2:]) for w in t.get(s, "").split()} for lang, t in TABLES.items()}
+        self.symbols = {lang: {",": "comma"} | {w: s for s in reversed(SYMBOLS[2:]) for w in t.get(s, "").split()} for lang, t in TABLES.items()}
         self.memo: dict[str, dict[str, tuple[str, float] | None]] = {lang: {} for lang in TABLES}
 
     def weight(self, word: str) -> float:
@@ -263,14 +289,14 @@ class Grammar:
 
     def clauses(self, text: str) -> tuple[list[float], int]:
         """Scores of the clauses that match, and the number of words of the text."""
-        parts = [WORD.findall(x) for x in CLAUSE.split(text.lower().replace("\u2019", "'"))]
+        parts = [TOKEN.findall(x) for x in CLAUSE.split(text.lower().replace("\u2019", "'"))]
         kinds = set().union(*parts)
         lang = max(TABLES, key=lambda x: len(kinds & self.own_words[x]))
         known = {w: s for w in kinds if (s := self.symbol(w, lang))}
-        live = {w for w, (s, _) in known.items() if s in ("insult", "threat")}
+        live = {w for w, (s, _) in known.items() if s in LIVE}
         dull = ("word", 0.0)
         found = [self.clause([known.get(w, dull) for w in words]) for words in parts if not live.isdisjoint(words)] if live else []
-        return [x for x in found if x > 0], sum(map(len, parts))
+        return [x for x in found if x > 0], sum(len(words) - words.count(",") for words in parts)
 
     def features(self, text: str) -> list[float]:
         """Logs of all clauses together, of the strongest one, and of the score a hundred words."""
@@ -280,14 +306,8 @@ class Grammar:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and y of labelled documents. docs: k, text; labels: k, y."""
-    labels = labels.filter(F.col("y").isin(0, 1))
-    counts = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
-    share = F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    keep = F.lit(False)
-    for v, n in counts.items():
-        keep = keep | ((F.col("y") == v) & (share < min(1.0, SAMPLE[v] / n)))
-    return docs.join(F.broadcast(labels.filter(keep)), "k").select("text", "y")  # bounded by SAMPLE
+    """k, text and y of labelled documents. docs: k, text; labels: k, y."""
+    return docs.join(F.broadcast(label_sample(labels, SAMPLE)[0]), "k").select("k", "text", "y")  # bounded by SAMPLE
 
 
 def lexicon(some: DataFrame) -> tuple[dict[str, float], int, int]:
@@ -371,9 +391,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         g = Grammar(weights)
         for b in batches:
             x = [[*g.features(t or ""), 1.0] for t in b["text"].to_pylist()]
-            yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "y": b["y"].cast(pa.int32())})
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array(x, pa.list_(pa.float64())), b["y"]], ["k", "x", "y"])
 
-    got = some.mapInArrow(rows, "x array<double>, y int").toArrow()  # bounded by SAMPLE
+    each = some.mapInArrow(rows, f"k {dict(some.dtypes)['k']}, x array<double>, y int")
+    got = each.groupBy("k", "y").agg(F.min("x").alias("x")).toArrow()  # bounded by SAMPLE: one row a label
     x, y = np.array(got["x"].to_pylist()), got["y"].to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # the fit does not depend on the order of rows
     x, y = x[order], y[order]

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import op1_quality, op2_licenses, op3_toxicity, op4_rules, op5_langid, op6_decontam, op8_mix
+from lodestone.llm import op1_quality, op2_licenses, op3_toxicity, op4_rules, op5_langid, op6_decontam, op8_mix, op9_substrings
 from lodestone.llm.common import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -118,7 +118,9 @@ def test_each_transducer_decides(part):
 CLAUSES = {
     "You aren't an idiot": 0, "she isn't really a moron": 0, "not stupid but a loser": 1, "I said you are an idiot": 1, "He said you are an idiot, but they are morons": 1,
     "i will not kill you": 0, "you will die": 1, "kill them": 1, "they burn wood": 0, "ich werde dich töten": 1, "du bist kein idiot": 0, "tu n'es pas un idiot": 0,
-    "je vais te tuer": 1, "voy a matarte": 0, "eres un idiota": 1, "an idiot said nothing": 1, "you'll die": 1, "the ship will die": 0,
+    "je vais te tuer": 1, "voy a matarte": 1, "no voy a matarte": 0, "dijo que va a matarte": 0, "eres un idiota": 1, "an idiot said nothing": 1, "you'll die": 1, "the ship will die": 0,
+    "no, you idiot": 1, "not today, you idiot": 1, "you are not a moron, idiot or loser": 0, "kill the process you started": 0, "kill all of you": 1,
+    "wolves kill, you see": 0, "he said they will not kill you": 0, "you, idiot": 1,
 }
 
 
@@ -223,3 +225,24 @@ class _Cluster:
 def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         ensure_checkpoint_dir(_Cluster)
+
+
+def test_equal_rows_are_dealt_apart(spark, tmp_path, monkeypatch):
+    """A passage repeated in 400 equal rows without ids goes from each, and the rows lie in many groups."""
+    text = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(None, text)] * 400 + [(1, "short text")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(op9_substrings, "groups_for", lambda *_: 16)
+    sizes = []
+    deal = op9_substrings.dealt
+    monkeypatch.setattr(op9_substrings, "dealt", lambda *a: sizes.append(deal(*a)) or sizes[0])
+    got = op9_substrings.repeated_passages(spark.read.parquet(str(tmp_path / "d")), digest=True).collect()
+    assert sorted((r["n_words"], r["n_removed"]) for r in got) == [(2, 0)] + [(40, 40)] * 400
+    assert max(r["count"] for r in sizes[0].groupBy("g").count().collect()) < 80
+
+
+def test_one_repeated_id_does_not_swell_the_sample(spark):
+    from lodestone.llm.common import label_sample
+
+    rows = [(7, 1)] * 5000 + [(None, 1)] * 500 + [(i, i % 2) for i in range(100, 140)] + [(3, None), (4, 5)]
+    some, counts = label_sample(spark.createDataFrame(rows, "k long, y int"), {0: 4000, 1: 4000})
+    assert counts == {0: 20, 1: 21} and some.count() == 41
