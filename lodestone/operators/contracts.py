@@ -10,6 +10,7 @@ from lodestone.functions import text
 from lodestone.operators import extract, tokens
 from lodestone.operators.lines import lines_of
 from lodestone.operators.materialize import settle
+from lodestone.operators.routes import first_fitting
 from lodestone.operators.rules import shaped
 from lodestone.operators.similar import name_pairs, name_score
 
@@ -39,11 +40,17 @@ def graphql_fields(schemas: DataFrame) -> DataFrame:
 
 
 def api_calls(files: DataFrame) -> DataFrame:
-    """file, line, method, path (with {param}) and query names of calls in files that are no server's."""
+    """file, line, method, path (with {param}) and query names of calls in files that are no server's; a fetch may name its method on a later line."""
     rows = lines_of(files.filter(~F.col("relative_path").rlike(SERVER)).select("relative_path", "content"))
     verb = r"\b(?:axios|http|httpClient|api)\.(get|post|put|patch|delete)\s*(?:<[^>]*>)?\(\s*['\"`]([^'\"`]+)['\"`]"
     get = r"\bfetch\s*\(\s*['\"`]([^'\"`]+)['\"`]"
-    method = F.upper(F.regexp_extract("line", r"method\s*:\s*['\"](\w+)['\"]", 1))
+    # options on later lines: the method that comes next, if no line that closes them comes before it
+    back = W.partitionBy("relative_path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
+    named = F.upper(F.regexp_extract("line", r"\bmethod\s*:\s*['\"`](\w+)['\"`]", 1))
+    rows = rows.withColumn("named", F.last(F.when(named != "", F.struct("line_no", named.alias("method"))), ignorenulls=True).over(back))
+    rows = rows.withColumn("closed", F.last(F.when(F.col("line").rlike(r"^\s*\}\s*\)"), F.col("line_no")), ignorenulls=True).over(back))
+    open_ = F.col("line").rlike(get + r"\s*,\s*(\{[^}]*)?$") & (F.col("named.line_no") <= F.coalesce("closed", F.col("named.line_no")))
+    method = F.when(named != "", named).when(open_, F.col("named.method")).otherwise("")
     call = (
         F.when(F.col("line").rlike(verb), F.struct(F.upper(F.regexp_extract("line", verb, 1)).alias("method"), F.regexp_extract("line", verb, 2).alias("url")))
         .when(F.col("line").rlike(get), F.struct(F.when(method == "", "GET").otherwise(method).alias("method"), F.regexp_extract("line", get, 1).alias("url")))
@@ -53,23 +60,14 @@ def api_calls(files: DataFrame) -> DataFrame:
     return d.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), "x.method", path.alias("path"), text.query_names(F.col("x.url")).alias("query"))
 
 
-def pattern_of(path: Column) -> Column:
-    """A path with every {x} as {}: two patterns fit one another if these are equal."""
-    return F.regexp_replace(path, r"\{[^}]*\}", "{}")
-
-
 def mismatches(files: DataFrame, specs: DataFrame) -> DataFrame:
     """Calls of endpoints that no description has, of deprecated ones, and without required query parameters.
 
-    An exact path is found by an equi-join; else a pattern that fits, in the order of the patterns. Patterns join on the
-    number of segments, so that a call is only compared with paths as deep as its own."""
-    ends = endpoints(specs).withColumn("depth", F.size(F.split("path", "/")))
-    calls = api_calls(files).withColumn("depth", F.size(F.split("path", "/"))).withColumn("id", F.xxhash64("file", "line", "method", "path"))
-    same = (F.col("c.method") == F.col("e.method")) & (F.col("c.depth") == F.col("e.depth"))
-    pairs = calls.alias("c").join(ends.alias("e"), same).select("c.id", F.col("c.path").alias("path"), F.col("e.path").alias("e_path"), "deprecated", "required")
-    fits = (pattern_of(F.col("path")) == pattern_of(F.col("e_path"))) | F.rlike(F.col("path"), F.concat(F.lit("^"), F.regexp_replace("e_path", r"\{[^}]*\}", "[^/]+"), F.lit("$")))
-    best = pairs.filter(fits).groupBy("id").agg(F.min_by(F.struct("deprecated", "required"), F.struct(F.col("path") != F.col("e_path"), "e_path")).alias("e"))
-    d = calls.join(best, "id", "left")
+    The path itself comes before patterns that fit it (see routes.py), these in their order."""
+    ends, calls = settle(endpoints(specs)), api_calls(files)
+    route = first_fitting(calls, ends.select("method", F.col("path").alias("route")))
+    best = ends.groupBy("method", F.col("path").alias("route")).agg(F.min(F.struct("deprecated", "required")).alias("e"))
+    d = calls.join(route.join(best, ["method", "route"]).drop("route"), ["method", "path"], "left")
     lacks = F.array_except("e.required", "query")
     message = (
         F.when(F.col("e").isNull(), F.concat(F.lit("unknown endpoint "), "method", F.lit(" "), "path"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators.routes import first_fitting
 from lodestone.sources.tables import table
 
 
@@ -67,6 +68,18 @@ def dup_routes(spark, d):
     return p.withColumn("route", out).filter("route is not null").groupBy("route").agg(F.count("*").alias("pages"), F.countDistinct("path").alias("paths"))
 
 
+def page_routes(spark, d):
+    """The route of each path: pages of plain http make /{lang}/number, those with a query /lang/{id}, those with a fragment their own path."""
+    p = table(spark, d, "pages").select("url", path_of(F.col("url")).alias("path"))
+    parts = F.split("path", "/")
+    made = F.array(
+        F.when(F.col("url").startswith("http:"), F.concat(F.lit("/{lang}/"), F.element_at(parts, -1))),
+        F.when(F.col("url").contains("?"), F.concat(F.lit("/"), F.get(parts, F.lit(1)), F.lit("/{id}"))), F.when(F.col("url").contains("#"), F.col("path")),
+    )
+    get = F.lit("GET").alias("method")
+    return first_fitting(p.select(get, "path"), p.select(get, F.explode(made).alias("route"))).select("path", "route")
+
+
 def required_params(spark, d):
     """Pages whose URL lacks parameters that its language asks for."""
     p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", r"^https?://[^/]+/(\w+)/", 1).alias("lang"))
@@ -86,7 +99,7 @@ def casing_of_links(spark, d):
     return links(spark, d).select(name.alias("name")).filter("name <> ''").groupBy(text.casing(F.col("name")).alias("style")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (unresolved_links, candidate_resolution, orphans, phantom_refs, dup_routes, required_params, dependency_sets, casing_of_links)}
+QUERIES = {f.__name__: f for f in (unresolved_links, candidate_resolution, orphans, phantom_refs, dup_routes, page_routes, required_params, dependency_sets, casing_of_links)}
 
 
 def _path(x: str) -> str:
@@ -107,6 +120,10 @@ UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SEL
     "phantom_refs": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "dup_routes": f"""WITH p AS (SELECT page_id, {_path('url')} AS path FROM pages), r AS (SELECT *, CASE WHEN regexp_full_match(path, '/en/[^/]+') THEN 0 WHEN regexp_full_match(path, '/fr/[^/]+') THEN 1
   WHEN regexp_full_match(path, '/[^/]+/[^/]+') THEN 2 WHEN regexp_full_match(path, '/[^/]+') THEN 3 END AS route FROM p) SELECT route, count(*) AS pages, count(DISTINCT path) AS paths FROM r WHERE route IS NOT NULL GROUP BY route""",
+    "page_routes": f"""WITH p AS (SELECT DISTINCT url, {_path('url')} AS path FROM pages), r AS (
+SELECT '/{{lang}}/' || string_split(path, '/')[-1] AS route FROM p WHERE starts_with(url, 'http:') UNION SELECT '/' || string_split(path, '/')[2] || '/{{id}}' FROM p WHERE contains(url, '?') UNION SELECT path FROM p WHERE contains(url, '#'))
+SELECT path, arg_min(route, (CASE WHEN path = route THEN '0' ELSE '1' END) || route) AS route FROM (SELECT DISTINCT path FROM p) JOIN r
+ON len(string_split(path, '/')) = len(string_split(route, '/')) AND regexp_full_match(path, regexp_replace(route, '\{{[^}}]*\}}', '[^/]+', 'g')) GROUP BY path""",
     "required_params": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(\\w+)/', 1) AS lang, regexp_extract_all(url, '[?&]([A-Za-z_]\\w*)=', 1) AS have FROM pages),
 n AS (SELECT page_id, have, unnest(CASE lang WHEN 'en' THEN ['page', 'ref'] WHEN 'fr' THEN ['page'] ELSE [] END) AS need FROM p)
 SELECT page_id, string_agg(need, ',' ORDER BY need) AS missing FROM n WHERE NOT list_contains(have, need) GROUP BY page_id""",
