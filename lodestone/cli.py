@@ -8,11 +8,14 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.operators import extract, fixes, graph, reports
+from lodestone.operators.materialize import settle
 from lodestone.operators.rules import validate
-from lodestone.sources import project
+from lodestone.sources import project, sinks
 from lodestone.sources.files import described, scan
 
 FORMATS = {"text": reports.text_lines, "json": reports.json_document, "grouped": reports.grouped_json, "sarif": reports.sarif_document, "vscode": reports.editor_lines, "markdown": reports.markdown, "html": reports.html_lines}
+#: Formats that are one document, as lines for files.
+PIECES = {"json": reports.json_pieces, "sarif": reports.sarif_pieces}
 #: Columns of a format that hold its text.
 TEXTS = ("document", "item", "text")
 
@@ -38,6 +41,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=FORMATS, default="text")
     p.add_argument("--fail-on", choices=("error", "warning", "info"), default="error")
     p.add_argument("--output", help="folder for the report, written by Spark")
+    p.add_argument("--write", action="store_true", help="fix: replace the files; without it the edits are only shown")
     p.add_argument("--shared", default="(^|/)shared/")
     p.add_argument("--callers", default="(^|/)(client|server)/")
     a = p.parse_args(args)
@@ -50,9 +54,17 @@ def main(args: list[str] | None = None) -> int:
             shown(df)
         return 0
     found = validate(files, a.rules or None, shared=a.shared, callers=a.callers)
-    if a.command == "fix":  # a plan only: nothing is written over
-        shown(fixes.preview(files, fixes.renames(found)))
+    if a.command == "fix":
+        plan = fixes.renames(found)
+        if a.write:
+            sinks.finish(a.folder)
+            sinks.write_files(fixes.changed(files, plan), a.folder)
+        else:
+            shown(fixes.preview(files, plan))
         return 0
+    if a.output and a.format in PIECES:
+        sinks.write_document(PIECES[a.format](settle(found)), a.output)
+        return int(a.command == "validate" and not reports.failing(found, a.fail_on).isEmpty())
     report = FORMATS[a.format](found)
     if a.output:
         report.write.mode("overwrite").json(a.output)

@@ -51,6 +51,12 @@ def preview(files: DataFrame, plan: DataFrame) -> DataFrame:
     return a.join(b, ["relative_path", "line_no"]).filter("before <> after")
 
 
+def changed(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """relative_path and the new content of the files that the edits change."""
+    before = files.select("relative_path", "content", F.col("content").alias("_before"))
+    return edited(before.join(plan.select(F.col("file").alias("relative_path")).distinct(), "relative_path", "left_semi"), plan).filter("content <> _before").drop("_before")
+
+
 def guided(findings: DataFrame) -> DataFrame:
     """findings with guidance, null where there is none."""
     table = F.create_map(*[F.lit(x) for pair in GUIDANCE.items() for x in pair])

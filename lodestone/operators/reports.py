@@ -66,6 +66,43 @@ def json_document(findings: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(summary)).select(F.to_json(F.struct("summary", F.col("items").alias("violations"))).alias("document"))
 
 
+ORDER = ("file", "line", "rule", "message", "severity", "copy")
+
+
+def _pieces(findings: DataFrame, item: Column, head: DataFrame, foot: str) -> DataFrame:
+    """place, what orders findings, and text: a line of head(text), one of each finding, and foot. All but the first finding begin
+    with a comma, equal ones too, which `copy` tells apart. No row or group holds more than one finding's text."""
+    d = findings.withColumn("_item", F.to_json(item)).groupBy("file", "line", "rule", "message", "severity", "_item").agg(F.count("*").alias("_n"))
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    first = d.agg(F.min(F.struct(*ORDER, "_item")).alias("x")).first()["x"]  # one row
+    if first is None:
+        body = d.select(F.lit(1).alias("place"), *ORDER, F.col("_item").alias("text"))
+    else:
+        same = F.lit(True)
+        for c in (*ORDER, "_item"):
+            same = same & F.col(c).eqNullSafe(F.lit(first[c]))
+        body = d.select(F.lit(1).alias("place"), *ORDER, F.when(same, F.col("_item")).otherwise(F.concat(F.lit(","), "_item")).alias("text"))
+    kinds = dict(body.dtypes)
+    blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ORDER]
+    ends = head.select(F.lit(0).alias("place"), *blank, "text").unionByName(head.select(F.lit(2).alias("place"), *blank, F.lit(foot).alias("text")))
+    return body.unionByName(ends)
+
+
+def json_pieces(findings: DataFrame) -> DataFrame:
+    """The JSON report as lines, for sinks.write_document: the same document as json_document, however many findings there are."""
+    item = F.struct("rule", "severity", "message", "file", "line", _column(findings).alias("column"))
+    head = severity_counts(findings).select(F.concat(F.lit('{"summary":'), F.to_json(F.struct("total", "errors", "warnings", "infos")), F.lit(',"violations":[')).alias("text"))
+    return _pieces(findings, item, head, "]}")
+
+
+def sarif_pieces(findings: DataFrame, tool: str = "lodestone") -> DataFrame:
+    """The SARIF log as lines, as json_pieces has the JSON report."""
+    rules = findings.agg(F.array_sort(F.collect_set("rule")).alias("ids")).select(F.transform("ids", lambda r: F.struct(r.alias("id"))).alias("rules"))
+    driver = F.to_json(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")))
+    head = rules.select(F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":'), driver, F.lit(',"results":[')).alias("text"))
+    return _pieces(findings, sarif_result(findings), head, "]}]}")
+
+
 def grouped_json(findings: DataFrame) -> DataFrame:
     """One JSON object a rule: its severity, number, files with their findings; rules with errors first are left to the reader."""
     by = findings.groupBy("rule", "file").agg(F.array_sort(F.collect_list(F.struct("line", "severity", "message"))).alias("items"))

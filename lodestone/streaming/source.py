@@ -20,6 +20,8 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from lodestone.sources.sinks import STAGE
+
 SCHEMA = "path string, type string, ts timestamp, seq long"
 CHUNK = 10_000
 
@@ -40,7 +42,8 @@ def listed(root: str) -> dict[str, tuple[int, int]]:
     where, base = opened(root)
     base = base.rstrip("/")
     found = where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-    return {f.path[len(base) + 1 :]: (int((f.mtime_ns or 0) // 1_000_000), f.size) for f in found if f.type == fs.FileType.File}
+    rows = ((f.path[len(base) + 1 :], f) for f in found if f.type == fs.FileType.File)
+    return {path: (int((f.mtime_ns or 0) // 1_000_000), f.size) for path, f in rows if not path.startswith(STAGE)}
 
 
 def differences(before: dict[str, tuple[int, int]], after: dict[str, tuple[int, int]], at: int) -> list[tuple[str, str, int]]:

@@ -1,5 +1,7 @@
 """The command line and plug-ins on files written here."""
 
+import json
+
 from lodestone import cli, register, register_parser, validate
 from lodestone.operators import extract, fixes, parsers, rules
 from lodestone.operators.rules import shaped
@@ -33,6 +35,12 @@ def test_validate_and_fix(spark, tmp_path, capsys):
     assert cli.main(["report", folder, "--rules", "lines", "--output", str(tmp_path / "out")]) == 0
     assert list((tmp_path / "out").glob("*.json"))
     assert cli.main(["analyze", folder]) == 0
+    assert cli.main(["report", folder, "--rules", "lines", "--format", "json", "--output", str(tmp_path / "doc")]) == 0
+    whole = json.loads("".join(x.read_text() for x in sorted((tmp_path / "doc").glob("*.txt"))))
+    assert whole["summary"]["total"] == len(whole["violations"]) > 0
+    assert cli.main(["fix", folder, "--rules", "signatures", "--write"]) == 0
+    assert (tmp_path / "client/page.ts").read_text() == FILES["client/page.ts"].replace("getUsrById", "getUserById")
+    assert all((tmp_path / n).read_text() == t for n, t in FILES.items() if n != "client/page.ts") and not list(tmp_path.glob(".lode*"))
 
 
 def test_own_rules_and_parsers(spark, monkeypatch):
