@@ -41,9 +41,9 @@ def candidate_resolution(spark, d):
 
 
 def orphans(spark, d):
-    """Parts and suppliers that no line names, and customers that no order names."""
-    li, out = table(spark, d, "lineitem"), []
-    for kind, key, rows, named in (("part", "p_partkey", "part", li.select("l_partkey")), ("supplier", "s_suppkey", "supplier", li.select("l_suppkey")), ("customer", "c_custkey", "customer", table(spark, d, "orders").select("o_custkey"))):
+    """Parts and suppliers that no returned line at a discount names, and customers that no open order names."""
+    li, out = table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_discount > 0.05"), []
+    for kind, key, rows, named in (("part", "p_partkey", "part", li.select("l_partkey")), ("supplier", "s_suppkey", "supplier", li.select("l_suppkey")), ("customer", "c_custkey", "customer", table(spark, d, "orders").filter("o_orderstatus = 'O'").select("o_custkey"))):
         used = named.toDF("key").distinct()
         out.append(table(spark, d, rows).select(F.lit(kind).alias("kind"), F.col(key).alias("key")).join(used, "key", "left_anti").select("kind", "key"))
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -115,9 +115,9 @@ SELECT kind, path, count(*) AS n, count(DISTINCT page_id) AS pages FROM x WHERE
     "candidate_resolution": """WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS b FROM pages),
 c AS (SELECT page_id, 0 AS ord, b AS form FROM b UNION ALL SELECT page_id, 1, b || '.html' FROM b UNION ALL SELECT page_id, 2, b || '/' FROM b UNION ALL SELECT page_id, 3, regexp_replace(b, '(\\.html|/)$', '') FROM b)
 SELECT page_id, arg_min(form, ord) AS target, min(ord) AS ord FROM c WHERE form IN (SELECT url FROM pages) GROUP BY page_id""",
-    "orphans": """SELECT 'part' AS kind, p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)
-UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL)
-UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""",
+    "orphans": """SELECT 'part' AS kind, p_partkey AS key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05 AND l_partkey IS NOT NULL)
+UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05 AND l_suppkey IS NOT NULL)
+UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL)""",
     "phantom_refs": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "dup_routes": f"""WITH p AS (SELECT page_id, {_path('url')} AS path FROM pages), r AS (SELECT *, CASE WHEN regexp_full_match(path, '/en/[^/]+') THEN 0 WHEN regexp_full_match(path, '/fr/[^/]+') THEN 1
   WHEN regexp_full_match(path, '/[^/]+/[^/]+') THEN 2 WHEN regexp_full_match(path, '/[^/]+') THEN 3 END AS route FROM p) SELECT route, count(*) AS pages, count(DISTINCT path) AS paths FROM r WHERE route IS NOT NULL GROUP BY route""",
