@@ -124,7 +124,7 @@ UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SEL
     "page_routes": f"""WITH p AS (SELECT DISTINCT url, {_path('url')} AS path FROM pages), r AS (
 SELECT '/{{lang}}/' || string_split(path, '/')[-1] AS route FROM p WHERE starts_with(url, 'http:') UNION SELECT '/' || string_split(path, '/')[2] || '/{{id}}' FROM p WHERE contains(url, '?') UNION SELECT path FROM p WHERE contains(url, '#'))
 SELECT path, arg_min(route, (CASE WHEN path = route THEN '0' ELSE '1' END) || route) AS route FROM (SELECT DISTINCT path FROM p) JOIN r
-ON len(string_split(path, '/')) = len(string_split(route, '/')) AND regexp_full_match(path, regexp_replace(route, '\{{[^}}]*\}}', '[^/]+', 'g')) GROUP BY path""",
+ON len(string_split(path, '/')) = len(string_split(route, '/')) AND regexp_full_match(path, regexp_replace(route, '\\{{[^}}]*\\}}', '[^/]+', 'g')) GROUP BY path""",
     "required_params": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(\\w+)/', 1) AS lang, regexp_extract_all(url, '[?&]([A-Za-z_]\\w*)=', 1) AS have FROM pages),
 n AS (SELECT page_id, have, unnest(CASE lang WHEN 'en' THEN ['page', 'ref'] WHEN 'fr' THEN ['page'] ELSE [] END) AS need FROM p)
 SELECT page_id, string_agg(need, ',' ORDER BY need) AS missing FROM n WHERE NOT list_contains(have, need) GROUP BY page_id""",
