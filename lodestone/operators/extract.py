@@ -58,15 +58,20 @@ def exports(files: DataFrame) -> DataFrame:
     return _rows(files, 1, "relative_path string, name string, type string, line int, is_default boolean", build)
 
 
-def resolved(deps: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """deps with `file`: the first candidate of a relative or aliased target among known(relative_path); null if none is.
-
-    Only targets that could be files of the project are kept."""
+def based(deps: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """deps with `base`: the path, but for its ending, of a relative or aliased target. Other targets are left out."""
     alias = aliases or {}
     base = F.when(F.col("target").rlike(r"^\.\.?(/|$)"), fold_path(F.concat_ws("/", dirname(F.col("source")), F.col("target"))))
     for prefix, folder in alias.items():
         base = base.when(F.col("target").startswith(prefix), fold_path(F.concat(F.lit(folder), F.expr(f"substr(target, {len(prefix) + 1})"))))
-    d = deps.withColumn("base", base).filter("base is not null").withColumn("_id", F.xxhash64("source", "target"))
+    return deps.withColumn("base", base).filter("base is not null")
+
+
+def resolved(deps: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """deps with `file`: the first candidate of a relative or aliased target among known(relative_path); null if none is.
+
+    Only targets that could be files of the project are kept."""
+    d = based(deps, aliases).withColumn("_id", F.xxhash64("source", "target"))
     forms = F.array(*[F.concat("base", F.lit(c)) for c in CANDIDATES])
     pairs = d.select("_id", "source", "target", F.posexplode(forms).alias("ord", "file")).distinct()
     hit = pairs.join(known.select(F.col("relative_path").alias("file")).distinct(), "file", "left_semi")

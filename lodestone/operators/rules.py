@@ -109,9 +109,14 @@ def nesting(files: DataFrame, most: int = 3) -> DataFrame:
     return shaped(deep, "performance-antipatterns", "warning", F.lit("deeply nested loop"), "relative_path", "line_no")
 
 
+def sought(deps: DataFrame) -> DataFrame:
+    """Dependencies whose file should be there: neither virtual modules nor styles and pictures."""
+    return deps.filter(~F.col("target").rlike(r"^(virtual:|~)|\.(css|scss|svg|png|jpg)$"))
+
+
 def unresolved_imports(files: DataFrame, inventory: DataFrame, aliases: dict[str, str] | None = None, deps: DataFrame | None = None) -> DataFrame:
     """Relative and aliased imports of nothing among all paths of the project. deps: the dependencies of files, if they are known."""
-    deps = (extract.dependencies(files) if deps is None else deps).filter(~F.col("target").rlike(r"^(virtual:|~)|\.(css|scss|svg|png|jpg)$"))
+    deps = sought(extract.dependencies(files) if deps is None else deps)
     miss = extract.resolved(deps, inventory, aliases or {"@/": "src/"}).filter("file is null")
     return shaped(miss, "ai-hallucinated-imports", "error", F.concat(F.lit("import of a file that is not there: "), "target"), "source")
 
