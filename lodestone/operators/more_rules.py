@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import tokens
+from lodestone.operators import scopes, tokens
 from lodestone.operators.lines import latch, lines_of
 from lodestone.operators.materialize import settle
 from lodestone.operators.rules import RULES, shaped
@@ -133,7 +133,7 @@ def drift(files: DataFrame, least: float = 0.75, allowed: list[list[str]] = ())
     return shaped(p, "context-drift-patterns", "warning", F.concat("name_b", F.lit(" is like "), "name_a"), "file_b", "line_b")
 
 
-HOOK = r"\b(useEffect|useCallback|useMemo)\s*\("
+HOOKS = ("useEffect", "useCallback", "useMemo")
 
 
 def to_closing(code: Column, opening: str = "(", closing: str = ")") -> Column:
@@ -148,18 +148,9 @@ def to_closing(code: Column, opening: str = "(", closing: str = ")") -> Column:
 
 
 def hook_dependencies(files: DataFrame) -> DataFrame:
-    """State of a component that a hook's text uses and its dependency list leaves out (calls of up to 50 lines, as in the reference)."""
-    f = files.filter(F.col("relative_path").rlike(r"\.[jt]sx$"))
-    state = lines_of(f.select("relative_path", "content")).withColumn("name", F.regexp_extract("line", r"\[\s*(\w+)\s*,\s*set\w+\s*\]\s*=\s*useState", 1)).filter("name <> ''")
-    states = state.groupBy("relative_path").agg(F.collect_set("name").alias("states"))
-    w = W.partitionBy("relative_path").orderBy("line_no").rowsBetween(0, 49)
-    rows = lines_of(f.select("relative_path", "content")).withColumn("body", F.concat_ws("\n", F.collect_list("line").over(w)))
-    rows = rows.filter(F.col("line").rlike(HOOK)).withColumn("call", to_closing(F.regexp_extract("body", r"(?s)" + HOOK + ".*", 0)))
-    rows = rows.filter(F.col("call").rlike(r",\s*\[[^\[\]]*\]\s*,?\s*\)$"))
-    deps = F.regexp_extract_all(F.regexp_extract("call", r"(?s)\[([^\[\]]*)\]\s*,?\s*\)$", 1), F.lit(r"(\w+)"), F.lit(1))
-    used = F.regexp_extract_all(F.regexp_extract("call", r"(?s)^(.*)\[[^\[\]]*\]\s*,?\s*\)$", 1), F.lit(r"(?<![.\w])([A-Za-z_]\w*)"), F.lit(1))
-    d = rows.join(states, "relative_path").withColumn("miss", F.array_sort(F.array_except(F.array_intersect(used, F.col("states")), deps))).filter(F.size("miss") > 0)
-    return shaped(d, "react/missing-dependency-array", "warning", F.concat(F.lit("not in the dependency list: "), F.array_join("miss", ", ")), "relative_path", "line_no")
+    """What a hook reads of its component and its dependency list leaves out, by the scopes of names."""
+    d = scopes.missing_dependencies(*tokens.tree_of(files.filter(F.col("relative_path").rlike(r"\.[jt]sx$"))), HOOKS)
+    return shaped(d, "react/missing-dependency-array", "warning", F.concat(F.lit("not in the dependency list: "), F.array_join("names", ", ")))
 
 
 def component_names(files: DataFrame) -> DataFrame:
