@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.materialize import settle
 from lodestone.operators.tokens import GENERIC, NAME, within
 
 FILE_END = 2**31 - 1
@@ -25,11 +26,12 @@ _START = r"(?:^|,|:|\.\.\.|\()$"
 def _lists(tree: DataFrame, heads: DataFrame) -> DataFrame:
     """Brackets whose names hold behind them too: parameters, caught errors and heads of loops; with last, the end of what they hold in."""
     own = W.partitionBy("relative_path", "up").orderBy("n")
-    rest = own.rowsBetween(2, W.unboundedFollowing)
+    # read backwards, so that a frame grows by one row a token; the last one seen is the nearest that follows
+    rest = W.partitionBy("relative_path", "up").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -2)
     stop = (F.col("text").isin(",", ";")) | (F.col("stmt") > F.col("stmt0"))
     t = tree.withColumn("after", F.concat_ws(" ", F.collect_list("text").over(own.rowsBetween(2, 14))))
     t = t.withColumn("stmt0", F.lag("stmt").over(own)).withColumn("stop", F.when(stop, F.col("n")))
-    t = t.withColumns({"block": F.first(F.when(F.col("text") == "{", F.col("match")), ignorenulls=True).over(rest), "stop": F.first("stop", ignorenulls=True).over(rest)})
+    t = t.withColumns({"block": F.last(F.when(F.col("text") == "{", F.col("match")), ignorenulls=True).over(rest), "stop": F.last("stop", ignorenulls=True).over(rest)})
     ends = tree.select("relative_path", F.col("n").alias("up"), F.col("match").alias("shut"))
     h = heads.filter("text = '('").select("relative_path", "n", "head")
     d = t.filter("text = '('").select("relative_path", "n", "up", "match", "after", "block", "stop").join(h, ["relative_path", "n"]).join(ends, ["relative_path", "up"], "left")
@@ -44,11 +46,12 @@ def _lists(tree: DataFrame, heads: DataFrame) -> DataFrame:
 
 def declarations(tree: DataFrame, heads: DataFrame) -> DataFrame:
     """relative_path, name, n (its token), kind (variable, state, setter, ref, param, function, class), lo and hi: the tokens between which it holds."""
-    lists = _lists(tree, heads)
+    lists = settle(_lists(tree, heads))
     own = W.partitionBy("relative_path", "up").orderBy("n")
     following = F.concat_ws(" ", F.collect_list("text").over(own.rowsBetween(1, 5)))
     t = tree.withColumns({"p": F.lag("text").over(own), "x": F.lead("text").over(own), "next": following})
     t = t.withColumn("opens", F.first("text").over(W.partitionBy("relative_path", "up", "stmt").orderBy("n")))
+    t = settle(t)
     made = F.when(F.col("next").rlike(r"= (?:React \. )?useRef\b"), "ref").otherwise("variable")
     words = t.filter((F.col("kind") == "word") & ~F.col("text").isin(*KEYWORDS))
     cols = ["relative_path", "n", "up", F.col("text").alias("name")]
@@ -84,9 +87,9 @@ def declarations(tree: DataFrame, heads: DataFrame) -> DataFrame:
     held = held.select("relative_path", "name", "n", "kind", F.col("up").alias("lo"), F.coalesce("last", "shut", F.lit(FILE_END)).alias("hi"))
 
     # x => ...: a parameter without a list
-    rest = own.rowsBetween(2, W.unboundedFollowing)
-    stop = F.first(F.when(F.col("text").isin(",", ";"), F.col("n")), ignorenulls=True).over(rest)
-    block = F.first(F.when(F.col("text") == "{", F.col("match")), ignorenulls=True).over(rest)
+    rest = W.partitionBy("relative_path", "up").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -2)
+    stop = F.last(F.when(F.col("text").isin(",", ";"), F.col("n")), ignorenulls=True).over(rest)
+    block = F.last(F.when(F.col("text") == "{", F.col("match")), ignorenulls=True).over(rest)
     result = F.coalesce((F.col("p") == ":") & (F.lag("text", 2).over(own) == ")"), F.lit(False))  # the type of what a function gives
     single = t.withColumns({"stop": stop, "block": block, "result": result}).filter((F.col("kind") == "word") & (F.col("x") == "=>") & ~F.col("result")).join(blocks, ["relative_path", "up"], "left")
     end = F.coalesce(F.when(F.col("next").startswith("=> {"), F.col("block")), F.col("stop"), "shut", F.lit(FILE_END))
