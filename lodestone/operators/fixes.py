@@ -35,13 +35,17 @@ def wanted(plan: DataFrame, file: str | None = None, old: str | None = None) ->
     return plan.filter(F.col("old") == old) if old else plan
 
 
-def edited(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """files(relative_path, content) with every whole-word use of an old name in a planned file replaced; each word of a text is
-    looked up once, so a new name is never renamed again. Files without an edit stay as they are."""
+def _edited(files: DataFrame, plan: DataFrame, how: str) -> DataFrame:
     by = plan.groupBy(F.col("file").alias("relative_path")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("old", "new")))).alias("names"))
     pieces = F.regexp_extract_all("content", F.lit(r"\w+|\W+"), F.lit(0))
     text = F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(F.col("names"), x), x)), "")
-    return files.join(by, "relative_path", "left").withColumn("content", F.when(F.col("names").isNull(), F.col("content")).otherwise(text)).drop("names")
+    return files.join(by, "relative_path", how).withColumn("edited", F.when(F.col("names").isNotNull(), text)).drop("names")
+
+
+def edited(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """files(relative_path, content) with every whole-word use of an old name in a planned file replaced; each word of a text is
+    looked up once, so a new name is never renamed again. Files without an edit stay as they are."""
+    return _edited(files, plan, "left").withColumn("content", F.coalesce("edited", "content")).drop("edited")
 
 
 def preview(files: DataFrame, plan: DataFrame) -> DataFrame:
@@ -53,8 +57,8 @@ def preview(files: DataFrame, plan: DataFrame) -> DataFrame:
 
 def changed(files: DataFrame, plan: DataFrame) -> DataFrame:
     """relative_path and the new content of the files that the edits change."""
-    before = files.select("relative_path", "content", F.col("content").alias("_before"))
-    return edited(before.join(plan.select(F.col("file").alias("relative_path")).distinct(), "relative_path", "left_semi"), plan).filter("content <> _before").drop("_before")
+    done = _edited(files.select("relative_path", "content"), plan, "inner").filter("edited <> content")
+    return done.select("relative_path", F.col("edited").alias("content"))
 
 
 def guided(findings: DataFrame) -> DataFrame:
