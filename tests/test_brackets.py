@@ -64,3 +64,12 @@ def test_texts_of_files_move_once(spark):
     done = fixes.changed(files, calls)
     assert plan(done).count("Join") == 1
     assert [r["content"] for r in done.collect()] == [CODE.replace("parse", "read")]
+
+
+def test_scopes_need_no_window(spark):
+    from lodestone.operators import more_rules
+
+    code = "function A({ p }) { const a = p; useEffect(() => { { const a = 2; show(a) } show(a, p) }, [p]); }"
+    found = more_rules.hook_dependencies(described(spark.createDataFrame([("a.tsx", code)], "relative_path string, content string")))
+    assert "Window" not in plan(found)
+    assert [r["message"] for r in found.collect()] == ["not in the dependency list: a"]
