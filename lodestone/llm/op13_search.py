@@ -18,6 +18,7 @@ ids as well; a very long text is a segment of its own; other columns are not rea
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
 import uuid
@@ -38,6 +39,10 @@ TOP = 50
 SEGMENT, SHARD, ROUNDS, SEEDS, BLOCK = 4 << 20, 128, 4, 4, 256
 #: Shards that a task holds at once.
 HELD = 16
+#: Documents and shards in a batch between a task and its Python worker, and bytes of a row group of the index: a task's memory follows these,
+#: not the size of its part of the input, which grows until Spark cuts it.
+BATCH_DOCS, BATCH_SHARDS, ROW_GROUP = 1000, 64, 8 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 INDEX = (
@@ -169,9 +174,22 @@ def segment(held: list[pa.RecordBatch], number: Iterator[int]) -> Iterator[pa.Re
             yield rows.slice(a, HELD)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans made meanwhile send at most so many rows at once to a Python worker."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def build(docs: DataFrame, path: str) -> DataFrame:
     """Writes the index of docs (doc_id, text) as Parquet and returns it."""
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(indexed, INDEX).write.parquet(path)
+    with batches_of(docs.sparkSession, BATCH_DOCS):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(indexed, INDEX)
+        rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
@@ -329,6 +347,11 @@ def seeds(index: DataFrame, items: Items) -> dict[int, list[int]]:
 
 def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id and score of the `top` best documents for each row of items (item_id, text)."""
+    with batches_of(index.sparkSession, BATCH_SHARDS):
+        return _search(index, items, top)
+
+
+def _search(index: DataFrame, items: DataFrame, top: int) -> DataFrame:
     out, asked = [], items.select("item_id", "text").toLocalIterator()
     spark = index.sparkSession
     while block := list(itertools.islice(asked, BLOCK)):

@@ -93,3 +93,19 @@ def test_empty(spark, tmp_path):
     assert op13_search.search(index, items).collect() == [] and op13_search.search(index, items.limit(0)).collect() == []
     one = op13_search.build(spark.createDataFrame([(1, None), (2, "...")], "doc_id long, text string"), f"{tmp_path}/wordless")
     assert op13_search.search(one, items).collect() == []
+
+
+def test_a_task_gets_few_shards_at_once(spark, tmp_path, monkeypatch):
+    op, kind = op13_search, type(spark.range(1))
+    before, real, seen = spark.conf.get(op.BATCH), kind.mapInArrow, []
+
+    def spied(self, *args, **kwargs):
+        seen.append(int(spark.conf.get(op.BATCH)))
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    docs = spark.range(300).selectExpr("id doc_id", "concat('word w', id % 7) text")
+    index = op.build(docs, str(tmp_path / "index"))
+    found = op.search(index, spark.createDataFrame([(1, "w3 word")], "item_id int, text string"))
+    assert [r["doc_id"] for r in found.orderBy("rank").limit(3).collect()] == [3, 10, 17]
+    assert seen[0] == op.BATCH_DOCS and set(seen[1:]) == {op.BATCH_SHARDS} and len(seen) >= 4 and spark.conf.get(op.BATCH) == before
