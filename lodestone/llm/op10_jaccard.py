@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, release
+from .common import cut, kept, read, release
 from .packed import FORWARD, U, Words, counts_of, dealt, forward, groups_for, mix, replies, squeeze, unique
 
 SHINGLE, PERCENT = 5, 75
@@ -109,34 +109,32 @@ def enough(a: Column, b: Column) -> Column:
 
 
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that link."""
+    """Of pairs (a, b and other columns) those that link."""
     one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca"))
     two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("core").alias("cb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("x", F.size(F.array_intersect("ca", "cb")))
-    return both.filter(100 * F.col("x") >= PERCENT * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b")
+    both = pairs.join(one, "a").join(two, "b").withColumn("x_", F.size(F.array_intersect("ca", "cb")))
+    return both.filter(100 * F.col("x_") >= PERCENT * (F.col("na") + F.col("nb") - F.col("x_"))).select(pairs.columns)
 
 
 def components(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label: rep and comp so far; links: pairs (a, b) of reps. rep and comp with the links added.
+    """label: rep and comp so far; links: pairs (x, y) of different comps. rep and comp with the links added.
 
-    The links are carried over to the components they connect, whose smallest labels spread with pointer jumping; each
-    round is cut, and only components with a link take part."""
-    if links.isEmpty():
+    The smallest labels of the components that links connect spread with pointer jumping; each round is kept, and only components
+    with a link take part."""
+    links, n = kept(links.distinct())
+    if not n:
         return label
-    la, lb = label.select(F.col("rep").alias("a"), F.col("comp").alias("x")), label.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
-    edges = links.join(la, "a").join(lb, "b").filter("x <> y").select("x", "y")
-    edges = cut(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    root = cut(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
-    while True:
+    edges, _ = kept(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    root = edges.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+    root, open_ = kept(root)
+    while open_:
         near = edges.join(root.select(F.col("x").alias("y"), F.col("m").alias("my")), "y").groupBy("x").agg(F.min("my").alias("near"))
         step = root.join(near, "x").select("x", F.col("m").alias("was"), F.least("m", "near").alias("to"))
         jump = root.select(F.col("x").alias("to"), F.col("m").alias("of_to"))
-        new = cut(step.join(jump, "to", "left").select("x", F.least("to", "of_to").alias("m"), "was"))
-        if new.filter("m <> was").isEmpty():
-            break
-        root = new.select("x", "m")
-    named = new.select(F.col("x").alias("comp"), "m")
-    return cut(label.join(named, "comp", "left").select("rep", F.coalesce("m", "comp").alias("comp")))
+        root, open_ = kept(step.join(jump, "to", "left").select("x", F.least("to", "of_to").alias("m"), "was"), "m <> was")
+        root = root.select("x", "m")
+    named = root.select(F.col("x").alias("comp"), "m")
+    return kept(label.join(named, "comp", "left").select("rep", F.coalesce("m", "comp").alias("comp")))[0]
 
 
 def compatible() -> Column:
@@ -151,7 +149,7 @@ def prefix_of() -> Column:
 
 
 def within(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows of one key and different components that sizes allow. rows: key, rep, comp, n, at (place of the key in the
+    """Pairs (a, b) of rows of one key and different components (x, y) that sizes allow. rows: key, rep, comp, n, at (place of the key in the
     prefix). A long list is dealt to blocks of about BLOCK rows, every two of which meet under a key of their own."""
     many = rows.groupBy(key).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c"))
     many = many.filter("c1 <> c2").select(key, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
@@ -161,7 +159,7 @@ def within(rows: DataFrame, key: str) -> DataFrame:
     two = rows.select(key, every.alias("p"), F.col("mine").alias("q"), F.col("rep").alias("b"), F.col("comp").alias("y"), F.col("n").alias("nb"), F.col("at").alias("j"))
     room = 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
     fit = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & compatible() & (room >= enough(F.col("na"), F.col("nb")))
-    return one.join(two, [key, "p", "q"]).filter(fit).select("a", "b")
+    return one.join(two, [key, "p", "q"]).filter(fit).select("a", "b", "x", "y")
 
 
 def link_components(reps: DataFrame) -> DataFrame:
@@ -169,10 +167,10 @@ def link_components(reps: DataFrame) -> DataFrame:
     reps = reps.withColumns({"pre": prefix_of(), "odd": F.col("n") - F.size("core")})
     groups = reps.groupBy("n", "pre").agg(F.min(F.struct("odd", "rep")).alias("lead"), F.count("*").alias("size"))
     groups = groups.select("n", "pre", F.col("lead.rep").alias("gid"), F.col("lead.odd").alias("odd"), "size")
-    member = cut(reps.select("rep", "n", "odd", "pre").join(groups.select("n", "pre", "gid"), ["n", "pre"]).select("rep", "n", "odd", "gid"))
+    member, _ = kept(reps.select("rep", "n", "odd", "pre").join(groups.select("n", "pre", "gid"), ["n", "pre"]).select("rep", "n", "odd", "gid"))
     lists = groups.select("gid", "n", "odd", F.posexplode("pre").alias("at", "tok"))
     shared = lists.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    lists = cut(lists.join(shared, "tok", "left_semi").withColumn("at", F.col("at") + F.col("odd")))
+    lists, _ = kept(lists.join(shared, "tok", "left_semi").withColumn("at", F.col("at") + F.col("odd")))
 
     inside = member.filter("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
     comp, first = reps.select("rep", F.col("rep").alias("comp")), True
@@ -186,17 +184,17 @@ def link_components(reps: DataFrame) -> DataFrame:
         near = lists.withColumnRenamed("n", "na").join(pivot, "tok").withColumn("nb", F.col("p.n")).filter((F.col("gid") != F.col("p.gid")) & compatible())
         pairs = near.select("gid", F.col("p.gid").alias("b")).distinct()
         pairs = pairs.join(member.select("gid", F.col("rep").alias("a")), "gid").select("a", "b")
-        if first:
-            pairs = pairs.unionByName(inside)
+        if first:  # each is a component of its own
+            pairs = pairs.unionByName(inside).withColumns({"x": F.col("a"), "y": F.col("b")})
         else:
             ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("x")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
-            pairs = pairs.join(ca, "a").join(cb, "b").filter("x <> y").select("a", "b")
-        comp, first = components(comp, cut(verified(pairs.distinct(), reps))), False
+            pairs = pairs.join(ca, "a").join(cb, "b").filter("x <> y").select("a", "b", "x", "y")
+        comp, first = components(comp, verified(pairs.distinct(), reps).select("x", "y")), False
     # whatever still shares a posting list or a group across components
     posted = lists.join(member.select("gid", "rep"), "gid").join(comp, "rep").select("tok", "rep", "comp", "n", "at")
     alike = member.join(comp, "rep").select("gid", "rep", "comp", "n", F.lit(0).cast("long").alias("at"))
     pairs = within(posted, "tok").unionByName(within(alike, "gid")).distinct()
-    return components(comp, cut(verified(pairs, reps)))
+    return components(comp, verified(pairs, reps).select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

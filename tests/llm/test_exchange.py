@@ -121,3 +121,24 @@ def test_words_are_hashed_apart():
         first = packed.Words(pa.array([" ".join(words)]), seeds=2).hashes[seed]
         again = packed.Words(pa.array(["lead", " ".join(reversed(words))]), seeds=2).hashes[seed]
         assert len(set(first.tolist())) == len(words) and first.tolist() == again[1:].tolist()[::-1]
+
+
+def test_join_runs_few_tasks_for_small_frames(spark):
+    """The driver remembers every task: small frames of the rounds are no task a shuffle partition each."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = [(i, " ".join(f"w{(i // 4) * 50 + j}" for j in range(40)) + f" x{i}") for i in range(40)]
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("few-tasks", "op10")
+        got = {r["doc_id"]: r["component_id"] for r in op10_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 4 * 4 for i in range(40)}
+    assert tasks < 60 * 24, tasks  # a checkpoint a round: 1789
