@@ -73,3 +73,28 @@ def test_scopes_need_no_window(spark):
     found = more_rules.hook_dependencies(described(spark.createDataFrame([("a.tsx", code)], "relative_path string, content string")))
     assert "Window" not in plan(found)
     assert [r["message"] for r in found.collect()] == ["not in the dependency list: a"]
+
+
+def test_shapes_are_heads():
+    random.seed(6)
+    parts = [*"ab1 \n\t;,.(){}[]<>`$'\"/\\=?:@é*()(){}", "${", "//", "/*", "*/", "return ", "/a/", "try {", "class A {", "a, b", "(x)", "({ k, l })", "'s, )'", "catch", "f(a, { b: [1] })", "=>", " if (a) { ", "`t ${ f(2) }\n`"]
+    place = ("relative_path", "n", "line", "column")
+    for _ in range(800):
+        texts = ["".join(random.choices(parts, k=random.randint(0, 60))) for _ in range(3)]
+        known, want = T._Shapes(), []
+        for i, text in enumerate([*texts, None]):
+            known.read(str(i), text)
+            want += [{"relative_path": str(i), **dict(zip(T.COLUMNS, r, strict=True))} for r in T.nested(text, False)]
+        got = [{**a, **r} for r in known.batch().to_pylist() for a in r.pop("at")]
+        got.sort(key=lambda r: (r["relative_path"], r["n"]))
+        assert got == [{c: T._kept(r[c]) if c == "outer" else r[c] for c in (*place, *T._SHAPE)} for r in want], texts
+
+
+def test_shapes_say_once_what_is_alike(spark):
+    rows = [(f"{i}.ts", f"const f{i % 3} = (a, [b]) => {{\n" + "  if (a) { call(bar(1), 'x') }\n" * 50 + "}\n") for i in range(40)]
+    files = described(spark.createDataFrame(rows, "relative_path string, content string").coalesce(1))
+    shapes = T.shapes_of(files)
+    assert shapes.count() < 30 and plan(T.calls(None, shapes)).count("Generate") == 1
+    tree, heads = T.tree_of(files)
+    for of in (T.calls, T.functions):
+        assert sorted(map(str, of(None, shapes).collect())) == sorted(map(str, of(tree, heads).collect()))
