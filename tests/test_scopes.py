@@ -37,3 +37,17 @@ def test_missing_dependencies(spark):
     }
     got = {(r["file"], r["line"], r["message"]) for r in more_rules.hook_dependencies(frame(spark, code)).collect()}
     assert got == {("a.tsx", 5, "not in the dependency list: id"), ("a.tsx", 12, "not in the dependency list: n")}
+
+
+def test_a_text_is_read_as_its_tokens():
+    import random
+
+    random.seed(4)
+    parts = ["useEffect(() => {", "}, [a])", "\n", "const ", "let a = 1, b", "var [s, setS] = useState(0);", "function f(a, { b: c = 2 }, ...d) {", *"{}()[],;ab:=", "x => x + a", "for (const a of b) {", "catch (e) {", "// c\n", "'s'", "`t ${a}`", "?.a", "return"]
+    for _ in range(500):
+        text = "".join(random.choices(parts, k=random.randint(0, 40)))
+        rows = [dict(zip(tokens.COLUMNS, r, strict=True)) for r in tokens.nested(text, True)]
+        rows = [tuple(r[c] for c in scopes._FIELDS) for r in rows if r["kind"] != "comment"]
+        read = scopes._File.read(text)
+        assert [tuple(getattr(r, c) for c in scopes._FIELDS) for r in read.rows] == rows, text
+        assert list(scopes._declared(read)) == list(scopes._declared(scopes._File.of(rows))), text
