@@ -98,3 +98,10 @@ def test_shapes_say_once_what_is_alike(spark):
     tree, heads = T.tree_of(files)
     for of in (T.calls, T.functions):
         assert sorted(map(str, of(None, shapes).collect())) == sorted(map(str, of(tree, heads).collect()))
+
+
+def test_shapes_of_the_asked_brackets(spark):
+    files = frame(spark)
+    shapes, some = T.shapes_of(files), T.shapes_of(files, "(")
+    assert {r["text"] for r in some.select("text").collect()} == {"("}
+    assert sorted(map(str, T.calls(None, some).collect())) == sorted(map(str, T.calls(None, shapes).collect()))
